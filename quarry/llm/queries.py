@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import secret_scan, url_filter
 from quarry.llm.common import table
 from quarry.llm.token_counts import count_tokens
 
@@ -13,6 +14,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op9_url_filter)}
+
+ORACLE_SQL = {"op2_secret_scan": secret_scan.oracle(), "op9_url_filter": url_filter.oracle()}
