@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import secret_scan, url_filter
+from quarry.llm import html_extract, lang_id, secret_scan, url_filter
 from quarry.llm.common import table
+from quarry.llm.fingerprint import fingerprints
+from quarry.llm.packing import pack_documents
 from quarry.llm.token_counts import count_tokens
 
 
@@ -18,11 +20,29 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    languages, logs = lang_id.learn(docs.where(lang_id.fold_of("doc_id", 5) != 0))
+    return lang_id.predict(docs, languages, logs, more={"held_out": lang_id.fold_of("doc_id", 5) == 0})
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op9_url_filter)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op5_html_extract, op6_packing, op8_language, op9_url_filter, op10_fingerprints)}
 
 ORACLE_SQL = {"op2_secret_scan": secret_scan.oracle(), "op9_url_filter": url_filter.oracle()}
