@@ -110,3 +110,31 @@ def crc32_mod(value: int | None, n: int) -> int:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder that spark.checkpoint.dir names, read from there from now on."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:  # tests on one machine
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+#: Bits of the bitmap that narrows a table to wanted ids; bounds what is broadcast to 2**16 rows.
+BITMAP_BITS = 22
+
+
+def narrowed(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id may be among ``wanted``'s single column: a bitmap of fixed size over hashed ids, so that the
+    rows that a join would drop are mostly not shuffled. Some others pass; an exact join follows."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    word = lambda c: F.shiftright(place(c), 6).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(F.lit(63)).cast("int"))
+    key = F.col(wanted.columns[0])
+    words = wanted.groupBy(word(key).alias("_word")).agg(F.bit_or(bit(key)).alias("_bits"))
+    return df.withColumn("_word", word(F.col(id_col))).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit(F.col(id_col))) != 0).drop("_word", "_bits")

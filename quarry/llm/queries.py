@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import html_extract, lang_id, secret_scan, url_filter
 from quarry.llm.common import table
 from quarry.llm.fingerprint import fingerprints
+from quarry.llm.near_dedup import near_groups
 from quarry.llm.packing import pack_documents
 from quarry.llm.token_counts import count_tokens
 
@@ -20,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
@@ -43,6 +48,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op5_html_extract, op6_packing, op8_language, op9_url_filter, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_near_dedup, op5_html_extract, op6_packing, op8_language, op9_url_filter, op10_fingerprints)}
 
 ORACLE_SQL = {"op2_secret_scan": secret_scan.oracle(), "op9_url_filter": url_filter.oracle()}
