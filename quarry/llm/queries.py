@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import html_extract, lang_id, secret_scan, url_filter
 from quarry.llm.common import table
+from quarry.llm.decontaminate import find_leaks
 from quarry.llm.fingerprint import fingerprints
 from quarry.llm.near_dedup import near_groups
 from quarry.llm.packing import pack_documents
@@ -33,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=75)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     languages, logs = lang_id.learn(docs.where(lang_id.fold_of("doc_id", 5) != 0))
@@ -48,6 +53,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_near_dedup, op5_html_extract, op6_packing, op8_language, op9_url_filter, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_near_dedup, op5_html_extract, op6_packing, op7_decontaminate, op8_language, op9_url_filter, op10_fingerprints)}
 
 ORACLE_SQL = {"op2_secret_scan": secret_scan.oracle(), "op9_url_filter": url_filter.oracle()}
