@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,9 +48,9 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable[[list[list]], list[lis
     return df.mapInArrow(run, out)
 
 
-def crc32_of_id(col: str) -> Column:
-    """crc32 of the id as decimal text; the folds of the contracts are remainders of it."""
-    return F.crc32(F.col(col).cast("string").cast("binary"))
+def fold_of(id_col: str, folds: int) -> Column:
+    """The remainder of the crc32 of the id as decimal text; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def word_bytes(text: str | None) -> list[bytes]:
@@ -104,10 +103,6 @@ def shingle_hashes(words: list[bytes], hashes: WordHashes, size: int = 5) -> np.
     return np.unique(got)
 
 
-def crc32_mod(value: int | None, n: int) -> int:
-    return zlib.crc32(str(value).encode()) % n
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -129,12 +124,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 BITMAP_BITS = 22
 
 
-def narrowed(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose id may be among ``wanted``'s single column: a bitmap of fixed size over hashed ids, so that the
-    rows that a join would drop are mostly not shuffled. Some others pass; an exact join follows."""
+def _flagged(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """With ``_maybe``: whether the key may be among ``wanted``'s single column, by a bitmap of fixed size over hashed keys."""
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
     word = lambda c: F.shiftright(place(c), 6).cast("int")
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(F.lit(63)).cast("int"))
-    key = F.col(wanted.columns[0])
-    words = wanted.groupBy(word(key).alias("_word")).agg(F.bit_or(bit(key)).alias("_bits"))
-    return df.withColumn("_word", word(F.col(id_col))).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit(F.col(id_col))) != 0).drop("_word", "_bits")
+    listed = F.col(wanted.columns[0])
+    words = wanted.groupBy(word(listed).alias("_word")).agg(F.bit_or(bit(listed)).alias("_bits"))
+    found = df.withColumn("_word", word(key)).join(F.broadcast(words), "_word", "left")
+    return found.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def narrowed(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id may be among ``wanted``'s single column, so that the rows that a join would drop are mostly
+    not shuffled. Some others pass; an exact join follows."""
+    return _flagged(df, F.col(id_col), wanted).where("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, key: Column, unwanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key isn't among ``unwanted``'s single column. Only rows that may be are shuffled to be joined exactly."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rows = _flagged(df.withColumn("_key", key), F.col("_key"), unwanted)
+    tried = rows.where("_maybe").join(unwanted.toDF("_key").distinct(), "_key", "left_anti").select(*columns)
+    return rows.where("not _maybe").select(*columns).unionByName(tried)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, checkpointed, id_and_text, map_blocks, narrowed, shingle_hashes, signed, word_bytes
+from quarry.llm.common import WordHashes, checkpointed, id_and_text, map_blocks, narrowed, shingle_hashes, signed, without, word_bytes
 
 SIZE = 5
 #: Shingles that a sketch keeps of an item at least, if the item has as many, and the share of those that a candidate has at least.
@@ -142,6 +142,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str
 
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no test item is contained, with all their columns."""
-    hits = find_leaks(docs, items, percent, id_col, text_col, keys_only=True)
-    name = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return docs.join(hits, name == hits["key"], "left_anti")
+    hits = checkpointed(find_leaks(docs, items, percent, id_col, text_col, keys_only=True))
+    return without(docs, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), hits)

@@ -170,8 +170,3 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: str
         return work
 
     return map_blocks(rows, make, f"{kinds}, lang_pred string, score double, mixture string")
-
-
-def fold_of(id_col: str = "doc_id", folds: int = 5) -> Column:
-    """The remainder of the crc32 of the id as text; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, checkpointed, id_and_text, map_blocks, mix, narrowed, shingle_hashes, word_bytes
+from quarry.llm.common import WordHashes, checkpointed, id_and_text, map_blocks, mix, narrowed, shingle_hashes, without, word_bytes
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -265,3 +265,16 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         return labels
     edges = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(merged)
     return components(edges)
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates, with all their columns: the document with the least id of each component
+    stays, and of rows that share an id one."""
+    groups = checkpointed(near_groups(docs, percent, id_col, text_col)).where(f"{id_col} is not null")
+    gone = groups.where("not kept").select(id_col)
+    repeated = groups.groupBy(id_col).count().where("count > 1").select(id_col)
+    rows = without(docs, F.col(id_col).cast("long"), gone)
+    if repeated.isEmpty():
+        return rows
+    again = without(rows, F.col(id_col).cast("long"), repeated)
+    return again.unionByName(rows.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html_extract, lang_id, secret_scan, url_filter
-from quarry.llm.common import table
+from quarry.llm import html_extract, lang_id, secret_scan, toxicity, url_filter
+from quarry.llm.common import fold_of, table
 from quarry.llm.decontaminate import find_leaks
 from quarry.llm.fingerprint import fingerprints
 from quarry.llm.near_dedup import near_groups
@@ -22,6 +22,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Network | None:
+    """Learned from labelled documents outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 3) != 1)
+    return toxicity.learn(table(spark, sf_dir, "documents"), labels)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = {"held_out": fold_of("doc_id", 3) == 1}
+    return toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), more=held_out)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), percent=75)
 
@@ -40,8 +51,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    languages, logs = lang_id.learn(docs.where(lang_id.fold_of("doc_id", 5) != 0))
-    return lang_id.predict(docs, languages, logs, more={"held_out": lang_id.fold_of("doc_id", 5) == 0})
+    languages, logs = lang_id.learn(docs.where(fold_of("doc_id", 5) != 0))
+    return lang_id.predict(docs, languages, logs, more={"held_out": fold_of("doc_id", 5) == 0})
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +64,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_near_dedup, op5_html_extract, op6_packing, op7_decontaminate, op8_language, op9_url_filter, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_toxicity, op4_near_dedup, op5_html_extract, op6_packing, op7_decontaminate, op8_language, op9_url_filter, op10_fingerprints)}
 
 ORACLE_SQL = {"op2_secret_scan": secret_scan.oracle(), "op9_url_filter": url_filter.oracle()}
