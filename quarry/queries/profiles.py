@@ -91,12 +91,12 @@ for _t, _rows in ROLES.items():
 register("primary_metric", "select 'l_extendedprice' as primary_metric", lambda spark, sf: P.primary_metric(table(spark, sf, "lineitem")))
 register("primary_date", "select 'order_date' as primary_date", lambda spark, sf: P.primary_date(flat(spark, sf).select("ship_date", "order_date", "sales")))
 register(
-    "rank_dimensions", "with u as (select 'l_returnflag' as column, count(distinct l_returnflag) as \"unique\" from lineitem union all select 'l_linestatus', count(distinct l_linestatus) from lineitem) select cast(row_number() over (order by \"unique\", case column when 'l_returnflag' then 0 else 1 end) as integer) as rank, column, \"unique\", 4 as band from u",
+    "rank_dimensions", "with u as (select 'l_returnflag' as column, count(distinct l_returnflag) as \"unique\" from lineitem union all select 'l_linestatus', count(distinct l_linestatus) from lineitem) select cast(row_number() over (order by \"unique\", case \"column\" when 'l_returnflag' then 0 else 1 end) as integer) as rank, \"column\", \"unique\", 4 as band from u",
     lambda spark, sf: P.rank_dimensions(table(spark, sf, "lineitem")),
 )
 
 
-@query("""with e as (select user_id, event_type, props from events), g as (select count(*) as n from e group by all)
+@query("""with e as (select user_id, event_type, props from events), g as (select count(*) as n from e group by user_id, event_type, props)
 select cast(sum(n) as bigint) as rows, cast(3 as bigint) as columns, cast(0 as bigint) as missing_cells, 0.0::double as missing_pct, cast(sum(n - 1) as bigint) as duplicate_rows from g""")
 def dataset_totals(spark, sf):
     return P.totals(table(spark, sf, "events").select("user_id", "event_type", "props"))
@@ -162,7 +162,7 @@ register("pearson", "select count(*) as n, round(corr(l_quantity, l_extendedpric
 
 MATRIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 STRENGTH_SQL = "case when abs(r) > 0.8 then 'very strong' when abs(r) > 0.6 then 'strong' when abs(r) > 0.35 then 'moderate' when abs(r) > 0.15 then 'weak' when r is not null then 'negligible' end as strength"
-_cells = [f"select '{a}' as column_a, '{b}' as column_b, {'1.0::double' if a == b else f'round(corr({a}, {b}), 3)'} as r from lineitem" for a in MATRIX for b in MATRIX]
+_cells = [f"select '{a}' as column_a, '{b}' as column_b, {f'case when stddev_pop({a}) > 0 then 1.0::double end' if a == b else f'round(corr({a}, {b}), 3) + 0.0'} as r from lineitem" for a in MATRIX for b in MATRIX]
 _cells += [f"select '{a}', '{b}', cast(null as double) from lineitem having count(*) >= 0" for a, b in [("one", "one"), *[x for m in MATRIX for x in ((m, "one"), ("one", m))]]]
 register("correlation_matrix", f"select column_a, column_b, r, {STRENGTH_SQL} from ({' union all '.join(_cells)})", lambda spark, sf: R.correlations(table(spark, sf, "lineitem").withColumn("one", F.lit(1.0)), [*MATRIX, "one"]))
 

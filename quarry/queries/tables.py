@@ -59,7 +59,7 @@ def clean_trim(spark, sf):
     return named.select(F.col("`Order Key`").cast("long").alias("o_orderkey"), C.trimmed(F.col("Status")).alias("status"))
 
 
-@query("""select * from (values ('Order Key', 'number'), ('Price', 'number'), ('order date', 'date'), ('code', 'keep'), ('Status', 'keep'), ('status (1)', 'keep'), ('unnamed', 'drop')) v(column, decision)""")
+@query("""select * from (values ('Order Key', 'number'), ('Price', 'number'), ('order date', 'date'), ('code', 'keep'), ('Status', 'keep'), ('status (1)', 'keep'), ('unnamed', 'drop')) v("column", decision)""")
 def clean_decisions(spark, sf):
     named = messy(spark, sf)
     return C.column_facts(named.toDF(*C.tidy_names(named.columns))).select("column", C.decisions().alias("decision"))
@@ -94,7 +94,7 @@ def clean_all(spark, sf):
 
 
 
-@query("""with e as (select user_id, event_type, props from events), g as (select count(*) as n from e group by all)
+@query("""with e as (select user_id, event_type, props from events), g as (select count(*) as n from e group by user_id, event_type, props)
 select 'before' as stage, cast(sum(n) as bigint) as rows, cast(3 as bigint) as columns, cast(0 as bigint) as missing, cast(sum(n - 1) as bigint) as duplicates from g
 union all select 'after', count(*), cast(3 as bigint), cast(0 as bigint), cast(0 as bigint) from g""")
 def clean_report(spark, sf):
@@ -175,7 +175,7 @@ def chunk_documents(spark, sf):
     return R.chunks(table(spark, sf, "documents"), "doc_id", "text").withColumn("chunk", F.col("chunk").cast("int"))
 
 
-INDEX_SQL = "t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents), i as (select doc_id, token, len(t) as length, count(*) as tf from (select doc_id, t, unnest(t) as token from t) group by doc_id, token, t)"
+INDEX_SQL = "t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents), i as (select doc_id, token, length, count(*) as tf from (select doc_id, len(t) as length, unnest(t) as token from t) group by doc_id, token, length)"
 
 
 @query("with t as (select regexp_extract_all(lower(text), '[a-z0-9]+') as t from conversations) select token, count(*) as n from (select unnest(t) as token from t) group by token")
@@ -234,16 +234,16 @@ def catalogue(spark, sf):
 
 _profile = " union all ".join(f"select '{t}' as dataset, {k} as position, '{c}' as column, '{role}' as role, '{kind}' as kind, count(distinct {c}) as n from {t}" for t in CATALOGUE for k, (c, kind, role, _) in enumerate(ROLES[t]))
 _terms = ", ".join(f"({k}, '{t}', '{d}')" for k, (t, d) in enumerate(R.GLOSSARY))
-_role = lambda r: f"coalesce(string_agg(column, ', ' order by position) filter (where role = '{r}'), '')"
+_role = lambda r: f"coalesce(string_agg(\"column\", ', ' order by position) filter (where role = '{r}'), '')"
 METADATA_SQL = f"""with p as ({_profile}), g(k, term, definition) as (values {_terms}),
-d as (select dataset, column, first(definition order by k) as definition from p join g on contains(lower(column), term) group by all),
+d as (select dataset, "column", first(definition order by k) as definition from p join g on contains(lower("column"), term) group by all),
 docs as (select dataset, 'overview' as kind, '' as column, 'Table ' || dataset || ': ' || count(*) || ' columns. Metrics: ' || {_role('metric')} || '. Dimensions: ' || {_role('dimension')} || '. Dates: ' || {_role('date')} || '. Identifiers: ' || {_role('identifier')} || '. Texts: ' || {_role('text')} || '.' as text from p group by dataset
-  union all select dataset, 'dictionary', '', string_agg(column || ' / ' || role || ' / ' || kind || ' / ' || n, chr(10) order by position) from p group by dataset
-  union all select dataset, 'column', column, 'Column ' || column || ' of ' || dataset || ': ' || role || ', ' || kind || ', ' || n || ' distinct values.' || coalesce(' ' || definition, '') from p left join d using (dataset, column))
+  union all select dataset, 'dictionary', '', string_agg("column" || ' / ' || role || ' / ' || kind || ' / ' || n, chr(10) order by position) from p group by dataset
+  union all select dataset, 'column', "column", 'Column ' || "column" || ' of ' || dataset || ': ' || role || ', ' || kind || ', ' || n || ' distinct values.' || coalesce(' ' || definition, '') from p left join d using (dataset, "column"))
 """
-register("metadata_documents", METADATA_SQL + "select dataset || '::' || kind || case when column = '' then '' else '::' || column end as id, dataset, kind, column, text from docs", lambda spark, sf: R.metadata_documents(catalogue(spark, sf)))
+register("metadata_documents", METADATA_SQL + 'select dataset || \'::\' || kind || case when "column" = \'\' then \'\' else \'::\' || "column" end as id, dataset, kind, "column", text from docs', lambda spark, sf: R.metadata_documents(catalogue(spark, sf)))
 register("corpus_counts", METADATA_SQL + "select kind, count(*) as n from docs group by kind", lambda spark, sf: R.metadata_documents(catalogue(spark, sf)).groupBy("kind").agg(F.count("*").alias("n")))
-register("glossary_attach", METADATA_SQL + "select dataset, column, definition from p left join d using (dataset, column)", lambda spark, sf: R.glossary(catalogue(spark, sf)).select("dataset", "column", "definition"))
+register("glossary_attach", METADATA_SQL + 'select dataset, "column", definition from p left join d using (dataset, "column")', lambda spark, sf: R.glossary(catalogue(spark, sf)).select("dataset", "column", "definition"))
 
 
 # Text tables.
