@@ -6,15 +6,17 @@ exponentially spaced scale. Registers are mergeable (the greater value wins) and
 as their Jaccard similarity. Bands of four registers are buckets.
 
 1. Equal sets are one class, named by its least id. Only classes go on.
-2. Each class is paired with the first class of the bucket family it shares most bands with, and links are confirmed
-   on full sets. Connected classes form components.
-3. Where a bucket still holds several components, pairs of classes across components come up if their sizes allow it
-   and the joint maximum-likelihood estimate from their registers and sizes is not far below the threshold. First the
-   best pair of any two components is confirmed, then, as long as components differ, every remaining pair.
+2. Each class is paired with the hub (the first class of a bucket) that it shares most buckets with, and links are
+   confirmed on full sets. Connected classes form components.
+3. Where buckets still hold several components, new hubs are drawn a few times; each class is paired with the hub of
+   another component that the joint maximum-likelihood estimate from registers and sizes finds most similar.
+4. Every pair of classes that still lies across components, shares a bucket, and whose sizes and estimate allow a link
+   is confirmed. It is looked at in the first band that the two share, and classes meet in blocks of some hundred.
 
 So every pair that shares a bucket is either confirmed, excluded, or in one component already: components are those of
 all links, though copies are never expanded into all pairs. A link at the very threshold shares no bucket with
-probability 0.684 ** 32, about 5 in a million, and is missed by the estimate with about 1 in ten million.
+probability 0.684 ** 32, about 5 in a million; the estimate has a standard error of 0.035 there, so one in 100,000 is
+refused by it. Both fall quickly above the threshold, and links between copies have other ways round.
 
 Null or empty texts and those of white space have the empty set and link with nothing. Rows that share an id, repeated
 or with different texts, are one document that links by any of its texts; each gets a row. Rows without an id link
@@ -37,10 +39,10 @@ from quarry.llm.common import WordHashes, checkpointed, id_and_text, map_blocks,
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE, SHIFT = 1.001, 8000
-#: A pair's estimate may be so far below the threshold: above five standard deviations.
-SLACK = 0.2
-#: Members that meet one copy of a hub's text when links are confirmed.
-MEMBERS = 500
+#: A pair's estimate may be so far below the threshold: above four standard errors.
+SLACK = 0.15
+#: Rounds of new hubs, hubs whose sets a task holds, and members that meet one copy of them.
+HUB_ROUNDS, HELD, MEMBERS = 4, 256, 2000
 
 
 def _points(h: np.ndarray, limit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,33 +149,40 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose full sets have the similarity. Texts are shuffled once to meet their pairs and once to meet
-    v's text, which is repeated for every few hundred members, so that no hub's members need one task."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    texts = narrowed(id_and_text(docs, id_col, text_col).where(f"{id_col} is not null").withColumnRenamed(id_col, "id"), "id", ids)
-    copies = pairs.groupBy("v").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
-    members = pairs.join(copies, "v").select(F.col("u").alias("id"), F.col("v").alias("hub"), F.pmod(F.xxhash64("u"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"))
-    hubs = copies.select(F.col("v").alias("id"), F.col("v").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"))
-    met = members.unionByName(hubs).join(texts, "id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    """The pairs (u, v) whose full sets have the similarity. The sets of some hundred v's are held by a task, past which
+    the texts of their u's stream; where many u's meet the same v's, these are repeated, so that no hub needs one task."""
+    pairs = pairs.select("u", "v").distinct()
+    texts = narrowed(id_and_text(docs, id_col, text_col).where(f"{id_col} is not null").toDF("id", "text"), "id", pairs.select(F.explode(F.array("u", "v")).alias("id")))
+    blocks = max(1, -(-pairs.select("v").distinct().count() // HELD))
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    members = dealt.groupBy("block", F.col("u").alias("id")).agg(F.collect_list("v").alias("hubs"))  # of one block, so some hundred
+    copies = members.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
+    members = members.join(copies, "block").select("id", "block", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "hubs")
+    hubs = dealt.select("block", F.col("v").alias("id")).distinct().join(copies, "block")
+    hubs = hubs.select("id", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), F.array().cast("array<long>").alias("hubs"))
+    met = members.unionByName(hubs).join(texts, "id").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, hub_sets = WordHashes(), None, []
+        hashes, at, held = WordHashes(), None, {}
         for batch in batches:
-            got = []
-            for hub, salt, member, key, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "salt", "member", "id", "text")), strict=True):
-                own = shingle_hashes(word_bytes(text), hashes)
-                if not member:
-                    hub_sets = [*(hub_sets if at == (hub, salt) else []), own]
-                    at = (hub, salt)
-                elif at == (hub, salt) and any(similar(own, x, percent) for x in hub_sets):
-                    got.append((key, hub))
-            yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in got], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            for k in range(0, batch.num_rows, 512):
+                got = []
+                for block, salt, member, key, wanted, text in zip(*(batch.column(c).slice(k, 512).to_pylist() for c in ("block", "salt", "member", "id", "hubs", "text")), strict=True):
+                    if at != (block, salt):
+                        at, held = (block, salt), {}
+                    own = shingle_hashes(word_bytes(text), hashes)
+                    if member:
+                        got += [(key, v) for v in wanted if any(similar(own, x, percent) for x in held.get(v, ()))]
+                    else:
+                        held.setdefault(key, []).append(own)
+                yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in got], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
-    return met.withColumnRenamed(text_col, "text").mapInArrow(run, "u long, v long").distinct()
+    return met.mapInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): every node of the edges (u, v) with the least node that it reaches, by alternating large and small stars."""
+    # Nodes that are their own label come back as those of the edges.
     edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
@@ -191,14 +200,43 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
 
 
-def _classes_with_labels(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return classes.withColumn("label", F.col("rep"))
-    return classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(rep, bucket): a class in each of its buckets."""
+    return classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
 
 
-def _buckets(classes: DataFrame, *more: str) -> DataFrame:
-    return classes.select("rep", *more, F.posexplode("bands").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key")).drop("band", "key")
+def _labelled(rows: DataFrame, labels: DataFrame, rep: str = "rep", label: str = "label") -> DataFrame:
+    """With the component of each class, its own id if it is in none."""
+    return rows.join(labels.toDF(rep, label), rep, "left").withColumn(label, F.coalesce(label, rep))
+
+
+def _weighed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that may be links by size and estimate, with ``guess``."""
+    of = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
+    met = pairs.join(of("u"), "u").join(of("v"), "v").where(sizes_allow(F.col("n_u"), F.col("n_v"), percent) & registers_agree(percent))
+    return likely(met, percent)
+
+
+def _round_of_hubs(mixed: DataFrame, labels: DataFrame, classes: DataFrame, salt: int, percent: int) -> DataFrame:
+    """(u, v): each class of the mixed buckets with the likeliest hub of another component, hubs drawn by hash."""
+    rows = _labelled(mixed, labels)
+    hubs = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(salt)).alias("draw"), "rep", "label")).alias("hub")).select("bucket", F.col("hub.rep").alias("v"), F.col("hub.label").alias("label_v"))
+    pairs = rows.join(hubs, "bucket").where("label <> label_v").select(F.col("rep").alias("u"), "v").distinct()
+    return _weighed(pairs, classes, percent).groupBy("u").agg(F.max(F.struct("guess", "v")).alias("best")).select("u", "best.v")
+
+
+def _rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(u, v): every pair across components that shares a bucket and may be a link. u isn't of its bucket's main component."""
+    rows = _labelled(mixed, labels)
+    main = rows.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main")
+    rows = rows.join(main, "bucket").join(classes.select("rep", "n", "bands"), "rep")
+    left = rows.where("label <> main").select("bucket", F.col("rep").alias("u"), F.col("label").alias("label_u"), F.col("n").alias("n_u"), F.col("bands").alias("bands_u"))
+    right = rows.select("bucket", F.col("rep").alias("v"), F.col("label").alias("label_v"), F.col("n").alias("n_v"), F.col("bands").alias("bands_v"), (F.col("label") == F.col("main")).alias("in_main"))
+    # A pair comes up once: in the first band that both share.
+    shared = F.array_position(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), F.lit(True))
+    first = F.xxhash64((shared - 1).cast("int"), F.get("bands_u", (shared - 1).cast("int")))
+    met = left.join(right.withColumnRenamed("bucket", "bucket_v"), (F.col("bucket") == F.col("bucket_v")) & (F.col("label_u") != F.col("label_v")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & sizes_allow(F.col("n_u"), F.col("n_v"), percent) & (F.col("bucket") == first) & registers_agree(percent))
+    return likely(met.select("u", "v", "n_u", "n_v", "bands_u", "bands_v"), percent).select("u", "v")
 
 
 def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,64 +245,55 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     whole = table.where(f"n > 0 and {id_col} is not null")
     classes = checkpointed(whole.groupBy("h1", "h2").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
-    # Hubs: of each bucket with several classes the first; of each class the hub it shares most buckets with.
     members = _buckets(classes)
     hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("bucket", "hub")
-    shared = members.join(hubs, "bucket").where("rep <> hub").groupBy("rep", "hub").count()
+    several = checkpointed(members.join(hubs, "bucket"))
+    shared = several.where("rep <> hub").groupBy("rep", "hub").count()
     first = shared.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("u"), (-F.col("best.hub")).alias("v"))
-    of = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
-    first = first.join(of("u"), "u").join(of("v"), "v").where(sizes_allow(F.col("n_u"), F.col("n_v"), percent))
-    first = checkpointed(likely(first, percent).select("u", "v"))
-    links = confirm(first, docs, percent, id_col, text_col)
-    labels = components(links)
-
-    # What is left: buckets with several components.
-    named = checkpointed(_classes_with_labels(classes, labels).select("rep", "n", "bands", "label"))
-    rest = _buckets(named, "label")
-    counted = rest.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", "count").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = rest.join(counted.select("bucket", "main"), "bucket")
-    full = lambda x: named.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
-    side = lambda x: mixed.select("bucket", "main", F.col("rep").alias(x), F.col("label").alias(f"label_{x}")).join(full(x), x)
-    left = side("u").where("label_u <> main").drop("main")
-    right = side("v").select("bucket", "v", "label_v", "n_v", "bands_v", (F.col("label_v") == F.col("main")).alias("in_main"))
-    registers_agree = F.aggregate(F.zip_with("bands_u", "bands_v", lambda x, y: _equal_registers(x, y)), F.lit(0), lambda a, x: a + x) >= int(REGISTERS * (percent / 100 - SLACK - 0.05))
-    met = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("label_u") != F.col("label_v")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & sizes_allow(F.col("n_u"), F.col("n_v"), percent) & registers_agree)
-    cross = checkpointed(likely(met.select("u", "v", "label_u", "label_v", "n_u", "n_v", "bands_u", "bands_v").dropDuplicates(["u", "v"]), percent).select("u", "v", "label_u", "label_v", "guess"))
-    if not cross.isEmpty():
-        best = cross.groupBy(F.least("label_u", "label_v").alias("a"), F.greatest("label_u", "label_v").alias("b")).agg(F.max_by(F.struct("u", "v"), "guess").alias("pair")).select("pair.u", "pair.v")
-        labels = _joined(labels, confirm(best, docs, percent, id_col, text_col))
-        left_over = _relabelled(cross, labels).where("label_u <> label_v").join(best, ["u", "v"], "left_anti").select("u", "v")
-        left_over = checkpointed(left_over)
-        if not left_over.isEmpty():
-            labels = _joined(labels, confirm(left_over, docs, percent, id_col, text_col))
-
-    named = _classes_with_labels(classes.select("h1", "h2", "rep"), labels).select("h1", "h2", "label")
+    first = checkpointed(_weighed(first, classes, percent).select("u", "v"))
+    labels = components(confirm(first, docs, percent, id_col, text_col))
+
+    # Only buckets with several components go on.
+    named = _labelled(several.select("rep", "bucket"), labels)
+    open_ = named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+    mixed = checkpointed(several.select("rep", "bucket").join(open_, "bucket"))
+    involved = checkpointed(classes.join(mixed.select("rep").distinct(), "rep").select("rep", "n", "bands"))
+    for salt in range(HUB_ROUNDS):
+        tried = checkpointed(_round_of_hubs(mixed, labels, involved, salt, percent))
+        if tried.isEmpty():
+            break
+        labels, more = _joined(labels, confirm(tried, docs, percent, id_col, text_col))
+        if not more:
+            break
+    left_over = checkpointed(_rest(mixed, labels, involved, percent))
+    if not left_over.isEmpty():
+        # The fewer sets, those of classes outside the main components, are held.
+        labels, _ = _joined(labels, confirm(left_over.select(F.col("v").alias("u"), F.col("u").alias("v")), docs, percent, id_col, text_col))
+
+    named = _labelled(classes.select("h1", "h2", "rep"), labels).select("h1", "h2", "label")
     rows = table.select(id_col, "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when((F.col("n") > 0) & F.col(id_col).isNotNull(), F.col("label")).otherwise(F.col(id_col))
     return rows.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
 
 
+def registers_agree(percent: int) -> Column:
+    """Whether about as many registers are equal as a link needs, less the slack."""
+    equal = F.aggregate(F.zip_with("bands_u", "bands_v", _equal_registers), F.lit(0), lambda a, x: a + x)
+    return equal >= int(REGISTERS * (percent / 100 - SLACK - 0.02))
+
+
 def _equal_registers(x: Column, y: Column) -> Column:
     differ = x.bitwiseXOR(y)
     mask = F.lit(0xFFFF)
     return sum((F.when(F.shiftrightunsigned(differ, 16 * k).bitwiseAND(mask) == 0, 1).otherwise(0) for k in range(ROWS)), F.lit(0))
 
 
-def _relabelled(cross: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs with the present labels of their classes."""
-    for x in ("u", "v"):
-        now = labels.select(F.col("node").alias(x), F.col("label").alias("now"))
-        cross = cross.join(now, x, "left").withColumn(f"label_{x}", F.coalesce("now", x)).drop("now")
-    return cross
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after further links between classes."""
+def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """The labels after further links between classes, and whether there were any."""
     merged = checkpointed(links)
     if merged.isEmpty():
-        return labels
-    edges = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(merged)
-    return components(edges)
+        return labels, False
+    return components(labels.toDF("u", "v").unionByName(merged)), True
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
