@@ -10,13 +10,14 @@ as their Jaccard similarity. Bands of four registers are buckets.
    confirmed on full sets. Connected classes form components.
 3. Where buckets still hold several components, new hubs are drawn a few times; each class is paired with the hub of
    another component that the joint maximum-likelihood estimate from registers and sizes finds most similar.
-4. Every pair of classes that still lies across components, shares a bucket, and whose sizes and estimate allow a link
-   is confirmed. It is looked at in the first band that the two share, and classes meet in blocks of some hundred.
+4. Of each bucket that still holds several components, the classes outside its main one are dealt into blocks of some
+   hundred. All classes of their buckets stream past the blocks, and pairs across components whose registers allow a link
+   are confirmed.
 
 So every pair that shares a bucket is either confirmed, excluded, or in one component already: components are those of
 all links, though copies are never expanded into all pairs. A link at the very threshold shares no bucket with
 probability 0.684 ** 32, about 5 in a million; the estimate has a standard error of 0.035 there, so one in 100,000 is
-refused by it. Both fall quickly above the threshold, and links between copies have other ways round.
+refused by it or by the count of equal registers. Both fall quickly above the threshold, and links between copies have other ways round.
 
 Null or empty texts and those of white space have the empty set and link with nothing. Rows that share an id, repeated
 or with different texts, are one document that links by any of its texts; each gets a row. Rows without an id link
@@ -42,7 +43,7 @@ BASE, SHIFT = 1.001, 8000
 #: A pair's estimate may be so far below the threshold: above four standard errors.
 SLACK = 0.15
 #: Rounds of new hubs, hubs whose sets a task holds, and members that meet one copy of them.
-HUB_ROUNDS, HELD, MEMBERS = 4, 256, 2000
+HUB_ROUNDS, HELD, MEMBERS = 4, 512, 2000
 
 
 def _points(h: np.ndarray, limit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,32 +150,65 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose full sets have the similarity. The sets of some hundred v's are held by a task, past which
-    the texts of their u's stream; where many u's meet the same v's, these are repeated, so that no hub needs one task."""
+    """The pairs (u, v) whose full sets have the similarity."""
     pairs = pairs.select("u", "v").distinct()
-    texts = narrowed(id_and_text(docs, id_col, text_col).where(f"{id_col} is not null").toDF("id", "text"), "id", pairs.select(F.explode(F.array("u", "v")).alias("id")))
     blocks = max(1, -(-pairs.select("v").distinct().count() // HELD))
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
-    members = dealt.groupBy("block", F.col("u").alias("id")).agg(F.collect_list("v").alias("hubs"))  # of one block, so some hundred
+    none = (F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<long>").alias("bands"))
+    members = dealt.groupBy("block", F.col("u").alias("id")).agg(F.collect_list("v").alias("hubs")).select("block", "id", "hubs", *none)  # of one block, so some hundred
+    held = dealt.select("block", F.col("v").alias("id")).distinct().select("block", "id", *none)
+    return _meet(members, held, docs, percent, id_col, text_col)
+
+
+def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The links (u, v) across components among classes that share a bucket. The classes outside their bucket's main component
+    are dealt into blocks; every class of a bucket goes to the blocks that have one of its bucket, and meets all
+    they hold. So rows grow with classes times blocks, and no pairs are listed."""
+    rows = _labelled(mixed, labels)
+    main = rows.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main")
+    rows = checkpointed(rows.join(main, "bucket"))
+    outside = rows.where("label <> main")
+    blocks = max(1, -(-outside.select("rep").distinct().count() // HELD))
+    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block")
+    members = rows.select("bucket", "rep", "label").join(outside.select("bucket", block).distinct(), "bucket").select("block", "rep", "label").distinct()
+    held = outside.select(block, "rep", "label").distinct()
+    members, held = (x.join(classes.select("rep", "bands"), "rep").withColumnRenamed("rep", "id") for x in (members, held))
+    members = members.select("block", "id", F.lit(None).cast("array<long>").alias("hubs"), "label", "bands")
+    return _meet(members, held.select("block", "id", "label", "bands"), docs, percent, id_col, text_col)
+
+
+def _meet(members: DataFrame, held: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The links (u, v) between members (block, id, hubs, label, bands) and what their block holds (block, id, label, bands): the
+    listed hubs, or else those of other labels whose registers agree. A task holds the sets of some hundred ids, past
+    which the texts of the members stream; where many members meet one block, what it holds is repeated."""
     copies = members.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
-    members = members.join(copies, "block").select("id", "block", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "hubs")
-    hubs = dealt.select("block", F.col("v").alias("id")).distinct().join(copies, "block")
-    hubs = hubs.select("id", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), F.array().cast("array<long>").alias("hubs"))
-    met = members.unionByName(hubs).join(texts, "id").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
+    members = members.join(copies, "block").select("id", "block", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "hubs", "label", "bands")
+    held = held.join(copies, "block").select("id", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), F.lit(None).cast("array<long>").alias("hubs"), "label", "bands")
+    asked = checkpointed(members.unionByName(held))
+    texts = narrowed(id_and_text(docs, id_col, text_col).where(f"{id_col} is not null").toDF("id", "text"), "id", asked.select("id"))
+    met = asked.join(texts, "id").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
+    columns = ("block", "salt", "member", "id", "hubs", "label", "bands", "text")
+    least = _least_equal(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, held = WordHashes(), None, {}
+        hashes, at, sets, about, packed = WordHashes(), None, {}, [], None
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 got = []
-                for block, salt, member, key, wanted, text in zip(*(batch.column(c).slice(k, 512).to_pylist() for c in ("block", "salt", "member", "id", "hubs", "text")), strict=True):
+                for block, salt, member, key, hubs, label, bands, text in zip(*(batch.column(c).slice(k, 512).to_pylist() for c in columns), strict=True):
                     if at != (block, salt):
-                        at, held = (block, salt), {}
+                        at, sets, about, packed = (block, salt), {}, [], None
                     own = shingle_hashes(word_bytes(text), hashes)
-                    if member:
-                        got += [(key, v) for v in wanted if any(similar(own, x, percent) for x in held.get(v, ()))]
-                    else:
-                        held.setdefault(key, []).append(own)
+                    if not member:
+                        sets.setdefault(key, []).append(own)
+                        about.append((key, label, bands))
+                        continue
+                    if hubs is None:
+                        if packed is None:
+                            packed = np.array([b for *_, b in about], np.int64).view(np.uint16).reshape(len(about), REGISTERS)
+                        equal = (packed == np.array(bands, np.int64).view(np.uint16)).sum(1)
+                        hubs = {about[i][0] for i in np.flatnonzero(equal >= least) if about[i][1] != label}
+                    got += [(key, v) for v in hubs if any(similar(own, x, percent) for x in sets.get(v, ()))]
                 yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in got], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return met.mapInArrow(run, "u long, v long").distinct()
@@ -225,20 +259,6 @@ def _round_of_hubs(mixed: DataFrame, labels: DataFrame, classes: DataFrame, salt
     return _weighed(pairs, classes, percent).groupBy("u").agg(F.max(F.struct("guess", "v")).alias("best")).select("u", "best.v")
 
 
-def _rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(u, v): every pair across components that shares a bucket and may be a link. u isn't of its bucket's main component."""
-    rows = _labelled(mixed, labels)
-    main = rows.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main")
-    rows = rows.join(main, "bucket").join(classes.select("rep", "n", "bands"), "rep")
-    left = rows.where("label <> main").select("bucket", F.col("rep").alias("u"), F.col("label").alias("label_u"), F.col("n").alias("n_u"), F.col("bands").alias("bands_u"))
-    right = rows.select("bucket", F.col("rep").alias("v"), F.col("label").alias("label_v"), F.col("n").alias("n_v"), F.col("bands").alias("bands_v"), (F.col("label") == F.col("main")).alias("in_main"))
-    # A pair comes up once: in the first band that both share.
-    shared = F.array_position(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), F.lit(True))
-    first = F.xxhash64((shared - 1).cast("int"), F.get("bands_u", (shared - 1).cast("int")))
-    met = left.join(right.withColumnRenamed("bucket", "bucket_v"), (F.col("bucket") == F.col("bucket_v")) & (F.col("label_u") != F.col("label_v")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & sizes_allow(F.col("n_u"), F.col("n_v"), percent) & (F.col("bucket") == first) & registers_agree(percent))
-    return likely(met.select("u", "v", "n_u", "n_v", "bands_u", "bands_v"), percent).select("u", "v")
-
-
 def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id reachable over links of ``percent`` similarity) and kept."""
     table = checkpointed(sketch_table(docs, id_col, text_col))
@@ -265,10 +285,7 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         labels, more = _joined(labels, confirm(tried, docs, percent, id_col, text_col))
         if not more:
             break
-    left_over = checkpointed(_rest(mixed, labels, involved, percent))
-    if not left_over.isEmpty():
-        # The fewer sets, those of classes outside the main components, are held.
-        labels, _ = _joined(labels, confirm(left_over.select(F.col("v").alias("u"), F.col("u").alias("v")), docs, percent, id_col, text_col))
+    labels, _ = _joined(labels, confirm_rest(mixed, labels, involved, docs, percent, id_col, text_col))
 
     named = _labelled(classes.select("h1", "h2", "rep"), labels).select("h1", "h2", "label")
     rows = table.select(id_col, "n", "h1", "h2").join(named, ["h1", "h2"], "left")
@@ -279,7 +296,11 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 def registers_agree(percent: int) -> Column:
     """Whether about as many registers are equal as a link needs, less the slack."""
     equal = F.aggregate(F.zip_with("bands_u", "bands_v", _equal_registers), F.lit(0), lambda a, x: a + x)
-    return equal >= int(REGISTERS * (percent / 100 - SLACK - 0.02))
+    return equal >= _least_equal(percent)
+
+
+def _least_equal(percent: int) -> int:
+    return int(REGISTERS * (percent / 100 - SLACK - 0.02))
 
 
 def _equal_registers(x: Column, y: Column) -> Column:
