@@ -36,7 +36,13 @@ WINDOW, STEP = 48, 40
 #: Bits of the buckets of evidence and of vectors, width of the vectors, states of each direction, units of the attention.
 EVIDENCE_BITS, VECTOR_BITS, WIDTH, HIDDEN, LOOKS = 20, 15, 8, 8, 8
 INPUT = WIDTH + 2
+#: Share of words that are learned from as if they were new.
+UNKNOWN = 0.25
+#: Evidence is kept in whole numbers; this many are 1 to the network.
+SCALE = 8
 EPOCHS, BATCH, RATE, FOLDS, SEED = 6, 32, 0.01, 5, 11
+#: Share of the rate by which word and n-gram vectors move; they are many, and few texts would be learned by heart.
+TABLE_RATE = 0.02
 GRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.7
 
@@ -125,8 +131,8 @@ class Network:
         for k in range(0, len(words), 20_000):
             grams, first, whole = features(words[k : k + 20_000])
             part = out[k : k + 20_000]
-            part[:, 0] = np.maximum.reduceat(of_grams[_evidence_bucket(grams)], first) / np.float32(16)
-            part[:, 1] = of_words[_evidence_bucket(whole)] / np.float32(16)
+            part[:, 0] = np.maximum.reduceat(of_grams[_evidence_bucket(grams)], first) / np.float32(SCALE)
+            part[:, 1] = of_words[_evidence_bucket(whole)] / np.float32(SCALE)
             count = np.diff(np.append(first, len(grams))).astype(np.float32)
             part[:, 2:] = np.add.reduceat(self.w["chars"][_vector_bucket(grams)], first, 0) / count[:, None] + self.w["table"][_vector_bucket(whole)]
         return out
@@ -222,7 +228,7 @@ class Adam:
             at = rows.get(k, slice(None))
             self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * x
             self.v[k][at] = 0.999 * self.v[k][at] + 0.001 * x * x
-            self.w[k][at] -= rate * self.m[k][at] / (np.sqrt(self.v[k][at]) + 1e-6)
+            self.w[k][at] -= (TABLE_RATE if k in rows else 1) * rate * self.m[k][at] / (np.sqrt(self.v[k][at]) + 1e-6)
 
 
 def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -245,7 +251,9 @@ def score_texts(network: Network, texts: list[str | None], evidence: list[np.nda
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Learns from whole texts."""
+    """Learns from whole texts, and from an empty one now and then, which is clean."""
+    bare = max(1, len(texts) // 20)
+    texts, labels = [*texts, *[""] * bare], np.append(labels, np.zeros(bare, labels.dtype))
     network, r = Network(seed), np.random.default_rng(seed)
     fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts])  # copies share a fold
     counts = np.zeros((FOLDS, 2, 2, 1 << EVIDENCE_BITS), np.uint16)
@@ -283,7 +291,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             picked += [(part, b, labels[k]) for b, k in zip(best, some, strict=True)]
         for batch in np.array_split(r.permutation(len(picked)), -(-len(picked) // BATCH)):
             chosen = sorted(picked[k] for k in batch)
-            _learn_batch(network, adam, parts, of_fold, chosen, RATE * (1 - 0.9 * turn / turns))
+            _learn_batch(network, adam, parts, of_fold, chosen, RATE * (1 - 0.9 * turn / turns), r)
     for f, some, names, index, owner in parts:
         value = network.logits(network.vectors(names, of_fold[f]), index)
         logits[some] = np.maximum.reduceat(value, np.flatnonzero(np.diff(owner, prepend=-1)))
@@ -291,8 +299,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return network
 
 
-def _learn_batch(network: Network, adam: Adam, parts: list, of_fold: list, chosen: list[tuple[int, int, int]], rate: float) -> None:
-    """One step on the chosen (part, window, label)."""
+def _learn_batch(network: Network, adam: Adam, parts: list, of_fold: list, chosen: list[tuple[int, int, int]], rate: float, r: np.random.Generator) -> None:
+    """One step on the chosen (part, window, label). Some words lose their own evidence, as new words have none."""
     vectors, index, names, n = [], np.full((len(chosen), WINDOW), -1), [], 0
     for row, (part, window, _) in enumerate(chosen):
         f, _, own, all_, _ = parts[part]
@@ -301,6 +309,7 @@ def _learn_batch(network: Network, adam: Adam, parts: list, of_fold: list, chose
         if len(seen):
             words = [own[k] for k in seen]
             vectors.append(network.vectors(words, of_fold[f]))
+            vectors[-1][r.random(len(words)) < UNKNOWN, 1] = 0
             names += words
             index[row, : len(places)] = n + back
             n += len(seen)
