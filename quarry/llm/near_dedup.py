@@ -8,7 +8,7 @@ as their Jaccard similarity. Bands of four registers are buckets.
 1. Equal sets are one class, named by its least id. Only classes go on.
 2. Each class is paired with the hub (the first class of a bucket) that it shares most buckets with, and links are
    confirmed on full sets. Connected classes form components.
-3. Where buckets still hold several components, new hubs are drawn a few times; each class is paired with the hub of
+3. Where buckets still hold several components, new hubs are drawn; each class is paired with the hub of
    another component that the joint maximum-likelihood estimate from registers and sizes finds most similar.
 4. Of each bucket that still holds several components, the classes outside its main one are dealt into blocks of some
    hundred. All classes of their buckets stream past the blocks, and pairs across components whose registers allow a link
@@ -43,7 +43,7 @@ BASE, SHIFT = 1.001, 8000
 #: A pair's estimate may be so far below the threshold: above four standard errors.
 SLACK = 0.15
 #: Rounds of new hubs, hubs whose sets a task holds, and members that meet one copy of them.
-HUB_ROUNDS, HELD, MEMBERS = 4, 512, 2000
+HUB_ROUNDS, HELD, MEMBERS = 1, 512, 2000
 
 
 def _points(h: np.ndarray, limit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,16 +154,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
     pairs = pairs.select("u", "v").distinct()
     blocks = max(1, -(-pairs.select("v").distinct().count() // HELD))
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
-    none = (F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<long>").alias("bands"))
-    members = dealt.groupBy("block", F.col("u").alias("id")).agg(F.collect_list("v").alias("hubs")).select("block", "id", "hubs", *none)  # of one block, so some hundred
-    held = dealt.select("block", F.col("v").alias("id")).distinct().select("block", "id", *none)
-    return _meet(members, held, docs, percent, id_col, text_col)
+    members = dealt.groupBy("block", F.col("u").alias("id")).agg(F.collect_list("v").alias("hubs"))  # of one block, so some hundred
+    members = members.unionByName(dealt.select("block", F.col("v").alias("id"), F.lit(None).cast("array<long>").alias("hubs")))
+    return _meet(members, docs, percent, id_col, text_col)
 
 
 def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The links (u, v) across components among classes that share a bucket. The classes outside their bucket's main component
-    are dealt into blocks; every class of a bucket goes to the blocks that have one of its bucket, and meets all
-    they hold. So rows grow with classes times blocks, and no pairs are listed."""
+    are dealt into blocks; the registers of every class of a bucket go to the blocks that have one of its bucket, and meet
+    all they hold. So rows grow with classes times blocks; no pairs are listed, and only texts that may have a link move."""
     rows = _labelled(mixed, labels)
     main = rows.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main")
     rows = checkpointed(rows.join(main, "bucket"))
@@ -172,43 +171,63 @@ def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block")
     members = rows.select("bucket", "rep", "label").join(outside.select("bucket", block).distinct(), "bucket").select("block", "rep", "label").distinct()
     held = outside.select(block, "rep", "label").distinct()
-    members, held = (x.join(classes.select("rep", "bands"), "rep").withColumnRenamed("rep", "id") for x in (members, held))
-    members = members.select("block", "id", F.lit(None).cast("array<long>").alias("hubs"), "label", "bands")
-    return _meet(members, held.select("block", "id", "label", "bands"), docs, percent, id_col, text_col)
-
+    copies = members.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
+    members = members.join(copies, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "rep", "label")
+    held = held.join(copies, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), "rep", "label")
+    met = members.unionByName(held).join(classes.select("rep", "bands"), "rep").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
+    least, out = _least_equal(percent), pa.schema([("block", pa.int32()), ("id", pa.int64()), ("hubs", pa.list_(pa.int64()))])
 
-def _meet(members: DataFrame, held: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The links (u, v) between members (block, id, hubs, label, bands) and what their block holds (block, id, label, bands): the
-    listed hubs, or else those of other labels whose registers agree. A task holds the sets of some hundred ids, past
-    which the texts of the members stream; where many members meet one block, what it holds is repeated."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, about, packed, used = None, [], None, set()
+        names = marks = None
+        for batch in batches:
+            got = []
+            for block, salt, member, key, label, bands in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "member", "rep", "label", "bands")), strict=True):
+                if at != (block, salt):
+                    got += [{"block": at[0], "id": k, "hubs": None} for k in used]
+                    at, about, packed, used = (block, salt), [], None, set()
+                own = np.array(bands, np.int64).view(np.uint16)
+                if not member:
+                    about.append((key, label, own))
+                    continue
+                if packed is None:
+                    packed, names, marks = np.array([b for *_, b in about]), np.array([k for k, *_ in about]), np.array([x for _, x, _ in about])
+                hubs = names[((packed == own).sum(1) >= least) & (marks != label)]
+                if len(hubs):
+                    used.update(listed := np.unique(hubs).tolist())
+                    got.append({"block": block, "id": key, "hubs": listed})
+            yield pa.RecordBatch.from_pylist(got, out)
+        yield pa.RecordBatch.from_pylist([{"block": at[0], "id": k, "hubs": None} for k in used], out)
+
+    return _meet(met.mapInArrow(run, "block int, id long, hubs array<long>"), docs, percent, id_col, text_col)
+
+
+def _meet(members: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The links (u, v) between members (block, id, hubs) and their hubs, which have rows without hubs. A task holds the sets of a block's hubs, some hundred, past
+    which the texts of its members stream; where many members meet one block, its hubs are repeated."""
+    rows = checkpointed(members)
+    members = rows.where("hubs is not null")
     copies = members.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
-    members = members.join(copies, "block").select("id", "block", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "hubs", "label", "bands")
-    held = held.join(copies, "block").select("id", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), F.lit(None).cast("array<long>").alias("hubs"), "label", "bands")
-    asked = checkpointed(members.unionByName(held))
+    hubs = rows.where("hubs is null").select("block", "id").distinct().join(copies, "block")
+    hubs = hubs.select("id", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), F.array().cast("array<long>").alias("hubs"))
+    streamed = members.join(copies, "block").select("id", "block", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "hubs")
+    asked = streamed.unionByName(hubs)
     texts = narrowed(id_and_text(docs, id_col, text_col).where(f"{id_col} is not null").toDF("id", "text"), "id", asked.select("id"))
     met = asked.join(texts, "id").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
-    columns = ("block", "salt", "member", "id", "hubs", "label", "bands", "text")
-    least = _least_equal(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, sets, about, packed = WordHashes(), None, {}, [], None
+        hashes, at, sets = WordHashes(), None, {}
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 got = []
-                for block, salt, member, key, hubs, label, bands, text in zip(*(batch.column(c).slice(k, 512).to_pylist() for c in columns), strict=True):
+                for block, salt, member, key, wanted, text in zip(*(batch.column(c).slice(k, 512).to_pylist() for c in ("block", "salt", "member", "id", "hubs", "text")), strict=True):
                     if at != (block, salt):
-                        at, sets, about, packed = (block, salt), {}, [], None
+                        at, sets = (block, salt), {}
                     own = shingle_hashes(word_bytes(text), hashes)
-                    if not member:
+                    if member:
+                        got += [(key, v) for v in wanted if any(similar(own, x, percent) for x in sets.get(v, ()))]
+                    else:
                         sets.setdefault(key, []).append(own)
-                        about.append((key, label, bands))
-                        continue
-                    if hubs is None:
-                        if packed is None:
-                            packed = np.array([b for *_, b in about], np.int64).view(np.uint16).reshape(len(about), REGISTERS)
-                        equal = (packed == np.array(bands, np.int64).view(np.uint16)).sum(1)
-                        hubs = {about[i][0] for i in np.flatnonzero(equal >= least) if about[i][1] != label}
-                    got += [(key, v) for v in hubs if any(similar(own, x, percent) for x in sets.get(v, ()))]
                 yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in got], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return met.mapInArrow(run, "u long, v long").distinct()
