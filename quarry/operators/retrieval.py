@@ -101,12 +101,18 @@ def metadata_documents(profile: DataFrame, entries: Sequence[tuple[str, str]] =
     """(id, dataset, kind, column, text): an overview and a dictionary of each dataset and a card of each column, from
     profile rows (dataset, position, column, role, kind, unique, missing_pct)."""
     named = glossary(profile, entries)
-    of_role = lambda r: F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("position", "column")))), lambda x: x["column"]), ", "), F.lit(""))
-    lists = profile.groupBy("dataset").agg(F.count("*").alias("n"), *(of_role(r).alias(r) for r in ("metric", "dimension", "date", "identifier", "text")))  # a dataset's columns
-    overview = lists.select("dataset", F.lit("overview").alias("kind"), F.lit("").alias("column"), F.concat(F.lit("Table "), "dataset", F.lit(": "), F.col("n").cast("string"), F.lit(" columns. Metrics: "), "metric", F.lit(". Dimensions: "), "dimension", F.lit(". Dates: "), "date", F.lit(". Identifiers: "), "identifier", F.lit(". Texts: "), "text", F.lit(".")).alias("text"))
-    line = F.concat_ws(" / ", "column", "role", "kind", F.col("unique").cast("string"))
-    dictionary = profile.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines")).select("dataset", F.lit("dictionary").alias("kind"), F.lit("").alias("column"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
-    card = F.concat(F.lit("Column "), "column", F.lit(" of "), "dataset", F.lit(": "), "role", F.lit(", "), "kind", F.lit(", "), F.col("unique").cast("string"), F.lit(" distinct values."), F.coalesce(F.concat(F.lit(" "), "definition"), F.lit("")))
-    columns = named.select("dataset", F.lit("column").alias("kind"), "column", card.alias("text"))
-    every = overview.unionByName(dictionary).unionByName(columns)
-    return every.select(F.concat_ws("::", "dataset", "kind", F.nullif(F.col("column"), F.lit(""))).alias("id"), "dataset", "kind", "column", "text")
+    # A dataset's columns fit one row; all of its documents come from that row, so the profile is worked out once.
+    about = F.struct("position", "column", "role", "kind", F.col("unique").cast("string").alias("unique"), "definition")
+    sets = named.groupBy("dataset").agg(F.array_sort(F.collect_list(about)).alias("columns"))
+
+    def of_role(role: str) -> Column:
+        return F.array_join(F.transform(F.filter("columns", lambda c: c["role"] == role), lambda c: c["column"]), ", ")
+
+    said = [x for label, role in (("Metrics", "metric"), ("Dimensions", "dimension"), ("Dates", "date"), ("Identifiers", "identifier"), ("Texts", "text")) for x in (F.lit(f" {label}: "), of_role(role), F.lit("."))]
+    overview = F.concat(F.lit("Table "), "dataset", F.lit(": "), F.size("columns").cast("string"), F.lit(" columns."), *said)
+    dictionary = F.array_join(F.transform("columns", lambda c: F.concat_ws(" / ", c["column"], c["role"], c["kind"], c["unique"])), "\n")
+    doc = lambda kind, column, text: F.struct(F.lit(kind).alias("kind"), column.alias("column"), text.alias("text"))
+    card = lambda c: F.concat(F.lit("Column "), c["column"], F.lit(" of "), F.col("dataset"), F.lit(": "), c["role"], F.lit(", "), c["kind"], F.lit(", "), c["unique"], F.lit(" distinct values."), F.coalesce(F.concat(F.lit(" "), c["definition"]), F.lit("")))
+    every = F.concat(F.array(doc("overview", F.lit(""), overview), doc("dictionary", F.lit(""), dictionary)), F.transform("columns", lambda c: doc("column", c["column"], card(c))))
+    rows = sets.select("dataset", F.explode(every).alias("d")).select("dataset", "d.*")
+    return rows.select(F.concat_ws("::", "dataset", "kind", F.nullif(F.col("column"), F.lit(""))).alias("id"), "dataset", "kind", "column", "text")
