@@ -141,7 +141,7 @@ def lines_with_open_quotes(spark, sf):
 @query("select doc_id, md5(text) as digest from documents")
 def decode_files(spark, sf):
     raw = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("file"), F.when(F.col("lang") == "fr", F.encode("text", "ISO-8859-1")).otherwise(F.col("text").cast("binary")).alias("raw"))
-    return raw.join(F.broadcast(D.utf8_files(raw)), "file").select("doc_id", F.md5(D.decoded(F.col("raw"), F.col("utf8")).cast("binary")).alias("digest"))
+    return raw.join(D.utf8_files(raw), "file").select("doc_id", F.md5(D.decoded(F.col("raw"), F.col("utf8")).cast("binary")).alias("digest"))
 
 
 @query("select * from orders where (o_custkey, o_orderkey) > (500, 0) order by o_custkey, o_orderkey limit 100")
