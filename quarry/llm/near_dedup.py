@@ -44,6 +44,8 @@ BASE, SHIFT = 1.001, 8000
 SLACK = 0.15
 #: Rounds of new hubs, hubs whose sets a task holds, and members that meet one copy of them.
 HUB_ROUNDS, HELD, MEMBERS = 1, 512, 2000
+#: Classes whose registers, 256 bytes each, a task holds.
+HELD_REGISTERS = 16_384
 
 
 def _points(h: np.ndarray, limit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,13 +163,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
 
 def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The links (u, v) across components among classes that share a bucket. The classes outside their bucket's main component
-    are dealt into blocks; the registers of every class of a bucket go to the blocks that have one of its bucket, and meet
-    all they hold. So rows grow with classes times blocks; no pairs are listed, and only texts that may have a link move."""
+    are dealt into blocks; the registers of every class of a bucket go to the (large) blocks that have one of its bucket, and
+    meet all they hold. So rows grow with classes times blocks; no pairs are listed, and only texts that may have a link move."""
     rows = _labelled(mixed, labels)
     main = rows.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main")
     rows = checkpointed(rows.join(main, "bucket"))
     outside = rows.where("label <> main")
-    blocks = max(1, -(-outside.select("rep").distinct().count() // HELD))
+    n = outside.select("rep").distinct().count()
+    blocks, text_blocks = max(1, -(-n // HELD_REGISTERS)), max(1, -(-n // HELD))
     block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block")
     members = rows.select("bucket", "rep", "label").join(outside.select("bucket", block).distinct(), "bucket").select("block", "rep", "label").distinct()
     held = outside.select(block, "rep", "label").distinct()
@@ -184,7 +187,7 @@ def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs:
             got = []
             for block, salt, member, key, label, bands in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "member", "rep", "label", "bands")), strict=True):
                 if at != (block, salt):
-                    got += [{"block": at[0], "id": k, "hubs": None} for k in used]
+                    got += [{"block": k % text_blocks, "id": k, "hubs": None} for k in used]
                     at, about, packed, used = (block, salt), [], None, set()
                 own = np.array(bands, np.int64).view(np.uint16)
                 if not member:
@@ -195,9 +198,10 @@ def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs:
                 hubs = names[((packed == own).sum(1) >= least) & (marks != label)]
                 if len(hubs):
                     used.update(listed := np.unique(hubs).tolist())
-                    got.append({"block": block, "id": key, "hubs": listed})
+                    for of in {k % text_blocks for k in listed}:
+                        got.append({"block": of, "id": key, "hubs": [k for k in listed if k % text_blocks == of]})
             yield pa.RecordBatch.from_pylist(got, out)
-        yield pa.RecordBatch.from_pylist([{"block": at[0], "id": k, "hubs": None} for k in used], out)
+        yield pa.RecordBatch.from_pylist([{"block": k % text_blocks, "id": k, "hubs": None} for k in used], out)
 
     return _meet(met.mapInArrow(run, "block int, id long, hubs array<long>"), docs, percent, id_col, text_col)
 
