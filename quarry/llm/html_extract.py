@@ -2,7 +2,8 @@
 
 A page is read into text nodes with their root-to-leaf paths of block tags. Elements that by their tag, role, class or
 id are no article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
-give no nodes. For each path the length of unlinked text and the punctuation of all its nodes are summed and divided
+give no nodes. A role, class or id leaves out no heading and no element that holds one or the page's article; such
+elements have paths of their own. Names like has-sidebar and ids like search-methods aren't taken for marks. For each path the length of unlinked text and the punctuation of all its nodes are summed and divided
 by the nodes; both ratios are smoothed over the nodes in page order, fused, and a path's nodes stay if the path's mean
 reaches a share of the page's best. Where the page marks an article, only what stands in it is scored.
 
@@ -34,7 +35,12 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 OUT = frozenset("head script style noscript template nav header footer aside form button select option textarea input menu dialog iframe object svg math canvas audio video title figure map".split())
 #: Words in a class, id or role that mark what isn't article text.
 MARKS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split())
+#: Words that tell where or what a marked block is; an id of other words beside a mark is an anchor's (search-methods).
+PLACES = frozenset("area bar block bottom box buttons container content global holder icons inner item items left links list main mobile outer page posts primary right secondary section site slot stories top unit wrap wrapper".split())
+#: Words by which a name tells of a block elsewhere (has-sidebar).
+ABOUT = frozenset("has with without no not".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that end an open one of their own kind.
 SAME = frozenset("p li dt dd tr td th option".split())
 PUNCTUATION = frozenset(string.punctuation + "…–—«»“”‘’¿¡。、,！？") - frozenset("&%$#*/\\|_=+<>@^~`")
@@ -42,40 +48,60 @@ PUNCTUATION = frozenset(string.punctuation + "…–—«»“”‘’¿¡。
 SPREAD, IN_ARTICLE, ANYWHERE = 1.0, 0.02, 0.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
-MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
 
 
-def _is_out(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in OUT:
-        return not (in_article and tag in ("header", "figure"))  # an article's own head holds its heading
-    if attributes and tag not in ("body", "html", "article", "main"):
-        for m in MARKED.finditer(attributes):
-            if not MARKS.isdisjoint(WORD.findall((m[1] or m[2] or m[3] or "").lower())):
+def _is_out(tag: str, in_article: bool) -> bool:
+    return tag in OUT and not (in_article and tag in ("header", "figure"))  # an article's own head holds its heading
+
+
+def _is_marked(tag: str, attributes: str) -> bool:
+    """Whether a class, id or role says that the element is no article text."""
+    if not attributes or tag in HEADINGS or tag in ARTICLE or tag in ("body", "html"):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        kind = m[1].lower()
+        if kind not in ("class", "id", "role"):
+            continue
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = WORD.findall(name)
+            at = next((k for k, w in enumerate(words) if w in MARKS), None)
+            if at is None or not ABOUT.isdisjoint(words[:at]):
+                continue
+            if kind != "id" or all(w in MARKS or w in PLACES for w in words):
                 return True
     return False
 
 
 def nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
     """(path, block, text, linked, in an article) of each text node outside the elements that are left out."""
-    found = []
-    stack: list[tuple[str, bool]] = []  # tag, left out
+    found = []  # with the innermost marked element
+    stack: list[tuple[str, bool, bool]] = []  # tag, left out, marked by a name
+    # Of marked elements: the one around, whether a heading stands in it, and the lengths of the articles in it. Number 0 is the page.
+    around, headed, articles = [0], [True], [0]
+    within: list[tuple[int, int]] = [(0, 0)]  # marked element, and how many articles were open where it began
     path, block, out, links, article = "", 0, 0, 0, 0
 
     def close(upto: int) -> None:
         nonlocal path, out, links, article
         while len(stack) > upto:
-            tag, gone = stack.pop()
+            tag, gone, marked = stack.pop()
             out -= gone
             links -= tag == "a"
             article -= tag in ARTICLE
-        path = "/".join(t for t, _ in stack if t not in INLINE)
+            if marked:
+                within.pop()
+        path = "/".join(t + "!" * marked for t, _, marked in stack if t not in INLINE)
 
     for m in TOKEN.finditer(page):
         raw, end, tag, attributes, text = m.groups()
         if text is not None:
             if not out:
-                found.append((path, block, text, links > 0, article > 0))
+                found.append((path, block, text, links > 0, article > 0, within[-1][0]))
+                for k in range(len(within) - 1, 0, -1):
+                    if article > within[k][1]:  # an article that stands in the marked element
+                        articles[within[k][0]] += len(text.strip())
             continue
         if tag is None:
             continue
@@ -91,7 +117,7 @@ def nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
                     break  # an inline tag ends nothing beyond its block
         elif tag in EMPTY:
             if tag == "br" and not out:
-                found.append((path, block, " ", links > 0, article > 0))
+                found.append((path, block, " ", links > 0, article > 0, within[-1][0]))
         elif not (attributes or "").rstrip().endswith("/"):
             if tag in SAME or tag not in INLINE:
                 for k in range(len(stack) - 1, -1, -1):
@@ -100,14 +126,40 @@ def nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
                         break
                     if stack[k][0] not in INLINE:
                         break
-            gone = _is_out(tag, attributes or "", article > 0)
-            stack.append((tag, gone))
+            gone = _is_out(tag, article > 0)
+            marked = not gone and not out and _is_marked(tag, attributes or "")
+            stack.append((tag, gone, marked))
             out += gone
             links += tag == "a"
+            if tag in HEADINGS and not out:
+                for k in range(len(within) - 1, 0, -1):
+                    if article > within[k][1]:
+                        break  # the heading of an article in it
+                    headed[within[k][0]] = True
+            if marked:
+                around.append(within[-1][0])
+                headed.append(False)
+                articles.append(0)
+                within.append((len(around) - 1, article))
             article += tag in ARTICLE
             if tag not in INLINE:
-                path = f"{path}/{tag}" if path else tag
-    return found
+                own = tag + "!" * marked
+                path = f"{path}/{own}" if path else own
+    if len(around) == 1:
+        return [n[:5] for n in found]
+
+    def left(stays: list[bool]) -> list:
+        for k in range(1, len(stays)):
+            stays[k] = stays[k] and stays[around[k]]
+        return [n[:5] for n in found if stays[n[5]]]
+
+    # A name leaves out no element with a heading, nor the one that holds the page's article: as much text as there is without it.
+    got = left(list(headed))
+    if not any(n[4] and n[2].strip() for n in got):
+        rest = sum(len(n[2].strip()) for n in got if not n[3])
+        rest = max(rest, max(articles) // 2)  # the others are teasers
+        got = left([headed[k] or articles[k] > rest for k in range(len(around))])
+    return got
 
 
 def _smoothed(values: list[float]) -> list[float]:

@@ -216,6 +216,19 @@ def test_main_text(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+def test_names_leave_out_no_article_text():
+    text = "Some words of the text, and more of them, as they come."
+    for name in ("content has-sidebar", "layout-sidebar-left", "no-comments with-footer", "page search"):
+        assert html_extract.main_text(f'<body><div class="{name}"><article><p>{text}</p></article></div></body>') == text
+    inside = f'<h2 id="related-work">Work</h2><section id="search-methods"><p>{text}</p></section><div class="post-header"><h1>Title</h1></div><p data-ad-id="7" data-x-class="ad" title="an id=ad">{text}</p>'
+    assert html_extract.main_text(f"<article>{inside}</article>") == f"Work\n\n{text}\n\nTitle\n\n{text}"
+    # What is marked and has neither still goes, and so do teasers beside the article.
+    noise = "".join(f'<div {x}><p>{text}</p></div>' for x in ('class="cookie-notice"', 'id="comments"', 'id="left-sidebar"', "class=ad", 'role="search"'))
+    teaser = '<div class="related"><article><h3>Teaser</h3><p>Read on.</p></article></div>'
+    assert html_extract.main_text(f"<body><article><p>{text}</p>{noise}</article>{teaser}</body>") == text
+    assert html_extract.main_text(f'<body><div class="content"><p>{text}</p></div>{teaser}</body>') == text
+
+
 def test_packing_holds_every_token_once(spark, odd, empty):
     from tokenizers import Tokenizer
 
