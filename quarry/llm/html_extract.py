@@ -5,7 +5,9 @@ id are no article text (menus, headers, footers, sidebars, notices, adverts, for
 give no nodes. A role, class or id leaves out no heading and no element that holds one or the page's article; such
 elements have paths of their own. Names like has-sidebar and ids like search-methods aren't taken for marks. For each path the length of unlinked text and the punctuation of all its nodes are summed and divided
 by the nodes; both ratios are smoothed over the nodes in page order, fused, and a path's nodes stay if the path's mean
-reaches a share of the page's best. Where the page marks an article, only what stands in it is scored.
+reaches a share of the page's best, or of a fixed score if the best is above it. Nodes with unlinked text in their path stay as
+well between two such nodes of one element or its children. Where the page marks an article, all that stands in it stays, linked or not, and
+nothing else.
 
 Nodes of one block are joined, character references decoded, white space turned into one space; blocks follow in page
 order, two line ends between them. Comments and markup never stay; an unclosed tag ends with its parent, and a page
@@ -44,8 +46,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that end an open one of their own kind.
 SAME = frozenset("p li dt dd tr td th option".split())
 PUNCTUATION = frozenset(string.punctuation + "…–—«»“”‘’¿¡。、,！？") - frozenset("&%$#*/\\|_=+<>@^~`")
-#: Spread of the smoothing in nodes, and the share of the best path that a path has to reach, in a marked article or anywhere.
-SPREAD, IN_ARTICLE, ANYWHERE = 1.0, 0.02, 0.25
+#: Spread of the smoothing in nodes, and the share of the best path that a path has to reach; a better path than ENOUGH asks no more of the others.
+SPREAD, ANYWHERE, ENOUGH = 1.0, 0.25, 60.0
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -74,31 +76,35 @@ def _is_marked(tag: str, attributes: str) -> bool:
     return False
 
 
-def nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
-    """(path, block, text, linked, in an article) of each text node outside the elements that are left out."""
+def nodes(page: str) -> tuple[list[tuple[str, int, str, bool, bool, int]], list[int]]:
+    """(path, block, text, linked, in an article, block element) of each text node outside the elements that are left out, and the
+    element around each block element. Number 0 is the page."""
     found = []  # with the innermost marked element
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, marked by a name
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, left out, marked by a name, number of the block element
+    parents = [0]
     # Of marked elements: the one around, whether a heading stands in it, and the lengths of the articles in it. Number 0 is the page.
     around, headed, articles = [0], [True], [0]
     within: list[tuple[int, int]] = [(0, 0)]  # marked element, and how many articles were open where it began
-    path, block, out, links, article = "", 0, 0, 0, 0
+    path, block, out, links, article, element = "", 0, 0, 0, 0, 0
 
     def close(upto: int) -> None:
-        nonlocal path, out, links, article
+        nonlocal path, out, links, article, element
         while len(stack) > upto:
-            tag, gone, marked = stack.pop()
+            tag, gone, marked, number = stack.pop()
             out -= gone
             links -= tag == "a"
             article -= tag in ARTICLE
             if marked:
                 within.pop()
-        path = "/".join(t + "!" * marked for t, _, marked in stack if t not in INLINE)
+            if number:
+                element = parents[number]
+        path = "/".join(t + "!" * marked for t, _, marked, _ in stack if t not in INLINE)
 
     for m in TOKEN.finditer(page):
         raw, end, tag, attributes, text = m.groups()
         if text is not None:
             if not out:
-                found.append((path, block, text, links > 0, article > 0, within[-1][0]))
+                found.append((path, block, text, links > 0, article > 0, element, within[-1][0]))
                 for k in range(len(within) - 1, 0, -1):
                     if article > within[k][1]:  # an article that stands in the marked element
                         articles[within[k][0]] += len(text.strip())
@@ -117,7 +123,7 @@ def nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
                     break  # an inline tag ends nothing beyond its block
         elif tag in EMPTY:
             if tag == "br" and not out:
-                found.append((path, block, " ", links > 0, article > 0, within[-1][0]))
+                found.append((path, block, " ", links > 0, article > 0, element, within[-1][0]))
         elif not (attributes or "").rstrip().endswith("/"):
             if tag in SAME or tag not in INLINE:
                 for k in range(len(stack) - 1, -1, -1):
@@ -128,7 +134,10 @@ def nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
                         break
             gone = _is_out(tag, article > 0)
             marked = not gone and not out and _is_marked(tag, attributes or "")
-            stack.append((tag, gone, marked))
+            if tag not in INLINE:
+                parents.append(element)
+                element = len(parents) - 1
+            stack.append((tag, gone, marked, 0 if tag in INLINE else element))
             out += gone
             links += tag == "a"
             if tag in HEADINGS and not out:
@@ -146,12 +155,12 @@ def nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
                 own = tag + "!" * marked
                 path = f"{path}/{own}" if path else own
     if len(around) == 1:
-        return [n[:5] for n in found]
+        return [n[:6] for n in found], parents
 
     def left(stays: list[bool]) -> list:
         for k in range(1, len(stays)):
             stays[k] = stays[k] and stays[around[k]]
-        return [n[:5] for n in found if stays[n[5]]]
+        return [n[:6] for n in found if stays[n[6]]]
 
     # A name leaves out no element with a heading, nor the one that holds the page's article: as much text as there is without it.
     got = left(list(headed))
@@ -159,7 +168,7 @@ def nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
         rest = sum(len(n[2].strip()) for n in got if not n[3])
         rest = max(rest, max(articles) // 2)  # the others are teasers
         got = left([headed[k] or articles[k] > rest for k in range(len(around))])
-    return got
+    return got, parents
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -178,33 +187,49 @@ def _smoothed(values: list[float]) -> list[float]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = nodes(page)
+    found, parents = nodes(page)
     marked = any(n[4] and n[2].strip() for n in found)
     found = [n for n in found if n[4] or not marked]
     # One node per block and path: what stands between two block tags.
     joined: dict[tuple[int, str], list] = {}
-    for path, block, text, linked, _ in found:
-        node = joined.setdefault((block, path), [[], 0])
+    for path, block, text, linked, _, element in found:
+        node = joined.setdefault((block, path), [[], 0, element])
         node[0].append(text)
         if not linked:
             node[1] += len(text.strip())
-    kept = [(path, " ".join(html.unescape("".join(parts)).split()), plain) for (_, path), (parts, plain) in joined.items()]
+    kept = [(path, " ".join(html.unescape("".join(parts)).split()), plain, element) for (_, path), (parts, plain, element) in joined.items()]
     kept = [n for n in kept if n[1]]
-    if not kept:
-        return ""
+    if marked or not kept:
+        return "\n\n".join(text for _, text, _, _ in kept)
     lengths, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, plain in kept:
+    for path, text, plain, _ in kept:
         lengths[path] += min(plain, len(text))
         marks[path] += len(text) - len(text.translate(_NO_MARKS)) if plain else 0
         count[path] += 1
-    by_length = _smoothed([lengths[p] / count[p] for p, _, _ in kept])
-    by_marks = _smoothed([marks[p] / count[p] for p, _, _ in kept])
+    by_length = _smoothed([lengths[n[0]] / count[n[0]] for n in kept])
+    by_marks = _smoothed([marks[n[0]] / count[n[0]] for n in kept])
     sums = defaultdict(float)
-    for (path, _, _), a, b in zip(kept, by_length, by_marks, strict=True):
+    for (path, *_), a, b in zip(kept, by_length, by_marks, strict=True):
         sums[path] += math.sqrt(a * (1 + b))
-    least = (IN_ARTICLE if marked else ANYWHERE) * max(sums[p] / count[p] for p in sums)
+    least = ANYWHERE * min(ENOUGH, max(sums[p] / count[p] for p in sums))
     stays = {p for p in sums if sums[p] / count[p] >= least and lengths[p]}
-    return "\n\n".join(text for path, text, _ in kept if path in stays)
+    first, last = {}, {}  # places of the nodes that stay, by the element that they or their blocks stand in
+    for k, (path, _, _, element) in enumerate(kept):
+        if path in stays:
+            for around in (element, parents[element]):
+                first.setdefault(around, k)
+                last[around] = k
+
+    def between(k: int, path: str, element: int) -> bool:
+        if not lengths[path] or "!" in path:
+            return False
+        while not first.get(element, k) < k < last.get(element, k):
+            if not element:
+                return False
+            element = parents[element]
+        return True
+
+    return "\n\n".join(text for k, (path, text, _, element) in enumerate(kept) if path in stays or between(k, path, element))
 
 
 _NO_MARKS = {ord(c): None for c in PUNCTUATION}

@@ -229,6 +229,19 @@ def test_names_leave_out_no_article_text():
     assert html_extract.main_text(f'<body><div class="content"><p>{text}</p></div>{teaser}</body>') == text
 
 
+def test_links_and_short_items_of_an_article_stay():
+    text = "Some words of the text, and more of them, as they come. "
+    refs = "".join(f'<li><a href="/{k}">Reference {k}</a></li>' for k in range(8))
+    got = html_extract.main_text(f'<article><h1><a href="/">Title</a></h1><p>{text * 40}</p><ul>{refs}</ul></article>')
+    assert got.split("\n\n") == ["Title", (text * 40).strip(), *(f"Reference {k}" for k in range(8))]
+    paragraph = ("some words without marks and more of them " * 50)[:1970] + "." * 30
+    for n in (10, 300):
+        items = [f"an item of twenty {k:03}" for k in range(n)]
+        parts = [f"<p>{paragraph}</p>"] * 5 + ["<ul>", *(f"<li>{x}</li>" for x in items), "</ul>"] + [f"<p>{paragraph}</p>"] * 5
+        page = f'<body><div><div><a href="/">Home</a></div></div><div>{"".join(parts)}</div><div><div><a href="/i">Imprint</a></div></div></body>'
+        assert html_extract.main_text(page).split("\n\n") == [*[paragraph] * 5, *items, *[paragraph] * 5]
+
+
 def test_packing_holds_every_token_once(spark, odd, empty):
     from tokenizers import Tokenizer
 
