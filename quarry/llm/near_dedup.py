@@ -309,6 +309,7 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         if not more:
             break
     labels, _ = _joined(labels, confirm_rest(mixed, labels, involved, docs, percent, id_col, text_col))
+    labels, _ = _joined(labels, _of_one_id(whole, classes, id_col))
 
     named = _labelled(classes.select("h1", "h2", "rep"), labels).select("h1", "h2", "label")
     rows = table.select(id_col, "n", "h1", "h2").join(named, ["h1", "h2"], "left")
@@ -316,6 +317,15 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     return rows.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
 
 
+def _of_one_id(whole: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """The links (u, v) between the classes of an id that stands on different texts."""
+    own = F.struct("h1", "h2")
+    several = whole.groupBy(id_col).agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select(id_col)
+    reps = whole.select(id_col, "h1", "h2").join(several, id_col).join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(id_col, "rep")
+    least = reps.groupBy(id_col).agg(F.min("rep").alias("v"))
+    return reps.join(least, id_col).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+
+
 def registers_agree(percent: int) -> Column:
     """Whether about as many registers are equal as a link needs, less the slack."""
     equal = F.aggregate(F.zip_with("bands_u", "bands_v", _equal_registers), F.lit(0), lambda a, x: a + x)
@@ -341,13 +351,22 @@ def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates, with all their columns: the document with the least id of each component
-    stays, and of rows that share an id one."""
-    groups = checkpointed(near_groups(docs, percent, id_col, text_col)).where(f"{id_col} is not null")
-    gone = groups.where("not kept").select(id_col)
-    repeated = groups.groupBy(id_col).count().where("count > 1").select(id_col)
-    rows = without(docs, F.col(id_col).cast("long"), gone)
+    """The rows of ``docs`` without near duplicates, with all their columns: the row with the least id of each component stays.
+    Rows that share an id are one if their texts are equal; each other one is judged by its own text."""
+    key = F.col(id_col).cast("long")
+    ids = docs.select(key.alias("_near_id")).where("_near_id is not null")
+    repeated = checkpointed(ids.groupBy("_near_id").count().where("count > 1").select("_near_id"))
     if repeated.isEmpty():
-        return rows
-    again = without(rows, F.col(id_col).cast("long"), repeated)
-    return again.unionByName(rows.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
+        gone = checkpointed(near_groups(docs, percent, id_col, text_col)).where(f"{id_col} is not null and not kept").select(id_col)
+        return without(docs, key, gone)
+    # Each text of a repeated id gets a number of its own, above all ids.
+    above = F.lit(ids.agg(F.max("_near_id")).first()[0] + 1)
+    named = docs.withColumn("_near_id", key)
+    again = named.join(repeated, "_near_id", "left_semi").withColumn("_near_digest", F.md5(F.col(text_col).cast("string"))).dropDuplicates(["_near_id", "_near_digest"]).drop("_near_digest")
+    again = checkpointed(again.withColumn("_near_row", above + F.monotonically_increasing_id()))
+    rows = without(named, F.col("_near_id"), repeated).withColumn("_near_row", F.col("_near_id")).unionByName(again)
+    groups = checkpointed(near_groups(rows, percent, "_near_row", text_col)).where("_near_row is not null").join(again.select("_near_row", "_near_id"), "_near_row", "left")
+    groups = groups.select("component_id", F.struct(F.coalesce("_near_id", "_near_row").alias("id"), "_near_row").alias("own"))
+    first = groups.groupBy("component_id").agg(F.min("own").alias("first"))
+    gone = checkpointed(groups.join(first, "component_id").where("own <> first").select("own._near_row"))
+    return without(rows, F.col("_near_row"), gone).select(*(F.col(f"`{c}`") for c in docs.columns))

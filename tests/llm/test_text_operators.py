@@ -188,6 +188,17 @@ def test_one_document_of_each_group_stays(spark, odd, empty):
     assert near_dedup.near_groups(odd).count() == odd.count() and near_dedup.near_groups(empty).count() == 0
 
 
+def test_an_id_on_different_texts(spark):
+    copied, own, one, other = (" ".join(prose(70 + k, 30, 10**6)) for k in range(4))
+    rows = [(3, copied), (5, copied), (5, own), (9, one), (9, other), (9, other), (2, other), (None, own)]
+    docs = spark.createDataFrame([(*x, "x") for x in rows], "doc_id long, text string, lang string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(docs).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 2, False), (2, 2, True), (None, None, True)}  # one document links by any text
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns  # a row goes by its own text
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, copied), (5, own), (9, one), (2, other), (None, own)], key=str)
+
+
 def test_sketches_merge_and_estimate():
     hashes = WordHashes()
     a, b = (shingle_hashes([w.encode() for w in x], hashes) for x in (prose(1, 900, 10**6), prose(1, 900, 10**6)[:800] + prose(2, 100, 10**6)))
