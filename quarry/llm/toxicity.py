@@ -8,7 +8,7 @@ and the weighted sum gives the window's logit. A text is cut into overlapping wi
 score is that of its most toxic window, put on a probability scale by a line fitted on the labelled texts.
 
 All is trained here in numpy, on a bounded sample of labelled rows (``MOST_TRAINING`` of each label, those with the
-least hashes of their ids). The loss of each text falls on its most toxic window. A training text's evidence comes
+least hashes of their ids, equal rows once, and of these the whole texts that fit ``MOST_CHARACTERS``). The loss of each text falls on its most toxic window. A training text's evidence comes
 from the texts of other folds, as it will for new texts. Only the weights (about 4 MB) go to the executors; every window
 of every text is scored there.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import map_blocks
 
-#: Labelled rows that are learned from at most, for each label.
-MOST_TRAINING = 2000
+#: Labelled rows that are learned from at most, for each label, and characters of their texts.
+MOST_TRAINING, MOST_CHARACTERS = 2000, 8_000_000
 #: Words of a window, words by which the next one starts later.
 WINDOW, STEP = 48, 40
 #: Bits of the buckets of evidence and of vectors, width of the vectors, states of each direction, units of the attention.
@@ -340,17 +340,37 @@ def _line(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(slope / spread), float(offset - slope * middle / spread)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """A network trained on at most ``most`` rows of each label; None if either label has none."""
-    marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("label")).where(f"label in (0, 1) and {id_col} is not null").dropDuplicates([id_col])
-    chosen = reduce(DataFrame.unionByName, (marked.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y in (0, 1)))
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    found = rows.join(F.broadcast(chosen), id_col).select("text", "label").collect()  # twice ``most`` rows at most, but for repeated ids
-    found.sort()
-    marks = np.array([x["label"] for x in found])
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_characters: int = MOST_CHARACTERS) -> Network | None:
+    """A network trained on at most ``most`` rows of each label with ``most_characters`` together; None if either label has none."""
+    found = sample(docs, labels, most, most_characters, id_col, text_col, label_col)
+    marks = np.array([label for _, label in found])
     if len(set(marks.tolist())) < 2:
         return None
-    return train([x["text"] for x in found], marks)
+    return train([text for text, _ in found], marks)
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int, most_characters: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
+    """The sorted (text, label) that are learned from. Of each label's rows, in the order of their ids' hashes, whole texts are taken
+    while they fit; the shortest one is if none fits."""
+    marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("label")).where(f"label in (0, 1) and {id_col} is not null").dropDuplicates([id_col])
+    chosen = reduce(DataFrame.unionByName, (marked.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y in (0, 1)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    named = rows.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").withColumn("digest", F.md5("text"))
+    sizes = named.select("id", "label", "digest", F.length("text").alias("n")).distinct()  # an id can stand on any number of rows
+    picked = []
+    for y in (0, 1):
+        listed = sizes.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id", "digest").limit(most).collect()
+        room, fit = most_characters, []
+        for x in listed:
+            if x["n"] <= room:
+                room -= x["n"]
+                fit.append(x)
+        picked += [(x["id"], x["digest"]) for x in fit or sorted(listed, key=lambda x: x["n"])[:1]]
+    if not picked:
+        return []
+    wanted = docs.sparkSession.createDataFrame(picked, "id long, digest string")
+    texts = named.join(F.broadcast(wanted), ["id", "digest"]).groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    return sorted((x["text"], x["label"]) for x in texts.collect())
 
 
 def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:

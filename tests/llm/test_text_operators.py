@@ -111,6 +111,18 @@ def test_toxicity_learns_and_scores_whole_texts(spark, odd, empty):
     assert {r["score"] for r in toxicity.score(tested, None).collect()} == {0.0}
 
 
+def test_toxicity_sample_is_bounded(spark):
+    long = "y" * 5000
+    rows = [(1, "same"), *[(1, f"own {k}") for k in range(50)], *[(1, "same")] * 50, (2, long), (3, "short"), (4, "clean"), (4, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0), (5, 0)], "doc_id long, toxic int")
+    whole = toxicity.sample(docs, labels, 2000, 10**6)
+    assert whole == sorted([("same", 1), *[(f"own {k}", 1) for k in range(50)], (long, 0), ("short", 0), ("clean", 0)])  # equal rows once
+    assert sum(y for _, y in toxicity.sample(docs, labels, 20, 10**6)) == 20
+    assert [t for t, y in toxicity.sample(docs, labels, 2000, 100) if not y] == ["clean", "short"]  # whole texts alone
+    assert [t for t, y in toxicity.sample(docs, labels.where("doc_id in (1, 2)"), 2000, 100) if not y] == [long]
+
+
 def test_toxicity_gradients_are_right():
     network, r = toxicity.Network(3), np.random.default_rng(0)
     network.w = {k: x.astype(np.float64) for k, x in network.w.items()}
