@@ -1,17 +1,19 @@
 """Exact quantiles without gathering a group's values in one task.
 
-Values are counted once. For each wanted rank the range of values is cut into 256 parts, the parts' counts tell which
-holds the rank, and that part is cut again. What is left is ranked.
+Distinct values are counted. For each wanted rank the range of values is cut into 256 parts, in turn of equal width on
+a logarithmic scale and as they are, the parts' counts tell which holds the rank, and that part is cut again until few
+distinct values are left in it. These are ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS, ROUNDS = 256, 2
+#: Parts of a range, rounds between two looks at what is left, and distinct values that are ranked in one task at most.
+PARTS, ROUNDS, RANKED = 256, 2, 100_000
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -24,12 +26,7 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequ
     ends = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     asked = ends.select(*keys, "lo", "hi", F.explode(F.array(*(F.struct(F.lit(float(s)).alias("share"), ((F.col("total") - 1) * F.lit(float(s))).alias("place")) for s in shares))).alias("q")).select(*keys, "lo", "hi", "q.*")
     ranks = asked.select(*keys, "lo", "hi", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).distinct().withColumn("before", F.lit(0).cast("long"))
-    for _ in range(ROUNDS):
-        inside = counts.join(ranks, keys).where("v >= lo and v <= hi")
-        part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * PARTS), F.lit(PARTS - 1))).otherwise(0)
-        parts = inside.groupBy(*keys, "rank", "before", part.alias("part")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("part"))
-        ranks = parts.withColumn("before", F.col("before") + upto - F.col("n")).where("before <= rank and rank < before + n").select(*keys, "lo", "hi", "rank", "before")
+    ranks = narrowed(counts, ranks, keys)
     inside = counts.join(ranks, keys).where("v >= lo and v <= hi")
     upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("v"))
     found = inside.withColumn("before", F.col("before") + upto - F.col("n")).where("before <= rank and rank < before + n").select(*keys, "rank", "v")
@@ -40,6 +37,24 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequ
     return got.select(*by, "share", (F.col("v1") + (F.col("v2") - F.col("v1")) * (F.col("place") - F.col("r1"))).alias("value"))
 
 
+def _logarithm(v: Column) -> Column:
+    return F.when(v < 0, -F.log1p(-v)).otherwise(F.log1p(v))  # never falls, and a round on the plain scale parts what it makes equal
+
+
+def narrowed(counts: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The ranks with ranges (lo, hi) of at most ``RANKED`` distinct values, whose number is ``left``."""
+    while True:
+        for turn in range(ROUNDS):
+            inside = counts.join(ranks.select(*keys, "lo", "hi", "rank", "before"), list(keys)).where("v >= lo and v <= hi")
+            v, lo, hi = (F.col(c) if turn % 2 else _logarithm(F.col(c)) for c in ("v", "lo", "hi"))
+            part = F.when(hi > lo, F.least(F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * PARTS), F.lit(PARTS - 1))).otherwise(0)
+            parts = inside.groupBy(*keys, "rank", "before", part.alias("part")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("left"))
+            upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("part"))
+            ranks = parts.withColumn("before", F.col("before") + upto - F.col("n")).where("before <= rank and rank < before + n").select(*keys, "lo", "hi", "rank", "before", "left")
+        if (ranks.agg(F.max("left")).first()[0] or 0) <= RANKED:
+            return ranks
+
+
 def quantile_columns(df: DataFrame, value: str, names: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row a group (or one row) with a column for each named quantile."""
     got = exact_quantiles(df, value, sorted(set(names.values())), by)
