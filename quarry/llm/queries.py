@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html_extract, lang_id, secret_scan, toxicity, url_filter
+from quarry.llm import filter_audit, html_extract, lang_id, ranked_search, secret_scan, toxicity, url_filter
 from quarry.llm.common import fold_of, table
 from quarry.llm.decontaminate import find_leaks
 from quarry.llm.fingerprint import fingerprints
 from quarry.llm.near_dedup import near_groups
 from quarry.llm.packing import pack_documents
+from quarry.llm.simhash import simhash_groups
 from quarry.llm.token_counts import count_tokens
 
 
@@ -64,6 +65,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_toxicity, op4_near_dedup, op5_html_extract, op6_packing, op7_decontaminate, op8_language, op9_url_filter, op10_fingerprints)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
-ORACLE_SQL = {"op2_secret_scan": secret_scan.oracle(), "op9_url_filter": url_filter.oracle()}
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), radius=2)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (
+    op1_token_counts, op2_secret_scan, op3_toxicity, op4_near_dedup, op5_html_extract, op6_packing, op7_decontaminate, op8_language, op9_url_filter,
+    op10_fingerprints, op11_ranked_search, op12_simhash_dedup, op13_filter_audit,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+ORACLE_SQL = {"op2_secret_scan": secret_scan.oracle(), "op9_url_filter": url_filter.oracle(), "op11_ranked_search": ranked_search.oracle(), "op13_filter_audit": filter_audit.oracle()}
