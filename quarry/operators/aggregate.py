@@ -29,6 +29,8 @@ def not_null(columns: Sequence[str]) -> Column:
 
 def grouped(df: DataFrame, metric: str, how: str, by: Sequence[str], name: str = "value") -> DataFrame:
     """One row for each group whose keys are all there."""
+    if name in by:
+        raise ValueError(f"{name} is a key; give the result another name")
     rows = df.where(not_null(by))
     if how == "median":
         found = quantile_columns(rows, metric, {name: 0.5}, by)
@@ -74,5 +76,6 @@ def matching_rows(df: DataFrame, metric: str | None, keys: Sequence[str], sort:
 
 
 def steady_sample(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """The same rows each time: those whose keys have the least hashes."""
-    return df.orderBy(F.xxhash64(*map(quoted, keys)), *map(quoted, keys)).limit(size)
+    """The same rows each time and in any engine: those whose keys, as text, have the least MD5; rows of equal keys by their other columns."""
+    draw = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("v"), quoted(k).cast("string")), F.lit("n")) for k in keys)).cast("binary"))
+    return df.orderBy(draw, *map(quoted, keys), *(quoted(c) for c in df.columns if c not in keys)).limit(size)

@@ -18,7 +18,12 @@ NULL_TOKENS = ("", "nan", "None", "NULL")
 NUMBER_SIGNS = r"[,$€£₹%\s]"
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 DATE_HINTS = ("date", "time", "day", "month", "year", "timestamp", "period")
-DATE_STYLES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyy")
+DATE_STYLES = {
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$", "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M/d/yyyy": r"^(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/\d{4}$", "d/M/yyyy": r"^(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/\d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMMM d, yyyy": r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$", "yyyy": r"^\d{4}$",
+}
+MONTH_FIRST, DAY_FIRST = "M/d/yyyy", "d/M/yyyy"
 EDGES = r"^\s+|\s+$"
 
 
@@ -49,9 +54,15 @@ def as_number(c: Column) -> Column:
     return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
 
 
-def as_date(c: Column) -> Column:
-    """The first style of ``DATE_STYLES`` that reads the text, month first where both could be."""
-    return F.coalesce(*(F.try_to_timestamp(c, F.lit(style)) for style in DATE_STYLES)).cast("timestamp_ntz")
+def in_style(c: Column, style: str) -> Column:
+    """The time that the text tells in that style, else null. Only texts of the style's form are parsed, as a failed parse costs much more than a look."""
+    return F.when(c.rlike(DATE_STYLES[style]), F.try_to_timestamp(c, F.lit(style)))
+
+
+def as_date(c: Column, day_first: bool = False) -> Column:
+    """The time that the text tells in the first style that reads it. Of 3/4/2020 the column decides, not the value: ``day_first`` holds for all of it."""
+    other = {MONTH_FIRST: DAY_FIRST, DAY_FIRST: MONTH_FIRST} if day_first else {}
+    return F.coalesce(*(in_style(c, other.get(style, style)) for style in DATE_STYLES)).cast("timestamp_ntz")
 
 
 @dataclass
@@ -63,24 +74,26 @@ class Report:
     index_columns: list[str] = field(default_factory=list)
     numbers: list[str] = field(default_factory=list)
     dates: list[str] = field(default_factory=list)
+    day_first: list[str] = field(default_factory=list)
     before: dict[str, int] = field(default_factory=dict)
     after: dict[str, int] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
 
 
 def column_facts(df: DataFrame) -> DataFrame:
-    """(position, column, rows, present, distinct_about, numbers, dates, plain_digits) of every column; texts are trimmed before they are tried."""
+    """(position, column, is_text, rows, present, texts, numbers, dates, month_first, day_first, plain_digits) of every column from one aggregate.
+    Texts are trimmed once, before they are tried; ``month_first`` and ``day_first`` count the dates that either reading of 3/4/2020 takes."""
+    text = [isinstance(f.dataType, T.StringType) for f in df.schema]
+    rows = df.select(*((trimmed(quoted(f.name)) if t else quoted(f.name).isNotNull()).alias(f"c{k}") for k, (f, t) in enumerate(zip(df.schema, text, strict=True))), *(quoted(f.name).isNotNull().alias(f"p{k}") for k, f in enumerate(df.schema)))
+    some = lambda c: F.coalesce(c, F.lit(False))
     cells = []
     for k, f in enumerate(df.schema):
-        c = quoted(f.name)
-        text = isinstance(f.dataType, T.StringType)
-        t = trimmed(c) if text else F.lit(None).cast("string")
-        some = F.struct(
-            F.lit(k).alias("position"), F.lit(f.name).alias("column"), F.lit(text).alias("is_text"), F.count("*").alias("rows"), F.count(c).alias("present"), F.count(t).alias("texts"),
-            F.count(as_number(t)).alias("numbers"), F.count(as_date(t)).alias("dates"), F.count_if(F.coalesce(t.rlike(r"^\d{1,8}$"), F.lit(False))).alias("plain_digits"),
-        )
-        cells.append(some)
-    return df.agg(F.array(*cells).alias("all")).select(F.explode("all").alias("c")).select("c.*")
+        t = F.col(f"c{k}") if text[k] else F.lit(None).cast("string")
+        zero = F.lit(0).cast("long")
+        tried = [F.count(t), F.count(as_number(t)), F.count(as_date(t)), F.count(in_style(t, MONTH_FIRST)), F.count(in_style(t, DAY_FIRST)), F.count_if(some(t.rlike(r"^\d{1,8}$")))] if text[k] else [zero] * 6
+        names = ("texts", "numbers", "dates", "month_first", "day_first", "plain_digits")
+        cells.append(F.struct(F.lit(k).alias("position"), F.lit(f.name).alias("column"), F.lit(text[k]).alias("is_text"), F.count("*").alias("rows"), F.count_if(F.col(f"p{k}")).alias("present"), *(x.alias(n) for x, n in zip(tried, names, strict=True))))
+    return rows.agg(F.array(*cells).alias("all")).select(F.explode("all").alias("c")).select("c.*")
 
 
 def decisions() -> Column:
@@ -115,7 +128,8 @@ def drop_index_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """One of each set of equal rows; nulls are equal. Rows are compared by a 128-bit digest, so that the shuffle's key is short."""
-    return df.withColumn("_digest", row_digest(df)).dropDuplicates(["_digest"]).drop("_digest")
+    held = df.select(F.struct(*(quoted(c) for c in df.columns)).alias("row"), row_digest(df).alias("digest")).dropDuplicates(["digest"])
+    return held.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 def size_facts(df: DataFrame) -> DataFrame:
@@ -136,6 +150,13 @@ def warnings(rows: int, columns: int, empty_shares: dict[str, float]) -> list[st
     return out
 
 
+def present_facts(df: DataFrame) -> tuple[dict[str, int], dict[str, float]]:
+    """Sizes of rows that don't repeat, and each column's share of missing values, from one aggregate without a shuffle of rows."""
+    row = df.agg(F.count("*").alias("n"), *(F.count_if(quoted(c).isNull()).alias(f"m{k}") for k, c in enumerate(df.columns))).first()
+    missing = {c: row[f"m{k}"] for k, c in enumerate(df.columns)}
+    return {"rows": row["n"], "columns": len(df.columns), "missing": sum(missing.values()), "duplicates": 0}, {c: m / row["n"] if row["n"] else 0.0 for c, m in missing.items()}
+
+
 def clean(df: DataFrame) -> tuple[DataFrame, Report]:
     """All steps in order: names, empty columns and rows, index columns, trimming, numbers, dates, duplicate rows."""
     report = Report()
@@ -143,8 +164,8 @@ def clean(df: DataFrame) -> tuple[DataFrame, Report]:
     report.renamed = {a: b for a, b in zip(df.columns, names, strict=True) if a != b}
     df = df.toDF(*names)
     report.before = size_facts(df).first().asDict()
-    facts = column_facts(df).withColumn("decision", decisions()).collect()  # one row a column
-    verdict = {r["column"]: r["decision"] for r in facts}
+    facts = {r["column"]: r for r in column_facts(df).withColumn("decision", decisions()).collect()}  # one row a column
+    verdict = {c: r["decision"] for c, r in facts.items()}
     report.empty_columns = [c for c, d in verdict.items() if d == "drop"]
     out = drop_empty_rows(df.drop(*report.empty_columns))
     out, report.index_columns = drop_index_columns(out)
@@ -157,11 +178,12 @@ def clean(df: DataFrame) -> tuple[DataFrame, Report]:
                 c = as_number(c)
                 report.numbers.append(f.name)
             elif verdict[f.name] == "date":
-                c = as_date(c)
+                day_first = facts[f.name]["day_first"] > facts[f.name]["month_first"]
+                c = as_date(c, day_first)
                 report.dates.append(f.name)
+                report.day_first += [f.name] * day_first
         made.append(c.alias(f.name))
     out = drop_duplicate_rows(out.select(*made))
-    report.after = size_facts(out).first().asDict()
-    shares = out.agg(*(F.avg(quoted(c).isNull().cast("int")).alias(f"s{k}") for k, c in enumerate(out.columns))).first()
-    report.warnings = warnings(report.after["rows"], len(out.columns), {c: shares[f"s{k}"] or 0.0 for k, c in enumerate(out.columns)})
+    report.after, shares = present_facts(out)
+    report.warnings = warnings(report.after["rows"], len(out.columns), shares)
     return out, report

@@ -1,62 +1,55 @@
-"""Exact quantiles without gathering a group's values in one task.
+"""Exact quantiles from one pass over the rows and one range shuffle of distinct values.
 
-Distinct values are counted. For each wanted rank the range of values is cut into 256 parts, in turn of equal width on
-a logarithmic scale and as they are, the parts' counts tell which holds the rank, and that part is cut again until few
-distinct values are left in it. These are ranked.
+Distinct values are counted, and their counts sorted over all partitions by group and value and written once. Sums of
+the partitions tell in which one each wanted rank lies; only there are values ranked. So a task ranks one
+partition's distinct values at most, whatever the group, and the source is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of a range, rounds between two looks at what is left, and distinct values that are ranked in one task at most.
-PARTS, ROUNDS, RANKED = 256, 2, 100_000
+from quarry.plans.spec import quoted
+from quarry.sources.shared import written
+
+
+def _found(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(g, share, value): the group's keys as one struct, so that no name of the caller's can clash."""
+    group = F.struct(*(quoted(c).alias(f"k{i}") for i, c in enumerate(by)), F.lit(0).alias("all")).alias("g")
+    values = df.select(group, quoted(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    counts = values.groupBy("g", "v").agg(F.count("*").alias("n"))
+    held = written(counts.repartitionByRange("g", "v").sortWithinPartitions("g", "v").withColumn("part", F.spark_partition_id()), "counts")
+
+    sums = held.groupBy("g", "part").agg(F.sum("n").alias("n"))  # a row for each group of a partition
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("part"))
+    parts = sums.select("g", "part", (upto - F.col("n")).alias("before"), "n")
+    places = F.array(*(F.struct(F.lit(float(s)).alias("share"), ((F.col("total") - 1) * F.lit(float(s))).alias("place")) for s in shares))
+    asked = sums.groupBy("g").agg(F.sum("n").alias("total")).select("g", F.explode(places).alias("q")).select("g", "q.*")
+    ranks = asked.select("g", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).distinct()
+    where = ranks.join(parts, "g").where("before <= rank and rank < before + n").select("g", "part", "before", "rank")
+
+    own = held.join(where.select("g", "part").distinct(), ["g", "part"], "left_semi")
+    last = F.sum("n").over(Window.partitionBy("g", "part").orderBy("v"))
+    placed = own.select("g", "part", "v", (last - F.col("n")).alias("first"), last.alias("last"))
+    at = placed.join(where, ["g", "part"]).where("first <= rank - before and rank - before < last").groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("values"))  # two ranks a share
+    low, high = F.col("values")[F.floor("place")], F.col("values")[F.ceil("place")]
+    return asked.join(at, "g").select("g", "share", (low + (high - low) * (F.col("place") - F.floor("place"))).alias("value"))
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, share, value): interpolated quantiles of the non-null values of each group. Groups without a value have no row."""
-    by = list(by)
-    keys = by or ["_all"]
-    if not by:
-        df = df.withColumn("_all", F.lit(0))
-    counts = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    ends = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    asked = ends.select(*keys, "lo", "hi", F.explode(F.array(*(F.struct(F.lit(float(s)).alias("share"), ((F.col("total") - 1) * F.lit(float(s))).alias("place")) for s in shares))).alias("q")).select(*keys, "lo", "hi", "q.*")
-    ranks = asked.select(*keys, "lo", "hi", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).distinct().withColumn("before", F.lit(0).cast("long"))
-    ranks = narrowed(counts, ranks, keys)
-    inside = counts.join(ranks, keys).where("v >= lo and v <= hi")
-    upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("v"))
-    found = inside.withColumn("before", F.col("before") + upto - F.col("n")).where("before <= rank and rank < before + n").select(*keys, "rank", "v")
-    low = found.select(*keys, F.col("rank").alias("r1"), F.col("v").alias("v1"))
-    high = found.select(*keys, F.col("rank").alias("r2"), F.col("v").alias("v2"))
-    places = asked.select(*keys, "share", "place", F.floor("place").alias("r1"), F.ceil("place").alias("r2"))
-    got = places.join(low, [*keys, "r1"]).join(high, [*keys, "r2"])
-    return got.select(*by, "share", (F.col("v1") + (F.col("v2") - F.col("v1")) * (F.col("place") - F.col("r1"))).alias("value"))
-
-
-def _logarithm(v: Column) -> Column:
-    return F.when(v < 0, -F.log1p(-v)).otherwise(F.log1p(v))  # never falls, and a round on the plain scale parts what it makes equal
-
-
-def narrowed(counts: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The ranks with ranges (lo, hi) of at most ``RANKED`` distinct values, whose number is ``left``."""
-    while True:
-        for turn in range(ROUNDS):
-            inside = counts.join(ranks.select(*keys, "lo", "hi", "rank", "before"), list(keys)).where("v >= lo and v <= hi")
-            v, lo, hi = (F.col(c) if turn % 2 else _logarithm(F.col(c)) for c in ("v", "lo", "hi"))
-            part = F.when(hi > lo, F.least(F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * PARTS), F.lit(PARTS - 1))).otherwise(0)
-            parts = inside.groupBy(*keys, "rank", "before", part.alias("part")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("left"))
-            upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("part"))
-            ranks = parts.withColumn("before", F.col("before") + upto - F.col("n")).where("before <= rank and rank < before + n").select(*keys, "lo", "hi", "rank", "before", "left")
-        if (ranks.agg(F.max("left")).first()[0] or 0) <= RANKED:
-            return ranks
+    if {"share", "value"} & set(by):
+        raise ValueError("share and value are names of the result; use quantile_columns")
+    return _found(df, value, shares, by).select(*(F.col(f"g.k{i}").alias(c) for i, c in enumerate(by)), "share", "value")
 
 
 def quantile_columns(df: DataFrame, value: str, names: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row a group (or one row) with a column for each named quantile."""
-    got = exact_quantiles(df, value, sorted(set(names.values())), by)
+    if set(names) & set(by):
+        raise ValueError(f"{sorted(set(names) & set(by))} are keys and names of quantiles")
+    got = _found(df, value, sorted(set(names.values())), by)
     picks = [F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in names.items()]
-    return got.groupBy(*by).agg(*picks) if by else got.agg(*picks)
+    return got.groupBy("g").agg(*picks).select(*(F.col(f"g.k{i}").alias(c) for i, c in enumerate(by)), *map(quoted, names)) if by else got.agg(*picks)

@@ -38,12 +38,12 @@ def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFr
     return out if limit is None else out.limit(limit)
 
 
-def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """(bin, low, high, count): equal bins from the least to the greatest value, empty ones too; one bin if all are equal."""
-    values = df.select(quoted(column).cast("double").alias("v")).where("v is not null")
+def histogram(df: DataFrame, column: str, bins: int = BINS, weight: str | None = None) -> DataFrame:
+    """(bin, low, high, count): equal bins from the least to the greatest value, empty ones too; one bin if all are equal. A row counts ``weight`` times, if given."""
+    values = df.select(quoted(column).cast("double").alias("v"), (quoted(weight) if weight else F.lit(1)).cast("long").alias("w")).where("v is not null")
     ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo is not null")
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.width_bucket("v", "lo", "hi", F.lit(bins)), F.lit(bins).cast("long"))).otherwise(F.lit(1).cast("long"))
-    counts = values.withColumn("ends", one_row(ends)).select("*", "ends.*").groupBy(place.alias("bin")).agg(F.count("*").alias("count"))
+    counts = values.withColumn("ends", one_row(ends)).select("*", "ends.*").groupBy(place.alias("bin")).agg(F.sum("w").alias("count"))
     spine = ends.select("lo", "hi", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("hi") > F.col("lo"), F.lit(bins)).otherwise(F.lit(1)).cast("long"))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return spine.join(counts, "bin", "left").select("bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("low"), F.when(F.col("hi") > F.col("lo"), F.col("lo") + F.col("bin") * width).otherwise(F.col("hi")).alias("high"), F.coalesce("count", F.lit(0).cast("long")).alias("count"))
@@ -62,7 +62,7 @@ def box(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return met.groupBy(*keys, "p25", "p50", "p75").agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.count_if(~inside).alias("outliers"))
 
 
-def _pearson(a: Column, b: Column) -> Column:
+def correlation(a: Column, b: Column) -> Column:
     """Null where a column is constant; rows with both values count."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
@@ -71,7 +71,7 @@ def _pearson(a: Column, b: Column) -> Column:
 
 def pearson(df: DataFrame, one: str, other: str) -> DataFrame:
     a, b = quoted(one).cast("double"), quoted(other).cast("double")
-    return df.agg(F.count_if(a.isNotNull() & b.isNotNull()).alias("n"), _pearson(a, b).alias("r"))
+    return df.agg(F.count_if(a.isNotNull() & b.isNotNull()).alias("n"), correlation(a, b).alias("r"))
 
 
 def strength(r: Column) -> Column:
@@ -83,13 +83,14 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_a, column_b, r, strength) of all pairs, from one aggregate; the diagonal is 1, or null for a constant column."""
     value = {c: quoted(c).cast("double") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    made = [(F.when(F.stddev_pop(value[a]) > 0, 1.0) if a == b else F.round(_pearson(value[a], value[b]), 3)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]
+    made = [(F.when(F.stddev_pop(value[a]) > 0, 1.0) if a == b else F.round(correlation(value[a], value[b]), 3)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]
     cells = [F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
     long = df.agg(*made).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     return long.withColumn("strength", strength(F.col("r")))
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, keys: Sequence[str], colour: str | None = None, size: int = 5000) -> DataFrame:
-    """At most ``size`` points with both values, the same ones each time."""
+    """At most ``size`` points with both values, the same ones each time; rows of equal keys in the order of their values."""
     rows = df.where(quoted(x).isNotNull() & quoted(y).isNotNull())
-    return steady_sample(rows, keys, size).select(*map(quoted, dict.fromkeys([*keys, x, y, *([colour] if colour else [])])))
+    shown = list(dict.fromkeys([*keys, x, y, *([colour] if colour else [])]))
+    return steady_sample(rows.select(*map(quoted, shown)), keys, size)

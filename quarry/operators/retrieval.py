@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.spec import quoted
+
 #: Parts that rows and queries are dealt into where a vector search meets them.
 BLOCKS = 64
+#: Queries that a task holds at once.
+GROUP = 4096
 #: Parts that the postings of one token are dealt into.
 SALTS = 16
+#: Bits of the bitmap of asked tokens, as a power of two.
+ASKED_BITS = 17
 
 
 def chunks(df: DataFrame, key: str, text: str, size: int = 1200, min_chars: int = 1) -> DataFrame:
@@ -31,6 +39,20 @@ def term_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.size("t").alias("length"), F.explode("t").alias("token")).groupBy(key, "token", "length").agg(F.count("*").alias("tf"))
 
 
+def _asked_terms(docs: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """The term index of the asked tokens alone. Tokens whose bit isn't in a bitmap of fixed size are dropped inside the array, before anything is
+    exploded or shuffled; the few that pass by chance go in the join."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ASKED_BITS))
+    words = asked.select(F.shiftright(place("token"), 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place("token").bitwiseAND(F.lit(31)).cast("int")).alias("b"))
+    bits = {r["w"]: r["b"] for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}  # 2 ** (ASKED_BITS - 5) rows at most
+    bitmap = docs.sparkSession.createDataFrame([([bits.get(w, 0) for w in range(1 << ASKED_BITS - 5)],)], "bits array<long>")
+    may = lambda bits, t: F.call_function("shiftright", F.get(bits, F.shiftright(place(t), 5).cast("int")), place(t).bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    rows = docs.select(F.col(key), tokens(F.col(text)).alias("t")).withColumn("bits", bitmap.select("bits").scalar())
+    kept = rows.select(key, F.size("t").alias("length"), F.explode(F.filter("t", lambda t: may(F.col("bits"), t))).alias("token"))
+    counted = kept.groupBy(key, "token", "length").agg(F.count("*").alias("tf"))
+    return counted.join(asked.select("token").distinct(), "token", "left_semi")
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 
@@ -40,10 +62,10 @@ def keyword_topk(docs: DataFrame, queries: DataFrame, key: str, text: str, query
     query's tokens, repeats counted. A token's postings are dealt into parts by document, and the query's side is
     repeated for each, so that a word in most documents isn't one task's. Scores are summed per part first: a pair of query
     and document meets only where they share a token."""
-    index = term_index(docs, key, text)
     n = docs.agg(F.count("*").alias("n"))
     asked = queries.select(F.col(query_key).alias("query"), F.explode(tokens(F.col(query_text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
-    weight = document_frequency(index.join(asked.select("token").distinct(), "token", "left_semi")).select("token", F.ln(1 + n.scalar() / (1 + F.col("df"))).alias("idf"))
+    index = _asked_terms(docs, key, text, asked)
+    weight = document_frequency(index).select("token", F.ln(1 + n.scalar() / (1 + F.col("df"))).alias("idf"))
     asked = asked.join(weight, "token").select("query", "token", (F.col("times") * F.col("idf")).alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     posted = index.select(F.col(key).alias("key"), "token", (F.col("tf") / F.greatest("length", F.lit(1))).alias("share"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"))
     scores = posted.join(asked, ["token", "salt"]).groupBy("query", "salt", "key").agg(F.sum(F.col("share") * F.col("weight")).alias("score"))
@@ -58,18 +80,111 @@ def _best(scores: DataFrame, k: int, part: str) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "rank", "key", "score")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def vector_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, k: int = 5, blocks: int = BLOCKS) -> DataFrame:
-    """(query, rank, key, score): per query the vectors of greatest cosine, exactly. Vectors are dealt into blocks, the
-    queries go to each block, and each block keeps its best k of a query."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.nullif(F.sqrt(_dot(c, c)), F.lit(0.0)))
-    rows = vectors.select(F.col(key).alias("key"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    asked = queries.select(F.col(query_key).alias("query"), unit(F.col(vector)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scores = rows.join(asked, "block").select("query", "block", "key", F.round(F.greatest(F.lit(0.0), _dot(F.col("v"), F.col("q"))), 4).alias("score")).where("score is not null")
-    return _best(scores, k, "block")
+    """(query, rank, key, score): per query the vectors of greatest cosine, exactly, to four places; ties by key. Vectors of another length
+    than the query, without a value or of length 0 have no score.
+
+    Vectors are dealt into blocks, queries into groups of ``GROUP``, and each group goes to each block, where vectors stream past it: one matrix product for each
+    Arrow batch. A task holds a group and its best k so far."""
+    groups = max(1, -(-queries.count() // GROUP))
+    kind = vectors.schema[key].dataType.simpleString()
+    query_kind = queries.schema[query_key].dataType.simpleString()
+    double = F.transform(quoted(vector), lambda x: x.cast("double")).alias("v")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    held = vectors.select(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"), every(groups, "group"), F.lit(True).alias("streams"), quoted(key).alias("key"), F.lit(None).cast(query_kind).alias("query"), double)
+    asked = queries.select(F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int").alias("group"), quoted(query_key).alias("query"), double)
+    asked = asked.select(every(blocks, "block"), "group", F.lit(False).alias("streams"), F.lit(None).cast(kind).alias("key"), "query", "v")
+    met = held.unionByName(asked).where("v is not null").repartition("block", "group").sortWithinPartitions("block", "group", "streams")
+    out = met.select("block", "query", "key", F.lit(0.0).alias("score")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        at, group = None, Group(k)
+        for batch in batches:
+            block, part, streams = (np.asarray(batch.column(c)) for c in ("block", "group", "streams"))
+            cuts = np.flatnonzero(np.diff(block) | np.diff(part) | (streams[1:] != streams[:-1])) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                if low == high:
+                    continue
+                if at is not None and at != (block[low], part[low]):
+                    yield group.result(int(at[0]), schema)
+                    group = Group(k)
+                at = (block[low], part[low])
+                rows = batch.slice(low, high - low)
+                (group.meet if streams[low] else group.ask)(rows)
+        if at is not None:
+            yield group.result(int(at[0]), schema)
+
+    return _best(met.mapInArrow(run, out), k, "block")
+
+
+class Group:
+    """Queries that one block's vectors stream past, and the best k of each so far."""
+
+    def __init__(self, k: int):
+        self.k, self.names, self.matrices = k, [], {}
+        self.parts: list[pa.RecordBatch] = []
+
+    def ask(self, rows: pa.RecordBatch) -> None:
+        self.parts.append(rows)
+
+    @staticmethod
+    def _units(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, unit vectors) for each length; those with a null, or no direction, are left out."""
+        column = rows.column("v")
+        sizes = np.diff(np.asarray(column.offsets))
+        values = column.flatten()
+        numbers = np.asarray(values.cast(pa.float64()).fill_null(np.nan))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for n in np.unique(sizes[sizes > 0]):
+            places = np.flatnonzero(sizes == n)
+            matrix = numbers[starts[places][:, None] + np.arange(n)]
+            norm = np.sqrt((matrix * matrix).sum(1))
+            good = norm > 0
+            yield int(n), places[good], matrix[good] / norm[good, None]
+
+    def _built(self) -> None:
+        if self.parts:
+            rows = pa.Table.from_batches(self.parts).combine_chunks().to_batches()
+            for part in rows:
+                first, names = len(self.names), part.column("query").to_pylist()
+                self.names += names
+                for n, places, units in self._units(part):
+                    self.matrices.setdefault(n, []).append((places + first, units))
+            self.matrices = {n: (np.concatenate([p for p, _ in x]), np.concatenate([u for _, u in x])) for n, x in self.matrices.items()}
+            self.best: list[list] = [[] for _ in self.names]
+            self.parts = []
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        self._built()
+        if not self.names:
+            return
+        keys = rows.column("key")
+        for n, places, units in self._units(rows):
+            if n not in self.matrices or not len(places):
+                continue
+            asked, matrix = self.matrices[n]
+            names = keys.take(pa.array(places))
+            order = np.argsort(np.array(names.to_pylist(), object if pa.types.is_string(names.type) else None), kind="stable")
+            scores = np.maximum(0.0, np.floor(matrix @ units[order].T * 10_000 + 0.5) / 10_000)
+            sorted_names = names.take(pa.array(order)).to_pylist()
+            for row, query in enumerate(asked):
+                own = scores[row]
+                if len(own) > self.k:
+                    least = np.partition(own, len(own) - self.k)[len(own) - self.k]
+                    above = np.flatnonzero(own > least)
+                    some = np.concatenate([above, np.flatnonzero(own == least)[: self.k - len(above)]])  # the first keys of equals
+                else:
+                    some = np.arange(len(own))
+                best = self.best[query] + [(-float(own[i]), sorted_names[i]) for i in some]
+                self.best[query] = sorted(best)[: self.k]
+
+    def result(self, block: int, schema: pa.Schema) -> pa.RecordBatch:
+        self._built()
+        found = [(block, self.names[q], key, -score) for q, best in enumerate(getattr(self, "best", [])) for score, key in best]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, replace: Sequence[str] = ()) -> DataFrame:

@@ -23,21 +23,32 @@ def period(date: Column, grain: str) -> Column:
     return F.date_format(day, {"day": "yyyy-MM-dd", "month": "yyyy-MM", "quarter": "yyyy'Q'Q", "year": "yyyy"}[grain])
 
 
-def with_period(df: DataFrame, date: str, grain: str) -> DataFrame:
-    return df.where(quoted(date).isNotNull()).withColumn("period", period(quoted(date), grain))
+def period_name(used: Sequence[str]) -> str:
+    """``period``, or with a number if a column of that name is used."""
+    lowered, name, k = {c.lower() for c in used}, "period", 1
+    while name in lowered:
+        k += 1
+        name = f"period {k}"
+    return name
+
+
+def with_period(df: DataFrame, date: str, grain: str, name: str = "period") -> DataFrame:
+    return df.where(quoted(date).isNotNull()).withColumn(name, period(quoted(date), grain))
 
 
 def trend(df: DataFrame, date: str, grain: str, metric: str | None = None, how: str = "sum", by: Sequence[str] = (), ratio: Ratio | None = None) -> DataFrame:
-    """Value by period (and dimension); without dimensions also the change from the period before. Empty periods have no row."""
-    rows = with_period(df, date, grain)
-    keys = ["period", *by]
+    """Value by period (and dimension); without dimensions also the change from the period before. Empty periods have no row.
+    The first column is the period; it is ``period 2`` where a dimension or the metric is called ``period``."""
+    name = period_name([*by, *(x for x in (metric, ratio and ratio.numerator, ratio and ratio.denominator) if x)])
+    rows = with_period(df, date, grain, name)
+    keys = [name, *by]
     out = grouped_ratio(rows, ratio, keys) if ratio else grouped(rows, metric, how, keys)
-    return out if by else with_change(out)
+    return out if by else with_change(out, name)
 
 
-def with_change(series: DataFrame) -> DataFrame:
+def with_change(series: DataFrame, by: str = "period") -> DataFrame:
     """Change and change in percent against the period before. The window runs over one row a period."""
-    last = F.lag("value").over(Window.orderBy("period"))
+    last = F.lag("value").over(Window.orderBy(quoted(by)))
     out = series.withColumn("change", F.round(F.col("value") - last, 2))
     return out.withColumn("change_pct", F.round((F.col("value") - last) / F.nullif(last, F.lit(0.0)) * 100, 1))
 

@@ -10,7 +10,7 @@ from quarry.operators import aggregate as A
 from quarry.operators import relations as R
 from quarry.operators import timeseries as S
 from quarry.operators.filters import Filtered, apply_filters
-from quarry.plans.spec import Spec, is_numeric, validate, value_name
+from quarry.plans.spec import Spec, is_numeric, quoted, validate, value_name
 
 
 @dataclass
@@ -31,7 +31,8 @@ def run(df: DataFrame, spec: Spec, keys: tuple[str, ...] = (), primary_metric: s
 
 def _dispatch(df: DataFrame, spec: Spec, keys: tuple[str, ...]) -> DataFrame:
     if spec.intent == "trend":
-        return S.trend(df, spec.date, spec.grain, spec.metric, spec.aggregation, spec.dimensions, spec.ratio).orderBy("period", *spec.dimensions)
+        out = S.trend(df, spec.date, spec.grain, spec.metric, spec.aggregation, spec.dimensions, spec.ratio)
+        return out.orderBy(*map(quoted, [out.columns[0], *spec.dimensions]))
     if spec.intent == "distribution":
         numeric = is_numeric(df.schema[spec.metric].dataType)
         return R.summary(df, spec.metric) if numeric else R.value_counts(df, spec.metric, spec.limit)

@@ -8,14 +8,18 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Names that a spec may use.
 INTENTS = ("aggregate", "topn", "compare", "trend", "distribution", "relationship", "correlation", "rows", "describe")
 AGGREGATIONS = ("sum", "mean", "median", "count", "min", "max", "nunique", "std")
 GRAINS = ("day", "week", "month", "quarter", "year")
-GRAIN_ALIASES = {"daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year", "annual": "year"}
+GRAIN_ALIASES = {"m": "month", "y": "year", "daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year", "annual": "year"}
 NUMERIC_ONLY = ("sum", "mean", "median", "std")
+#: Intents that aggregate the metric; the others take columns of any kind.
+AGGREGATING = ("aggregate", "topn", "compare", "trend")
 
 
 @dataclass(frozen=True)
@@ -80,6 +84,11 @@ def resolve(name: str | None, columns: Sequence[str]) -> str | None:
     return lowered[close[0]] if close else None
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
@@ -134,7 +143,12 @@ def validate(spec: Spec, schema: T.StructType, primary_metric: str | None = None
     if metric is None and ratio is None and columns and (changes.get("intent") or spec.intent) not in ("rows", "describe", "correlation"):
         metric, how = columns[0], "count"
         notes.append("no metric: rows are counted")
-    if metric and how in NUMERIC_ONLY and not is_numeric(kinds[metric]):
+    second = named(spec.second_metric)
+    if (changes.get("intent") or spec.intent) == "relationship":
+        wrong = [x for x in (metric, second) if x is None or not is_numeric(kinds[x])]
+        if wrong:
+            raise ValueError("a relationship needs two numeric columns: " + ", ".join("one is missing" if x is None else f"{x} is {kinds[x].simpleString()}" for x in wrong))
+    if metric and ratio is None and how in NUMERIC_ONLY and (changes.get("intent") or spec.intent) in AGGREGATING and not is_numeric(kinds[metric]):
         raise ValueError(f"{how} needs a numeric column; {metric} is {kinds[metric].simpleString()}")
     dimensions = tuple(dict.fromkeys(d for d in map(named, spec.dimensions) if d))
     if len(dimensions) > 2:
@@ -157,4 +171,4 @@ def validate(spec: Spec, schema: T.StructType, primary_metric: str | None = None
     limit = None if spec.limit is None else max(1, int(spec.limit))
     if limit is None and intent in ("topn", "rows"):
         limit = 10 if intent == "topn" else 25
-    return Spec(intent, metric, how, dimensions[:2], filters, date, grain, sort, limit, ratio, named(spec.second_metric)), notes
+    return Spec(intent, metric, how, dimensions[:2], filters, date, grain, sort, limit, ratio, second), notes

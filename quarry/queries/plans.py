@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import aggregate as A
 from quarry.operators import facts as X
 from quarry.operators import timeseries as S
-from quarry.operators.filters import apply_filters, drop_nulls, evidence
+from quarry.operators.filters import apply_filters, candidates, closest_bound, drop_nulls, evidence
 from quarry.plans.execute import run
 from quarry.plans.flat import FLAT, flat, table
 from quarry.plans.spec import Filter, Ratio, Spec
@@ -232,10 +232,47 @@ def drop_null_rows(spark, sf):
     return drop_nulls(labelled(spark, sf), ["doc_id", "toxic"])
 
 
-@query("select count(*) as rows_in_dataset, count(*) filter (where o_orderstatus = 'F') as rows_after_filters, cast(min(o_orderdate) filter (where o_orderstatus = 'F') as date) as date_min, cast(max(o_orderdate) filter (where o_orderstatus = 'F') as date) as date_max from orders")
+@query("""select count(*) as rows_in_dataset, count(*) filter (where f) as rows_after_filters, cast(min(o_orderdate) filter (where f) as date) as date_min, cast(max(o_orderdate) filter (where f) as date) as date_max,
+'o_orderstatus == F; o_totalprice between 1000 and 200000' as filters, 'o_totalprice, o_orderstatus, o_orderdate' as columns_used from (select *, o_orderstatus = 'F' and o_totalprice between 1000 and 200000 as f from orders)""")
 def evidence_counts(spark, sf):
     rows = table(spark, sf, "orders")
-    return evidence(rows, apply_filters(rows, [Filter("o_orderstatus", "==", "F")]).df, "o_orderdate")
+    applied = apply_filters(rows, [Filter("o_orderstatus", "==", "f"), Filter("o_totalprice", "between", [1000, 200000])]).applied
+    return evidence(rows, applied, "o_orderdate", used=["o_totalprice"]).withColumns({c: F.concat_ws(s, c) for c, s in (("filters", "; "), ("columns_used", ", "))})
+
+
+WANTED = "small widgit"
+_letters = " + ".join(f"least({WANTED.count(c)}, length(v) - length(replace(v, '{c}', '')))" for c in sorted(set(WANTED)))
+
+
+@query(f"""select p_name as value, round(2.0 * ({_letters}) / ({len(WANTED)} + length(v)), 6) as bound from (select distinct p_name, lower(p_name) as v from part where p_name is not null)
+where 2.0 * least({len(WANTED)}, length(v)) / ({len(WANTED)} + length(v)) >= 0.85 - 1e-9 and 2.0 * ({_letters}) / ({len(WANTED)} + length(v)) >= 0.85 - 1e-9""")
+def category_candidates(spark, sf):
+    """The names that a misspelled one is compared with."""
+    names = table(spark, sf, "part").select(F.col("p_name").alias("value")).where("value is not null").distinct()
+    return candidates(names, [WANTED]).select("value", F.round(closest_bound(F.col("low"), WANTED), 6).alias("bound"))
+
+
+@query("select * from customer where c_custkey in (9007199254740993, 7, 12) or c_custkey between 1400 and 1404")
+def filter_long_numbers(spark, sf):
+    rows = table(spark, sf, "customer")
+    far = apply_filters(rows, [Filter("c_custkey", "in", ["9007199254740993", 7, "12.0"])], snap=False).df
+    return far.unionByName(apply_filters(rows, [Filter("c_custkey", "between", ["1400", 1404.0])], snap=False).df)
+
+
+@query("select o_orderstatus as value, count(*) as count from orders group by 1")
+def spec_distribution_of_text(spark, sf):
+    return run(table(spark, sf, "orders"), Spec(intent="distribution", metric="o_orderstatus")).table
+
+
+@query("select * from orders order by o_orderdate desc, o_orderkey limit 40")
+def spec_rows_by_date(spark, sf):
+    return run(table(spark, sf, "orders"), Spec(intent="rows", metric="o_orderdate", limit=40), keys=("o_orderkey",)).table
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as \"period 2\", o_orderpriority as period, count(o_orderkey) as value from orders group by 1, 2")
+def trend_by_period_column(spark, sf):
+    rows = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "period")
+    return run(rows, Spec(intent="trend", metric="o_orderkey", aggregation="count", dimensions=("period",), date="o_orderdate")).table
 
 
 @query("select * from orders order by o_totalprice desc, o_orderkey limit 25")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from quarry.functions.text import format_number
 from quarry.operators import aggregate as A
 from quarry.operators import facts as X
+from quarry.operators import overview as O
 from quarry.operators import profile as P
 from quarry.operators import relations as R
 from quarry.operators.filters import quoted
 from quarry.plans.flat import FLAT, flat, table
+from quarry.plans.spec import Ratio
 from quarry.queries.plans import SPINE_SQL, labelled, orders
 from quarry.queries.registry import query, register
 
@@ -67,8 +69,8 @@ register(
     lambda spark, sf: P.top_values(table(spark, sf, "documents"), ["text"]),
 )
 register(
-    "profile_samples", _each("lineitem", "select '{c}' as column, rank, value from (select value, cast(row_number() over (order by value) as integer) as rank from (select distinct cast({c} as varchar) as value from {t} where {c} is not null)) where rank <= 5", ["l_returnflag", "l_linestatus", "l_orderkey"]),
-    lambda spark, sf: P.samples(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey")),
+    "profile_samples", _each("lineitem", "select '{c}' as column, rank, value from (select value, cast(row_number() over (order by value) as integer) as rank from (select distinct cast({c} as varchar) as value from {t} where {c} is not null)) where rank <= 5"),
+    lambda spark, sf: P.samples(table(spark, sf, "lineitem")),
 )
 
 ROLES = {
@@ -108,8 +110,8 @@ def dataset_totals_missing(spark, sf):
 
 
 register(
-    "describe_orders", " union all ".join(f"select {k} as position, '{c}' as column, '{role}' as role, '{kind}' as kind, count(distinct {c}) as \"unique\", round((count(*) - count({c})) / greatest(count(*), 1) * 100, 2) as missing_pct, min(cast({c} as varchar)) as example from orders" for k, (c, kind, role, _) in enumerate(ROLES["orders"]) if c not in ("o_totalprice",)),
-    lambda spark, sf: P.describe(table(spark, sf, "orders")).where("column <> 'o_totalprice'"),
+    "describe_orders", " union all ".join(f"select {k} as position, '{c}' as column, '{role}' as role, '{kind}' as kind, count(distinct {c}) as \"unique\", round((count(*) - count({c})) / greatest(count(*), 1) * 100, 2) as missing_pct, min(cast({c} as varchar)) as example from orders" for k, (c, kind, role, _) in enumerate(ROLES["orders"])),
+    lambda spark, sf: P.describe(table(spark, sf, "orders")),
 )
 register(
     "missing_pct", _each("labelled", "select '{c}' as column, round((count(*) - count({c})) / greatest(count(*), 1) * 100, 2) as missing_pct from {t} having count(*) > count({c})"),
@@ -167,10 +169,18 @@ _cells += [f"select '{a}', '{b}', cast(null as double) from lineitem having coun
 register("correlation_matrix", f"select column_a, column_b, r, {STRENGTH_SQL} from ({' union all '.join(_cells)})", lambda spark, sf: R.correlations(table(spark, sf, "lineitem").withColumn("one", F.lit(1.0)), [*MATRIX, "one"]))
 
 
-@query(None)
+POINT = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_draw = lambda keys: f"md5(concat_ws(chr(31), {', '.join(f"coalesce('v' || {k}, 'n')" for k in keys)}))"
+
+
+@query(f"select {', '.join(POINT)}, l_quantity, l_extendedprice, l_returnflag from lineitem where l_quantity is not null and l_extendedprice is not null order by {_draw(POINT)}, {', '.join(POINT)}, l_quantity, l_extendedprice, l_returnflag limit 5000")
 def scatter_sample(spark, sf):
-    rows = table(spark, sf, "lineitem")
-    return R.scatter_sample(rows, "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_returnflag")
+    return R.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", POINT, "l_returnflag")
+
+
+@query(f"select * from orders order by {_draw(['o_orderkey'])}, o_orderkey limit 500")
+def steady_sample(spark, sf):
+    return A.steady_sample(table(spark, sf, "orders"), ["o_orderkey"], 500)
 
 
 @query("select count(*) as n from (select o_orderkey from orders limit 500)")
@@ -239,3 +249,31 @@ select nation, case when abs(value) >= 1e9 then format('{{:,.2f}}B', value / 1e9
 def format_numbers(spark, sf):
     rows = flat(spark, sf).groupBy("nation").agg(F.sum("sales").cast("double").alias("value"), F.count("*").alias("n"), (F.sum("profit").cast("double") / F.sum("sales").cast("double") * 100).alias("m"))
     return rows.select("nation", format_number(quoted("value")).alias("sales"), format_number(quoted("n"), "int").alias("orders"), format_number(quoted("m"), "pct").alias("margin"))
+
+
+_pairs = [(a, b) for i, a in enumerate(CARDS) for b in list(CARDS)[i + 1 :]]
+_top = " union all ".join(f"select '{d}' as d, {k} as k, {d} as label, cast(sum(sales) as double) as value from flat group by {d}" for k, d in enumerate(DIMENSIONS))
+OVERVIEW_SQL = f"""with {FLAT}, c as ({' union all '.join(_cards)}),
+ends as (select cast(min(sales) as double) as lo, cast(max(sales) as double) as hi from flat),
+bins as (select least(cast(floor((cast(sales as double) - lo) * 40 / (hi - lo)) as bigint) + 1, 40) as bin, count(*) as n from flat, ends group by 1),
+months as (select strftime(order_date, '%Y-%m') as period, cast(sum(sales) as double) as value from flat group by 1),
+spine as (select strftime(unnest(generate_series(min(date_trunc('month', order_date)), max(date_trunc('month', order_date)), interval 1 month)), '%Y-%m') as period from flat),
+filled as (select period, coalesce(value, 0) as value from spine left join months using (period)),
+z as (select period, round((value - avg(value) over ()) / stddev_samp(value) over (), 2) as z from filled),
+top as (select *, row_number() over (partition by d order by value desc, label) as rank from ({_top}))
+select 0 as ord, 'card' as kind, label as key, round(value, 4) as value from c
+union all select 1, 'month', period, round(value, 4) from filled union all select 2, 'top', d || '|' || rank || '|' || label, round(value, 4) from top where rank <= 10
+union all select 3, 'bin', cast(bin as varchar), coalesce(n, 0) from (select unnest(range(1, 41)) as bin) left join bins using (bin)
+{' '.join(f"union all select 4, 'correlation', '{a}|{b}', round(corr({a}, {b}), 3) + 0.0 from flat" for a, b in _pairs)}
+union all select 6, 'anomaly', period, z from z where abs(z) >= 2"""
+
+
+@query(OVERVIEW_SQL)
+def overview(spark, sf):
+    ratios = [(name, Ratio(a, b, s)) for name, a, b, s in RATIOS]
+    return O.overview(flat(spark, sf), CARDS, ratios, "sales", "order_date", DIMENSIONS).withColumn("value", F.round("value", 4))
+
+
+@query(f"select 0 as ord, 'card' as kind, 'Rows' as key, count(*)::double as value from {LABELLED} union all select 0, 'card', 'Total n_chars', sum(n_chars)::double from {LABELLED} union all select 0, 'card', 'Distinct verdict', count(distinct verdict)::double from {LABELLED} union all select 5, 'missing', k, round(100 * (count(*) - count(v)) / count(*), 2) from (select unnest(['toxic', 'quality', 'verdict']) as k, unnest([toxic::varchar, quality::varchar, verdict]) as v from {LABELLED}) group by k having count(*) > count(v)")
+def overview_missing(spark, sf):
+    return O.overview(labelled(spark, sf), {"n_chars": "sum"}, dimensions=["verdict"]).where("kind in ('card', 'missing')")

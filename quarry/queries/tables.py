@@ -9,12 +9,15 @@ from quarry.functions.text import extract_json, strip_reasoning
 from quarry.operators import clean as C
 from quarry.operators import profile as P
 from quarry.operators import retrieval as R
+from quarry.operators.text_index import TextIndex
 from quarry.plans.flat import table
 from quarry.queries.plans import labelled
 from quarry.queries.profiles import LABELLED, ROLES, source
-from quarry.queries.registry import query, register
+from quarry.queries.registry import ORACLES, query, register
 from quarry.sources import delimited as D
 from quarry.sources import export as E
+from quarry.sources import folders
+from quarry.sources.shared import new_folder
 
 
 def messy(spark, sf):
@@ -94,6 +97,14 @@ def clean_all(spark, sf):
 
 
 
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, strftime(o_orderdate, '%Y-%m-%d') as other from orders")
+def clean_day_first(spark, sf):
+    """Both readings fit most of these dates; the few that fit one alone decide for their whole column."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.date_format("o_orderdate", "d/M/yyyy").alias("day"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("other date"))
+    out, _ = C.clean(rows)
+    return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format(F.col("other date"), "yyyy-MM-dd").alias("other"))
+
+
 @query("""with e as (select user_id, event_type, props from events), g as (select count(*) as n from e group by user_id, event_type, props)
 select 'before' as stage, cast(sum(n) as bigint) as rows, cast(3 as bigint) as columns, cast(0 as bigint) as missing, cast(sum(n - 1) as bigint) as duplicates from g
 union all select 'after', count(*), cast(3 as bigint), cast(0 as bigint), cast(0 as bigint) from g""")
@@ -133,6 +144,37 @@ def parse_lines(spark, sf):
     return raw.select(D.parsed(F.col("line"), "key string, priority string, amount string, customer string", ";").alias("r")).select("r.*")
 
 
+def folder_of_layouts(spark, sf):
+    """Orders as a folder of files: one layout for each status, in other encodings, column orders and spellings; the notes hold quotes, separators and line ends."""
+    path = new_folder(spark, "layouts")
+    rows = table(spark, sf, "orders")
+    key, priority, customer = F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("o_custkey").cast("string")
+    place = F.concat(F.lit("Orléans, quai "), customer)
+    write = lambda df, status, **how: df.write.csv(f"{path}/{status}", header=True, quote='"', escape='"', **how)
+    write(rows.where("o_orderstatus = 'F'").select(key.alias("Order Key"), priority.alias("Priority"), place.alias("Place")), "F", sep=";")
+    write(rows.where("o_orderstatus = 'O'").select(place.alias("place"), customer.alias("Customer.No"), key.alias(" order  key ")), "O", sep=",", encoding="ISO-8859-1")
+    note = F.concat(F.lit('said "'), priority, F.lit('"\nand\t'), customer)
+    write(rows.where("o_orderstatus = 'P'").select(customer.alias("Customer.No"), note.alias("Note"), key.alias("Order Key")), "P", sep="\t")
+    spark.createDataFrame([], "x string").write.text(f"{path}/none")
+    return path
+
+
+@query("""select cast(o_orderkey as varchar) as order_key, case when o_orderstatus = 'F' then o_orderpriority end as priority, case when o_orderstatus in ('F', 'O') then 'Orléans, quai ' || o_custkey end as place,
+case when o_orderstatus in ('O', 'P') then cast(o_custkey as varchar) end as customer, case when o_orderstatus = 'P' then 'said "' || o_orderpriority || '"' || chr(10) || 'and' || chr(9) || o_custkey end as note from orders""")
+def read_folder(spark, sf):
+    rows, _ = folders.read_folder(spark, folder_of_layouts(spark, sf), on_problem="skip")
+    return rows.select(F.col("`Order Key`").alias("order_key"), F.col("Priority").alias("priority"), F.col("Place").alias("place"), F.col("`Customer.No`").alias("customer"), F.col("Note").alias("note"))
+
+
+@query("""select o_orderstatus as status, case o_orderstatus when 'F' then ';' when 'O' then ',' else chr(9) end as separator, o_orderstatus <> 'O' as utf8, o_orderstatus = 'P' as over_lines,
+case o_orderstatus when 'F' then 'Order Key;Priority;Place' when 'O' then 'place,Customer.No,order  key' else 'Customer.No' || chr(9) || 'Note' || chr(9) || 'Order Key' end as header, cast(null as varchar) as problem from orders group by o_orderstatus
+union all select 'none', ',', null, null, null, 'no bytes'""")
+def folder_verdicts(spark, sf):
+    judged = folders.verdicts(spark, folder_of_layouts(spark, sf))
+    status = F.regexp_extract("file", "/([^/]+)/[^/]+$", 1)
+    return judged.where("problem is null or bytes = 0").select(status.alias("status"), "separator", "utf8", "over_lines", F.trim(F.replace("header", F.lit('"'), F.lit(""))).alias("header"), "problem").distinct()
+
+
 @query("select o_orderstatus as file, false as over_lines from orders group by 1")
 def lines_with_open_quotes(spark, sf):
     return D.odd_quotes(lines(spark, sf))
@@ -149,6 +191,18 @@ def rows_page(spark, sf):
     return E.page(table(spark, sf, "orders"), ["o_custkey", "o_orderkey"], after=[500, 0])
 
 
+@query(f"""select *, (select count(*) from documents) as total from (select doc_id, lang, toxic, verdict from {LABELLED}) order by toxic nulls first, lang,
+md5(concat_ws(chr(31), 'v' || doc_id, coalesce('v' || lang, 'n'), coalesce('v' || toxic, 'n'), coalesce('v' || verdict, 'n'))) limit 300 offset 600""")
+def rows_third_page(spark, sf):
+    """By keys that are null or shared by many rows."""
+    rows = labelled(spark, sf).select("doc_id", "lang", "toxic", "verdict")
+    after = None
+    for _ in range(3):
+        page = E.read_page(rows, ["toxic", "lang"], after, size=300)
+        after = page.after
+    return spark.createDataFrame(page.rows, rows.schema).withColumn("total", F.lit(page.total).cast("long"))
+
+
 @query("""select doc_id, md5(cast(doc_id as varchar) || ',' || lang || ',' || case when regexp_matches(text, '[",\n\r]') then '"' || replace(text, '"', '""') || '"' else text end) as digest from documents""")
 def csv_export(spark, sf):
     docs = table(spark, sf, "documents")
@@ -201,6 +255,32 @@ def keyword_topk(spark, sf):
     return R.keyword_topk(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", k=5)
 
 
+def kept_index(spark, sf):
+    """An index that came about in steps: documents with a toxicity label under wrong texts, then all others, then the real texts in their place, source by source."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    marked = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    index = TextIndex(spark, new_folder(spark, "index"), key="doc_id")
+    index.add(marked.withColumn("text", F.concat(F.lit("wrong "), F.substring("text", 1, 200))), "text", label="source")
+    index.add(docs, "text", label="source")  # those that are there stay as they are
+    index.replace(docs.join(marked.select("source").distinct(), "source", "left_semi"), "text", label="source", by_label=True)
+    return index
+
+
+@query(f"with {INDEX_SQL} select doc_id, token, cast(length as bigint) as length, tf from i")
+def kept_index_postings(spark, sf):
+    return kept_index(spark, sf).postings().withColumnRenamed("key", "doc_id")
+
+
+@query(f"with {INDEX_SQL} select token, count(*) as df, n.documents, n.tokens from i, (select count(*) as documents, cast(sum(len(t)) as bigint) as tokens from t) n group by all")
+def kept_index_sizes(spark, sf):
+    index = kept_index(spark, sf)
+    size = index.size().first()
+    return index.frequencies().select("token", "df", F.lit(size["documents"]).alias("documents"), F.lit(size["tokens"]).alias("tokens"))
+
+
+register("kept_index_topk", ORACLES["keyword_topk"], lambda spark, sf: kept_index(spark, sf).search(table(spark, sf, "benchmark"), "item_id", "text", k=5)[0])
+
+
 @query("""with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), n as (select vec_id, e, sqrt(list_dot_product(e, e)) as size from u),
 s as (select q.vec_id as query, v.vec_id as key, round(greatest(0.0, list_dot_product(list_transform(v.e, lambda x: x / v.size), list_transform(q.e, lambda x: x / q.size))), 4) as score from n v, n q where q.vec_id % 100 = 0)
 select query, cast(rank as integer) as rank, key, score from (select *, row_number() over (partition by query order by score desc, key) as rank from s) where rank <= 5""")
@@ -209,16 +289,18 @@ def vector_topk(spark, sf):
     return R.vector_topk(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", "vec_id")
 
 
-@query("select doc_id, lang, n_chars from documents")
+@query("select doc_id, lang, case when doc_id in (select doc_id from labels) then -1 else n_chars end as n_chars from documents")
 def index_upsert(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return R.upsert(docs.join(table(spark, sf, "labels"), "doc_id", "left_semi"), docs, "doc_id")
+    old = docs.join(table(spark, sf, "labels"), "doc_id", "left_semi").withColumn("n_chars", F.lit(-1).cast("long"))
+    return R.upsert(old, docs, "doc_id")
 
 
-@query("select doc_id, lang, n_chars from documents")
+@query("select doc_id, lang, case when lang in (select lang from documents group by lang order by count(*) desc, lang limit 2) then n_chars else 0 end as n_chars from documents")
 def index_replace(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return R.upsert(docs.withColumn("n_chars", F.lit(0).cast("long")), docs, "doc_id", replace=["lang"])
+    most = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2)
+    return R.upsert(docs.withColumn("n_chars", F.lit(0).cast("long")), docs.join(most, "lang", "left_semi"), "doc_id", replace=["lang"])
 
 
 CATALOGUE = ("orders", "lineitem", "events", "documents")

@@ -14,7 +14,6 @@ from quarry.operators import aggregate as A
 from quarry.operators import clean as C
 from quarry.operators import facts as X
 from quarry.operators import profile as P
-from quarry.operators import quantiles
 from quarry.operators import relations as R
 from quarry.operators import retrieval as V
 from quarry.operators import timeseries as S
@@ -66,15 +65,12 @@ def test_quantiles_are_exact(spark, values):
         assert got[0.25] == pytest.approx(statistics.quantiles(values, n=4, method="inclusive")[0])
 
 
-def test_quantiles_rank_few_values(spark, monkeypatch):
+def test_quantiles_of_values_over_many_magnitudes(spark):
     values = [10 ** (18 * k / 20000) for k in range(20001)]  # most of them in the lowest of equal parts
     values += [-v for v in values[::2]] + [1e-9 * k for k in range(3000)]
-    seen, narrowed = [], quantiles.narrowed
-    monkeypatch.setattr(quantiles, "RANKED", 20)
-    monkeypatch.setattr(quantiles, "narrowed", lambda *x: seen.append(narrowed(*x)) or seen[-1])
-    got = {r["share"]: r["value"] for r in exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0.25, 0.5, 0.75]).collect()}
-    assert [got[x] for x in (0.25, 0.5, 0.75)] == pytest.approx(statistics.quantiles(values, n=4, method="inclusive"), rel=1e-12)
-    assert max(r["left"] for r in seen[0].collect()) <= 20
+    got = exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0.1, 0.5, 0.9]).collect()
+    want = {s: statistics.quantiles(values, n=10, method="inclusive")[round(10 * s) - 1] for s in (0.1, 0.5, 0.9)}
+    assert {r["share"]: r["value"] for r in got} == {s: pytest.approx(v) for s, v in want.items()}
 
 
 def test_filters_keep_or_drop_nulls(rows):
