@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import struct
@@ -265,6 +266,65 @@ def test_links_and_short_items_of_an_article_stay():
         assert html_extract.main_text(page).split("\n\n") == [*[paragraph] * 5, *items, *[paragraph] * 5]
 
 
+TEXT = "Some words of the text, and more of them, as they come. "
+
+
+def test_marked_articles_are_a_prior_alone():
+    paragraphs = "".join(f"<p>{TEXT * k}</p>" for k in (3, 5, 4, 6))
+    want = "\n\n".join(["Real", *((TEXT * k).strip() for k in (3, 5, 4, 6))])
+    cards = "".join(f"<article><h3>Card {k}</h3><p>Short teaser, read on.</p></article>" for k in range(6))
+    links = "<ul>" + "".join(f'<li><a href="/{k}">Next {k}</a></li>' for k in range(6)) + "</ul>"
+    for page in (
+        f"<body>{cards}<div><h1>Real</h1>{paragraphs}</div></body>",  # cards alone are marked
+        f"<body><main><div><h1>Real</h1>{paragraphs}</div>{cards}</main></body>",
+        f"<body><main><h1>Real</h1>{paragraphs}{links}</main></body>",
+        f"<body><article><h1>Real</h1>{paragraphs}<div><h3>Read next</h3>{links}</div></article><div><p>Elsewhere, a few words.</p></div></body>",
+        f"<body><main><article><h1>Real</h1>{paragraphs}</article><section><h2>More</h2>{links}</section></main></body>",
+    ):
+        assert html_extract.main_text(page) == want, page[:60]
+    # A page of several articles of like size is their text.
+    several = "".join(f"<article><h2>Part {k}</h2><p>{TEXT * 3}</p></article>" for k in range(4))
+    assert html_extract.main_text(f"<body>{several}</body>") == "\n\n".join(x for k in range(4) for x in (f"Part {k}", (TEXT * 3).strip()))
+    assert html_extract.main_text('<article><h1><a href="/">Only a title</a></h1></article>') == "Only a title"
+    assert html_extract.main_text(f"<article></article><p>{TEXT}</p>") == TEXT.strip()
+
+
+def brute_paths(kept):
+    """The paths that stay, ratio by ratio as the method says, with nothing summed before it is asked for."""
+    def ratio(path, of):
+        own = [n for n in kept if n[0] == path]
+        return sum(of(n) for n in own) / len(own)
+
+    length = [ratio(p, lambda n: min(n[2], len(n[1]))) for p, *_ in kept]
+    marks = [ratio(p, lambda n: sum(c in html_extract.PUNCTUATION for c in n[1]) if n[2] else 0) for p, *_ in kept]
+
+    def smooth(values, k):
+        weights = {j: np.exp(-((j - k) ** 2) / 2) for j in range(k - 2, k + 3) if 0 <= j < len(values)}
+        return sum(w * values[j] for j, w in weights.items()) / sum(weights.values())
+
+    score = [n[3] * np.sqrt(smooth(length, k) * (1 + smooth(marks, k))) for k, n in enumerate(kept)]
+    mean = {p: np.mean([s for s, n in zip(score, kept) if n[0] == p]) for p, *_ in kept}
+    least = 0.25 * min(60.0, max(mean.values()))
+    return {p for p in mean if mean[p] >= least and any(min(n[2], len(n[1])) for n in kept if n[0] == p)}
+
+
+def test_paths_are_chosen_as_by_plain_ratios():
+    r = random.Random(7)
+    for _ in range(200):
+        kept = []
+        for _ in range(r.randrange(1, 40)):
+            text = " ".join(r.choices(["word", "a", "is,", "this.", "and", "long–er", "&"], k=r.randrange(1, 60)))
+            kept.append((r.choice(["p", "li", "div/p", "h1", "td"]), text, r.choice([0, len(text), len(text) // 2]), r.choice([1.0, 1.0, 8.0, 0.2])))
+        assert html_extract.chosen(kept) == brute_paths(kept)
+    assert html_extract.chosen([]) == set()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables aren't here")
+def test_pages_read_alike_without_their_marks(spark):
+    for (page,) in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        assert html_extract.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", page or "")) == html_extract.main_text(page)
+
+
 def test_packing_holds_every_token_once(spark, odd, empty):
     from tokenizers import Tokenizer
 
