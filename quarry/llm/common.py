@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.spec import quoted
+from quarry.sources.shared import written
+
 #: Rows of one Arrow batch that are worked on together; bounds a worker's memory.
 BLOCK = 256
 
@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, so that no other column can clash with what it adds."""
-    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    return df.select(quoted(id_col).cast("long").alias(id_col), quoted(text_col).cast("string").alias(text_col))
 
 
 def map_blocks(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str, block: int = BLOCK) -> DataFrame:
@@ -110,33 +110,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset, a session on one machine (tests) gets a folder of its own; a cluster is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; what is written there is deleted when the session ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(there)
-    files.deleteOnExit(there)
-    return path
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared folder, read from there from now on."""
-    path = f"{new_folder(df.sparkSession, 'step')}/rows"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df)
 
 
 #: Bits of the bitmap that narrows a table to wanted ids; bounds what is broadcast to 2**16 rows.
@@ -160,9 +136,18 @@ def narrowed(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     return _flagged(df, F.col(id_col), wanted).where("_maybe").drop("_maybe")
 
 
+def as_one(df: DataFrame) -> Column:
+    """The caller's whole row as one struct, so that no column of an operator's own can clash with it."""
+    return F.struct(*map(quoted, df.columns)).alias("row")
+
+
+def as_given(held: DataFrame, like: DataFrame) -> DataFrame:
+    """The caller's rows out of the structs ``row``."""
+    return held.select(*(F.col("row").getField(c).alias(c) for c in like.columns))
+
+
 def without(df: DataFrame, key: Column, unwanted: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key isn't among ``unwanted``'s single column. Only rows that may be are shuffled to be joined exactly."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    rows = _flagged(df.withColumn("_key", key), F.col("_key"), unwanted)
-    tried = rows.where("_maybe").join(unwanted.toDF("_key").distinct(), "_key", "left_anti").select(*columns)
-    return rows.where("not _maybe").select(*columns).unionByName(tried)
+    rows = _flagged(df.select(as_one(df), key.alias("key")), F.col("key"), unwanted)
+    tried = rows.where("_maybe").join(unwanted.toDF("key").distinct(), "key", "left_anti").select("row")
+    return as_given(rows.where("not _maybe").select("row").unionByName(tried), df)
