@@ -6,9 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.clean import Report
 from quarry.plans.spec import quoted
 
 #: Parts that rows and queries are dealt into where a vector search meets them.
@@ -231,3 +232,35 @@ def metadata_documents(profile: DataFrame, entries: Sequence[tuple[str, str]] =
     every = F.concat(F.array(doc("overview", F.lit(""), overview), doc("dictionary", F.lit(""), dictionary)), F.transform("columns", lambda c: doc("column", c["column"], card(c))))
     rows = sets.select("dataset", F.explode(every).alias("d")).select("dataset", "d.*")
     return rows.select(F.concat_ws("::", "dataset", "kind", F.nullif(F.col("column"), F.lit(""))).alias("id"), "dataset", "kind", "column", "text")
+
+
+def statistics_documents(stats: DataFrame) -> DataFrame:
+    """(id, dataset, kind, column, text): one text a dataset on its numbers, from rows (dataset, position, column, minimum, maximum, mean, median, std)."""
+    two = lambda c: F.coalesce(F.round(c, 2).cast("decimal(38,2)").cast("string"), F.lit("none"))
+    line = F.concat(F.lit("- "), "column", F.lit(": "), two("minimum"), F.lit(" to "), two("maximum"), F.lit(", mean "), two("mean"), F.lit(", median "), two("median"), F.lit(", std "), two("std"), F.lit("."))
+    return _of_datasets(stats.select("dataset", "position", line.alias("line")), "statistics", "Numbers of ")
+
+
+def rules_documents(derived: DataFrame) -> DataFrame:
+    """One text a dataset on the ratios that its metrics allow, from rows (dataset, position, name, numerator, denominator, scale)."""
+    times = F.when(F.col("scale") != 1, F.concat(F.lit(", times "), F.col("scale").cast("int").cast("string"))).otherwise("")
+    line = F.concat(F.lit("- "), "name", F.lit(": sum of "), "numerator", F.lit(" over sum of "), "denominator", times, F.lit("."))
+    return _of_datasets(derived.select("dataset", "position", line.alias("line")), "business_rules", "Measures of ")
+
+
+def _of_datasets(lines: DataFrame, kind: str, title: str) -> DataFrame:
+    """A dataset's lines, as many as it has columns or ratios, under a title."""
+    text = F.concat(F.lit(title), "dataset", F.lit(":\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n"))
+    whole = lines.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("all"))
+    return whole.select(F.concat_ws("::", "dataset", F.lit(kind)).alias("id"), "dataset", F.lit(kind).alias("kind"), F.lit("").alias("column"), text.alias("text"))
+
+
+def cleaning_document(spark: SparkSession, dataset: str, report: Report) -> DataFrame:
+    """One text on what cleaning changed."""
+    before, after = report.before, report.after
+    said = [f"Cleaning of {dataset}: {before['rows']} rows of {before['columns']} columns were read, {after['rows']} rows of {after['columns']} columns are left."]
+    if before["rows"] > after["rows"]:
+        said.append(f"{before['rows'] - after['rows']} rows were empty or repeated another.")
+    lists = (("Renamed", [f"{' '.join(a.split()) or 'a blank name'} to {b}" for a, b in report.renamed.items()]), ("Dropped", [*report.empty_columns, *report.index_columns]), ("Read as numbers", report.numbers), ("Read as dates", report.dates), ("Day first", report.day_first), ("Warnings", report.warnings))
+    said += [f"{title}: {', '.join(names)}." for title, names in lists if names]
+    return spark.createDataFrame([(f"{dataset}::cleaning", dataset, "cleaning", "", " ".join(said))], "id string, dataset string, kind string, column string, text string")

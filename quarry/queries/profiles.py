@@ -10,11 +10,13 @@ from quarry.operators import facts as X
 from quarry.operators import overview as O
 from quarry.operators import profile as P
 from quarry.operators import relations as R
+from quarry.operators import sketches as K
 from quarry.operators.filters import quoted
 from quarry.plans.flat import FLAT, flat, table
 from quarry.plans.spec import Ratio
 from quarry.queries.plans import SPINE_SQL, labelled, orders
 from quarry.queries.registry import query, register
+from quarry.sources.shared import new_folder
 
 COLUMNS = {
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
@@ -277,3 +279,35 @@ def overview(spark, sf):
 @query(f"select 0 as ord, 'card' as kind, 'Rows' as key, count(*)::double as value from {LABELLED} union all select 0, 'card', 'Total n_chars', sum(n_chars)::double from {LABELLED} union all select 0, 'card', 'Distinct verdict', count(distinct verdict)::double from {LABELLED} union all select 5, 'missing', k, round(100 * (count(*) - count(v)) / count(*), 2) from (select unnest(['toxic', 'quality', 'verdict']) as k, unnest([toxic::varchar, quality::varchar, verdict]) as v from {LABELLED}) group by k having count(*) > count(v)")
 def overview_missing(spark, sf):
     return O.overview(labelled(spark, sf), {"n_chars": "sum"}, dimensions=["verdict"]).where("kind in ('card', 'missing')")
+
+
+def halves(spark, sf):
+    """The sketches of the order lines, kept in two batches by return flag."""
+    store = K.ProfileStore(spark, f"{new_folder(spark, 'profile')}/sketches")
+    rows = table(spark, sf, "lineitem")
+    store.add(rows.where("l_returnflag = 'N'"))
+    store.add(rows.where("l_returnflag <> 'N'"))
+    return store.merged()
+
+
+register(
+    "sketch_counts", _each("lineitem", "select '{c}' as column, count(*) as rows, count(*) - count({c}) as missing, true as distinct_within, true as median_within from {t}"),
+    lambda spark, sf: sketch_errors(spark, sf),
+)
+
+
+def sketch_errors(spark, sf):
+    """Merged sketches beside the exact profile: whether they are as near as they say. A median's rank is exact for the sketch's value."""
+    rows = table(spark, sf, "lineitem")
+    about = K.profile(halves(spark, sf)).collect()  # one row a column
+    exact = P.counts(rows).select("column", "unique")
+    ranks = rows.agg(*(F.struct(F.avg((F.col(r["column"]) < r["p50_about"]).cast("int")).alias("lo"), F.avg((F.col(r["column"]) <= r["p50_about"]).cast("int")).alias("hi")).alias(r["column"]) for r in about if r["p50_about"] is not None)).first()
+    said = [(r["column"], r["rows"], r["missing"], float(r["distinct_about"]), r["p50_about"] is None or ranks[r["column"]]["lo"] - K.RANK_ERROR <= 0.5 <= ranks[r["column"]]["hi"] + K.RANK_ERROR) for r in about]
+    held = spark.createDataFrame(said, "column string, rows long, missing long, about double, median_within boolean")
+    return held.join(exact, "column").select("column", "rows", "missing", (F.abs(F.col("about") - F.col("unique")) <= K.DISTINCT_ERROR * F.col("unique") + 0.5).alias("distinct_within"), "median_within")
+
+
+register(
+    "sketch_top_values", " union all ".join(TOP_SQL.format(c=c, t="lineitem") for c in ("l_returnflag", "l_linestatus", "l_linenumber")),
+    lambda spark, sf: K.top_values(halves(spark, sf).where("column in ('l_returnflag', 'l_linestatus', 'l_linenumber')")),
+)

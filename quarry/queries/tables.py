@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import extract_json, strip_reasoning
@@ -10,7 +12,7 @@ from quarry.operators import clean as C
 from quarry.operators import profile as P
 from quarry.operators import retrieval as R
 from quarry.operators.text_index import TextIndex
-from quarry.plans.flat import table
+from quarry.plans.flat import flat, table
 from quarry.queries.plans import labelled
 from quarry.queries.profiles import LABELLED, ROLES, source
 from quarry.queries.registry import ORACLES, query, register
@@ -307,10 +309,6 @@ CATALOGUE = ("orders", "lineitem", "events", "documents")
 
 
 def catalogue(spark, sf):
-    from functools import reduce
-
-    from pyspark.sql import DataFrame
-
     return reduce(DataFrame.unionByName, (P.roles(source(spark, sf, t)).withColumn("dataset", F.lit(t)) for t in CATALOGUE))
 
 
@@ -328,6 +326,28 @@ register("corpus_counts", METADATA_SQL + "select kind, count(*) as n from docs g
 register("glossary_attach", METADATA_SQL + 'select dataset, "column", definition from p left join d using (dataset, "column")', lambda spark, sf: R.glossary(catalogue(spark, sf)).select("dataset", "column", "definition"))
 
 
+_two = lambda x: f"cast(cast(round({x}, 2) as decimal(38,2)) as varchar)"
+_metrics = [(t, k, c) for t in CATALOGUE for k, (c, _, role, _) in enumerate(ROLES[t]) if role == "metric"]
+_lines = " union all ".join(f"select '{t}' as dataset, {k} as position, '- {c}: ' || {_two(f'min({c})')} || ' to ' || {_two(f'max({c})')} || ', mean ' || {_two(f'avg({c})')} || ', median ' || {_two(f'quantile_cont(cast({c} as double), 0.5)')} || ', std ' || {_two(f'stddev_samp({c})')} || '.' as line from {t}" for t, k, c in _metrics)
+_cleaned = "Order Key to Order Key, status to status (1), a blank name to unnamed. Dropped: unnamed. Read as numbers: Order Key, Price. Read as dates: order date."
+
+
+@query(f"""with l as ({_lines}) select dataset || '::statistics' as id, dataset, 'statistics' as kind, '' as column, 'Numbers of ' || dataset || ':' || chr(10) || string_agg(line, chr(10) order by position) as text from l group by dataset
+union all select 'flat::business_rules', 'flat', 'business_rules', '', 'Measures of flat:' || chr(10) || '- Profit Margin %: sum of profit over sum of sales, times 100.' || chr(10) || '- Average Selling Price: sum of sales over sum of quantity.' || chr(10) || '- Return on Cost %: sum of profit over sum of cost, times 100.'
+union all select 'orders::cleaning', 'orders', 'cleaning', '', 'Cleaning of orders: ' || count(*) || ' rows of 7 columns were read, ' || count(*) || ' rows of 6 columns are left. Renamed: {_cleaned}' from orders""")
+def metadata_facts(spark, sf):
+    metrics = []
+    for t in CATALOGUE:
+        rows = source(spark, sf, t)
+        of_metrics = P.roles(rows).where("role = 'metric'").select("position", "column")
+        metrics.append(P.numeric_stats(rows).join(of_metrics, "column").withColumn("dataset", F.lit(t)))
+    rules = P.derived_metrics(flat(spark, sf)).withColumn("dataset", F.lit("flat"))
+    rules = rules.withColumn("position", F.array_position(F.array(*(F.lit(n) for n, *_ in P.DERIVED)), F.col("name")))
+    _, report = C.clean(messy(spark, sf))
+    parts = [R.statistics_documents(reduce(DataFrame.unionByName, metrics)), R.rules_documents(rules), R.cleaning_document(spark, "orders", report)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Text tables.
 
 

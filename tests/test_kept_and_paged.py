@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.operators import clean as C
 from quarry.operators import quantiles
 from quarry.operators import retrieval as V
+from quarry.operators import sketches
 from quarry.operators import timeseries as S
 from quarry.operators.filters import CLOSE, apply_filters, candidates, evidence, snapped
 from quarry.operators.overview import cells, overview
@@ -208,6 +209,32 @@ def test_overview_reads_its_view_once(spark, tmp_path):
     assert overview(view.limit(0), {"m": "sum"}, date="d", dimensions=["k"]).where("kind = 'card'").count() == 2
 
 
+def test_sketches_of_batches_are_those_of_the_whole(spark, tmp_path):
+    r = random.Random(11)
+    rows = [(r.randrange(4000), r.gauss(0, 1) if r.random() < 0.9 else None, r.choice("abcde") * 3, "long " * 30 + str(k % 3)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "id long, `v.x` double, t string, l string")
+    store = sketches.ProfileStore(spark, str(tmp_path / "s"))
+    store.add(df.where("id % 2 = 0"))
+    store.add(df.where("id % 2 = 1"))
+    store.add(df.limit(0))
+    halves, whole = store.merged(), sketches.sketches(df)
+    got, one = ({x["column"]: x for x in sketches.profile(h).collect()} for h in (halves, whole))
+    for c, k in (("id", 0), ("v.x", 1), ("t", 2), ("l", 3)):
+        values = [x[k] for x in rows if x[k] is not None]
+        for p in (got, one):
+            assert (p[c]["rows"], p[c]["missing"]) == (6000, 6000 - len(values))
+            assert abs(p[c]["distinct_about"] - len(set(values))) <= sketches.DISTINCT_ERROR * len(set(values)) + 0.5
+            if k < 2:
+                for s in (25, 50, 75):
+                    assert abs(sum(v <= p[c][f"p{s}_about"] for v in values) / len(values) - s / 100) <= sketches.RANK_ERROR + 1 / len(values)
+            else:
+                assert p[c]["p50_about"] is None
+    top = [(x["value"], x["n"]) for x in sketches.top_values(halves).where("column = 't'").orderBy("rank").collect()]
+    counts = {v: sum(x[2] == v for x in rows) for v in {x[2] for x in rows}}
+    assert top == sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    assert sketches.profile(sketches.sketches(df.limit(0))).first()["distinct_about"] == 0
+
+
 def test_vector_blocks(spark, monkeypatch):
     r = np.random.default_rng(5)
     rows = [(f"k{k:03}", [float(x) for x in r.integers(-3, 4, 3)]) for k in range(200)] + [("none", None), ("nan", [1.0, math.nan, 0.0]), ("hole", [1.0, None, 0.0]), ("short", [1.0]), ("zero", [0.0] * 3)]
