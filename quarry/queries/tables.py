@@ -217,10 +217,10 @@ def json_export(spark, sf):
     return rows.select("doc_id", E.json_rows(rows, ["doc_id", "lang", "toxic"]).alias("json"))
 
 
-@query("""select count(*) as rows, 4 as columns, sha256('doc_id:bigint|lang:string|source:string|n_chars:bigint') as layout,
-  cast(sum(cast('0x' || substr(md5(concat_ws(chr(31), 'v' || doc_id, 'v' || lang, 'v' || source, 'v' || n_chars)), 1, 12) as bigint)) as varchar) as content from documents""")
+@query("""select count(*) as rows, 5 as columns, sha256('doc_id:bigint|text:string|lang:string|source:string|n_chars:bigint') as layout,
+  cast(sum(cast('0x' || substr(md5(concat_ws(chr(31), 'v' || doc_id, coalesce('v' || text, 'n'), 'v' || lang, 'v' || source, 'v' || n_chars)), 1, 12) as bigint)) as varchar) as content from documents""")
 def fingerprint(spark, sf):
-    return E.fingerprint(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"))
+    return E.fingerprint(table(spark, sf, "documents"))
 
 
 # Retrieval.
