@@ -62,18 +62,23 @@ def word_bytes(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words, remembered up to a bound in bytes."""
 
-    def __init__(self, most: int = 400_000):
+    #: What an entry takes beside its word: the objects' heads, the number and the place in the table.
+    ENTRY = 180
+
+    def __init__(self, most_bytes: int = 24 << 20):
         import xxhash
 
-        self.most, self.hash = most, xxhash.xxh3_64_intdigest
+        self.most, self.held, self.hash = most_bytes, 0, xxhash.xxh3_64_intdigest
 
     def __missing__(self, word: bytes) -> int:
         value = self.hash(word)
-        if len(self) >= self.most:
-            self.clear()
         if len(word) <= 64:
+            self.held += self.ENTRY + len(word)
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
             self[word] = value
         return value
 
@@ -119,7 +124,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 BITMAP_BITS = 22
 
 
-def _flagged(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+def flagged(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     """With ``_maybe``: whether the key may be among ``wanted``'s single column, by a bitmap of fixed size over hashed keys."""
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
     word = lambda c: F.shiftright(place(c), 6).cast("int")
@@ -133,7 +138,7 @@ def _flagged(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
 def narrowed(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     """Rows of ``df`` whose id may be among ``wanted``'s single column, so that the rows that a join would drop are mostly
     not shuffled. Some others pass; an exact join follows."""
-    return _flagged(df, F.col(id_col), wanted).where("_maybe").drop("_maybe")
+    return flagged(df, F.col(id_col), wanted).where("_maybe").drop("_maybe")
 
 
 def as_one(df: DataFrame) -> Column:
@@ -148,6 +153,6 @@ def as_given(held: DataFrame, like: DataFrame) -> DataFrame:
 
 def without(df: DataFrame, key: Column, unwanted: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key isn't among ``unwanted``'s single column. Only rows that may be are shuffled to be joined exactly."""
-    rows = _flagged(df.select(as_one(df), key.alias("key")), F.col("key"), unwanted)
+    rows = flagged(df.select(as_one(df), key.alias("key")), F.col("key"), unwanted)
     tried = rows.where("_maybe").join(unwanted.toDF("key").distinct(), "key", "left_anti").select("row")
     return as_given(rows.where("not _maybe").select("row").unionByName(tried), df)

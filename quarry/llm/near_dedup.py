@@ -21,7 +21,7 @@ refused by it or by the count of equal registers. Both fall quickly above the th
 
 Null or empty texts and those of white space have the empty set and link with nothing. Rows that share an id, repeated
 or with different texts, are one document that links by any of its texts; each gets a row. Rows without an id link
-with nothing, have no component and are kept. Other columns aren't read.
+with nothing, have no component and are kept. Other columns aren't read; where whole rows are returned, they are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, checkpointed, id_and_text, map_blocks, mix, narrowed, shingle_hashes, without, word_bytes
+from quarry.llm.common import WordHashes, as_given, as_one, checkpointed, id_and_text, map_blocks, mix, narrowed, shingle_hashes, without, word_bytes
+from quarry.plans.spec import quoted
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -44,8 +45,10 @@ BASE, SHIFT = 1.001, 8000
 SLACK = 0.15
 #: Rounds of new hubs, hubs whose sets a task holds, and members that meet one copy of them.
 HUB_ROUNDS, HELD, MEMBERS = 1, 512, 2000
-#: Classes whose registers, 256 bytes each, a task holds.
-HELD_REGISTERS = 16_384
+#: Classes whose registers, 256 bytes each, a task holds, members that meet them together, pairs that are looked at together, and pairs that are listed together.
+HELD_REGISTERS, MEET, PAIRS, MOST_FOUND = 16_384, 512, 65_536, 1_000_000
+#: Nodes that a task holds while it replaces links by stars.
+MOST_NODES = 200_000
 
 
 def _points(h: np.ndarray, limit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +167,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
 def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The links (u, v) across components among classes that share a bucket. The classes outside their bucket's main component
     are dealt into blocks; the registers of every class of a bucket go to the (large) blocks that have one of its bucket, and
-    meet all they hold. So rows grow with classes times blocks; no pairs are listed, and only texts that may have a link move."""
+    meet those that they share a bucket with there. So rows grow with classes times blocks, and only texts that may have a link move."""
     rows = _labelled(mixed, labels)
     main = rows.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main")
     rows = checkpointed(rows.join(main, "bucket"))
@@ -177,35 +180,80 @@ def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     copies = members.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
     members = members.join(copies, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "rep", "label")
     held = held.join(copies, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), "rep", "label")
-    met = members.unionByName(held).join(classes.select("rep", "bands"), "rep").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
-    least, out = _least_equal(percent), pa.schema([("block", pa.int32()), ("id", pa.int64()), ("hubs", pa.list_(pa.int64()))])
+    met = members.unionByName(held).join(classes.select("rep", "n", "bands"), "rep").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
+    out = pa.schema([("block", pa.int32()), ("id", pa.int64()), ("hubs", pa.list_(pa.int64()))])
+
+    def listed(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        """(member, hub) as rows: each member with its hubs of a text block, and each hub by itself."""
+        got = [{"block": v % text_blocks, "id": v, "hubs": None} for v in {v for _, v in pairs}]
+        of: dict[tuple[int, int], list[int]] = {}
+        for u, v in pairs:
+            of.setdefault((v % text_blocks, u), []).append(v)
+        return pa.RecordBatch.from_pylist(got + [{"block": k, "id": u, "hubs": hubs} for (k, u), hubs in of.items()], out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, about, packed, used = None, [], None, set()
-        names = marks = None
+        at, parts, held = None, [], None
         for batch in batches:
-            got = []
-            for block, salt, member, key, label, bands in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "member", "rep", "label", "bands")), strict=True):
+            names = [np.asarray(batch.column(c)) for c in ("block", "salt", "member", "rep", "label", "n")]
+            bands = np.asarray(batch.column("bands").flatten()).reshape(-1, BANDS)
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in names[:3]], axis=0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                block, salt, member = (c[low] for c in names[:3])
+                some = [c[low:high] for c in (*names[3:], bands)]
                 if at != (block, salt):
-                    got += [{"block": k % text_blocks, "id": k, "hubs": None} for k in used]
-                    at, about, packed, used = (block, salt), [], None, set()
-                own = np.array(bands, np.int64).view(np.uint16)
+                    at, parts, held = (block, salt), [], None
                 if not member:
-                    about.append((key, label, own))
+                    parts.append(some)
                     continue
-                if packed is None:
-                    packed, names, marks = np.array([b for *_, b in about]), np.array([k for k, *_ in about]), np.array([x for _, x, _ in about])
-                hubs = names[((packed == own).sum(1) >= least) & (marks != label)]
-                if len(hubs):
-                    used.update(listed := np.unique(hubs).tolist())
-                    for of in {k % text_blocks for k in listed}:
-                        got.append({"block": of, "id": key, "hubs": [k for k in listed if k % text_blocks == of]})
-            yield pa.RecordBatch.from_pylist(got, out)
-        yield pa.RecordBatch.from_pylist([{"block": k % text_blocks, "id": k, "hubs": None} for k in used], out)
+                if held is None:
+                    held = Held(*(np.concatenate(x) for x in zip(*parts, strict=True)), percent=percent)
+                for k in range(0, high - low, MEET):
+                    found: list[tuple[int, int]] = []  # a member's hubs of all bands go in one row
+                    for more in held.meet(*(c[k : k + MEET] for c in some)):
+                        found += more
+                        if len(found) > MOST_FOUND:
+                            yield listed(found)
+                            found = []
+                    if found:
+                        yield listed(found)
 
     return _meet(met.mapInArrow(run, "block int, id long, hubs array<long>"), docs, percent, id_col, text_col)
 
 
+class Held:
+    """Classes of a block, found by their bands: only those that share a bucket with a member are looked at."""
+
+    def __init__(self, reps: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bands: np.ndarray, percent: int):
+        self.reps, self.labels, self.sizes, self.bands = reps, labels, sizes, bands
+        self.percent, self.least = percent, _least_equal(percent)
+        self.order = np.argsort(bands, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(bands, self.order, axis=0)
+
+    def meet(self, reps: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bands: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+        """(member, held) pairs of different components that share a bucket and whose sizes and registers allow a link, each in the first band that they share."""
+        for band in range(BANDS):
+            low, high = (np.searchsorted(self.sorted[:, band], bands[:, band], side) for side in ("left", "right"))
+            ends = np.cumsum(high - low)
+            for first in range(0, int(ends[-1]), PAIRS):
+                pair = np.arange(first, min(first + PAIRS, int(ends[-1])))
+                member = np.searchsorted(ends, pair, "right")
+                held = self.order[low[member] + pair - (ends[member] - (high - low)[member]), band]
+                mine, theirs = sizes[member], self.sizes[held]
+                other = (labels[member] != self.labels[held]) & (100 * np.minimum(mine, theirs) >= self.percent * np.maximum(mine, theirs))
+                member, held = member[other], held[other]
+                if band:
+                    new = ~(bands[member, :band] == self.bands[held, :band]).any(1)
+                    member, held = member[new], held[new]
+                if not len(member):
+                    continue
+                mine, theirs = bands[member].view(np.uint16), self.bands[held].view(np.uint16)
+                near = (mine == theirs).sum(1) >= self.least
+                if near.any():
+                    yield list(zip(reps[member[near]].tolist(), self.reps[held[near]].tolist(), strict=True))
+
+
 def _meet(members: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The links (u, v) between members (block, id, hubs) and their hubs, which have rows without hubs. A task holds the sets of a block's hubs, some hundred, past
     which the texts of its members stream; where many members meet one block, its hubs are repeated."""
@@ -234,25 +282,60 @@ def _meet(members: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
                         sets.setdefault(key, []).append(own)
                 yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in got], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
-    return met.mapInArrow(run, "u long, v long").distinct()
+    return checkpointed(met.mapInArrow(run, "u long, v long"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Fewer edges (u, v) that join the same nodes: each task replaces what it has read by stars around the least nodes, some hundred thousand nodes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            path = []
+            while (up := parent.setdefault(x, x)) != x:
+                path.append(x)
+                x = up
+            for y in path:
+                parent[y] = x
+            return x
+
+        def star() -> pa.RecordBatch:
+            found = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > MOST_NODES:
+                yield star()
+        yield star()
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to its label, and no label has one itself."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.lit(0).alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"), F.lit(1).alias("label")))
+    nodes = ends.groupBy("node").agg(F.min("to").alias("a"), F.max("to").alias("b"), F.max("label").alias("label"))
+    return nodes.agg(F.bool_and(F.col("a").isNull() | ((F.col("a") == F.col("b")) & (F.col("label") == 0))).alias("all")).first()["all"] is not False
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): every node of the edges (u, v) with the least node that it reaches, by alternating large and small stars."""
     # Nodes that are their own label come back as those of the edges.
-    edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    edges = checkpointed(stars(edges))
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
+        edges = checkpointed(stars(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")))
+    edges = edges.distinct()
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
 
@@ -309,7 +392,7 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         if not more:
             break
     labels, _ = _joined(labels, confirm_rest(mixed, labels, involved, docs, percent, id_col, text_col))
-    labels, _ = _joined(labels, _of_one_id(whole, classes, id_col))
+    labels, _ = _joined(labels, checkpointed(_of_one_id(whole, classes, id_col)))
 
     named = _labelled(classes.select("h1", "h2", "rep"), labels).select("h1", "h2", "label")
     rows = table.select(id_col, "n", "h1", "h2").join(named, ["h1", "h2"], "left")
@@ -343,30 +426,28 @@ def _equal_registers(x: Column, y: Column) -> Column:
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """The labels after further links between classes, and whether there were any."""
-    merged = checkpointed(links)
-    if merged.isEmpty():
+    """The labels after further links between classes (written rows), and whether there were any."""
+    if links.isEmpty():
         return labels, False
-    return components(labels.toDF("u", "v").unionByName(merged)), True
+    return components(labels.toDF("u", "v").unionByName(links)), True
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates, with all their columns: the row with the least id of each component stays.
     Rows that share an id are one if their texts are equal; each other one is judged by its own text."""
-    key = F.col(id_col).cast("long")
-    ids = docs.select(key.alias("_near_id")).where("_near_id is not null")
-    repeated = checkpointed(ids.groupBy("_near_id").count().where("count > 1").select("_near_id"))
+    held = docs.select(as_one(docs), quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
+    ids = held.select("id").where("id is not null")
+    repeated = checkpointed(ids.groupBy("id").count().where("count > 1").select("id"))
     if repeated.isEmpty():
-        gone = checkpointed(near_groups(docs, percent, id_col, text_col)).where(f"{id_col} is not null and not kept").select(id_col)
-        return without(docs, key, gone)
+        gone = checkpointed(near_groups(held, percent, "id", "text").where("id is not null and not kept").select("id"))
+        return as_given(without(held.select("row", "id"), F.col("id"), gone), docs)
     # Each text of a repeated id gets a number of its own, above all ids.
-    above = F.lit(ids.agg(F.max("_near_id")).first()[0] + 1)
-    named = docs.withColumn("_near_id", key)
-    again = named.join(repeated, "_near_id", "left_semi").withColumn("_near_digest", F.md5(F.col(text_col).cast("string"))).dropDuplicates(["_near_id", "_near_digest"]).drop("_near_digest")
-    again = checkpointed(again.withColumn("_near_row", above + F.monotonically_increasing_id()))
-    rows = without(named, F.col("_near_id"), repeated).withColumn("_near_row", F.col("_near_id")).unionByName(again)
-    groups = checkpointed(near_groups(rows, percent, "_near_row", text_col)).where("_near_row is not null").join(again.select("_near_row", "_near_id"), "_near_row", "left")
-    groups = groups.select("component_id", F.struct(F.coalesce("_near_id", "_near_row").alias("id"), "_near_row").alias("own"))
+    above = F.lit(ids.agg(F.max("id")).first()[0] + 1)
+    again = held.join(repeated, "id", "left_semi").withColumn("digest", F.md5("text")).dropDuplicates(["id", "digest"]).drop("digest")
+    again = checkpointed(again.withColumn("number", above + F.monotonically_increasing_id()))
+    rows = without(held, F.col("id"), repeated).withColumn("number", F.col("id")).unionByName(again)
+    groups = checkpointed(near_groups(rows, percent, "number", "text")).where("number is not null").join(again.select("number", "id"), "number", "left")
+    groups = groups.select("component_id", F.struct(F.coalesce("id", "number").alias("id"), "number").alias("own"))
     first = groups.groupBy("component_id").agg(F.min("own").alias("first"))
-    gone = checkpointed(groups.join(first, "component_id").where("own <> first").select("own._near_row"))
-    return without(rows, F.col("_near_row"), gone).select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = checkpointed(groups.join(first, "component_id").where("own <> first").select("own.number"))
+    return as_given(without(rows.select("row", "number"), F.col("number"), gone), docs)
