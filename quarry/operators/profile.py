@@ -51,8 +51,13 @@ def value_counts_long(df: DataFrame) -> DataFrame:
     return _long(df).groupBy("position", "column", "value").agg(F.count("*").alias("n"))
 
 
-def counts(df: DataFrame) -> DataFrame:
-    """(position, column, rows, missing, missing_pct, unique)."""
+def counts(df: DataFrame, approx: bool = False) -> DataFrame:
+    """(position, column, rows, missing, unique, missing_pct). ``approx`` takes the distinct values from sketches: one aggregate, where
+    the exact way shuffles every distinct value of every column; all else is exact either way."""
+    if approx:
+        from quarry.operators import sketches
+
+        return sketches.profile(sketches.sketches(df), ()).select("position", "column", "rows", "missing", F.col("distinct_about").alias("unique"), "missing_pct")
     out = value_counts_long(df).groupBy("position", "column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0).cast("long")).alias("missing"), F.count("value").alias("unique"))
     return out.withColumn("missing_pct", F.round(F.col("missing") / F.greatest(F.col("rows"), F.lit(1)) * 100, 2))
 
@@ -114,8 +119,8 @@ def _hinted(hints: tuple[str, ...]) -> Column:
     return reduce(Column.__or__, (F.contains(F.lower("column"), F.lit(h)) for h in hints))
 
 
-def roles(df: DataFrame) -> DataFrame:
-    """(position, column, kind, unique, missing_pct, role, default_aggregation) by name, type and values."""
+def roles(df: DataFrame, approx: bool = False) -> DataFrame:
+    """(position, column, kind, unique, missing_pct, role, default_aggregation) by name, type and values; ``approx`` as in ``counts``."""
     about = [F.struct(F.lit(f.name).alias("column"), F.lit(_kind(f.dataType)).alias("kind")) for f in df.schema if _atomic(f.dataType)]
     kinds = df.sparkSession.range(1).select(F.explode(F.array(*about)).alias("c")).select("c.*")
     facts = []
@@ -125,7 +130,7 @@ def roles(df: DataFrame) -> DataFrame:
             v = c.cast("double") if number else F.lit(None).cast("double")
             facts += [F.struct(F.lit(f.name).alias("column"), F.coalesce(F.bool_and(v % 1 == 0), F.lit(True)).alias("whole"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(F.length(c.cast("string"))).alias("mean_length"))]
     more = df.agg(F.array(*facts).alias("all")).select(F.explode("all").alias("c")).select("c.*")
-    known = counts(df).join(F.broadcast(kinds), "column").join(F.broadcast(more), "column")
+    known = counts(df, approx).join(F.broadcast(kinds), "column").join(F.broadcast(more), "column")
     is_id, is_metric = _hinted(ID_HINTS), _hinted(METRIC_HINTS)
     share = F.col("unique") / F.greatest(F.col("rows") - F.col("missing"), F.lit(1))
     number = F.when(is_id & ~is_metric, "identifier").when((F.col("unique") <= 12) & F.col("whole") & ~is_metric, "dimension").otherwise("metric")

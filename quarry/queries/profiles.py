@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import format_number
@@ -311,3 +314,19 @@ register(
     "sketch_top_values", " union all ".join(TOP_SQL.format(c=c, t="lineitem") for c in ("l_returnflag", "l_linestatus", "l_linenumber")),
     lambda spark, sf: K.top_values(halves(spark, sf).where("column in ('l_returnflag', 'l_linestatus', 'l_linenumber')")),
 )
+
+
+register(
+    "profile_roles_from_sketches", " union all ".join(f"select '{t}' as dataset, {k} as position, '{c}' as column, '{kind}' as kind, '{role}' as role, {_quote(how)} as default_aggregation, round((count(*) - count({c})) / greatest(count(*), 1) * 100, 2) as missing_pct, true as unique_within from {t}" for t, rows in ROLES.items() for k, (c, kind, role, how) in enumerate(rows)),
+    lambda spark, sf: _roles_from_sketches(spark, sf),
+)
+
+
+def _roles_from_sketches(spark, sf):
+    parts = []
+    for t in ROLES:
+        rows = table(spark, sf, t)
+        exact = P.counts(rows).select("column", F.col("unique").alias("exact"))
+        near = (F.abs(F.col("unique") - F.col("exact")) <= K.DISTINCT_ERROR * F.col("exact") + 0.5).alias("unique_within")
+        parts.append(P.roles(rows, approx=True).join(exact, "column").select(F.lit(t).alias("dataset"), "position", "column", "kind", "role", "default_aggregation", "missing_pct", near))
+    return reduce(DataFrame.unionByName, parts)
