@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,37 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(quoted(id_col).cast("long").alias(id_col), quoted(text_col).cast("string").alias(text_col))
 
 
+#: Bytes of an Arrow batch, unless the session sets them: texts are long, and each task holds some batches on both sides.
+BATCH_BYTES = "8m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches are bounded in bytes from now on, if it hasn't bounded them itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+    return df
+
+
+def give_back() -> None:
+    """Free memory goes back to the machine. Workers outlive their tasks, and what they keep is taken from an executor's other work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_parts(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs whose sizes sum to ``most`` at most, or of one each that is larger."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def map_blocks(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str, block: int = BLOCK) -> DataFrame:
     """Run ``make()(columns)`` over blocks of rows; columns come and go as Python lists or arrays.
 
@@ -47,8 +80,12 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable[[list[list]], list[lis
                 part = batch.slice(at, block)
                 got = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(got, kinds, strict=True)], schema=kinds)
+            got = part = None
+            give_back()
+        work = None  # with all that it remembers
+        give_back()
 
-    return df.mapInArrow(run, out)
+    return small_batches(df).mapInArrow(run, out)
 
 
 def fold_of(id_col: str, folds: int) -> Column:

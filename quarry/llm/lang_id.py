@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_blocks
+from quarry.llm.common import map_blocks, small_batches
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -83,7 +83,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = small_batches(rows).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # One row a language, each of a fixed length: all that the driver sees.
     found = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).collect()
     if len(found) > MOST_LANGUAGES:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, as_given, as_one, checkpointed, id_and_text, map_blocks, mix, narrowed, shingle_hashes, without, word_bytes
+from quarry.llm.common import WordHashes, as_given, as_one, checkpointed, give_back, id_and_text, in_parts, map_blocks, mix, narrowed, shingle_hashes, small_batches, without, word_bytes
 from quarry.plans.spec import quoted
 
 BANDS, ROWS = 32, 4
@@ -47,6 +47,8 @@ SLACK = 0.15
 HUB_ROUNDS, HELD, MEMBERS = 1, 512, 2000
 #: Classes whose registers, 256 bytes each, a task holds, members that meet them together, pairs that are looked at together, and pairs that are listed together.
 HELD_REGISTERS, MEET, PAIRS, MOST_FOUND = 16_384, 512, 65_536, 1_000_000
+#: Shingles that are sketched together.
+TOGETHER = 100_000
 #: Nodes that a task holds while it replaces links by stars.
 MOST_NODES = 200_000
 
@@ -113,9 +115,9 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = [shingle_hashes(word_bytes(t), hashes) for t in texts]
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
-            if full:
-                packed = sketches([sets[k] for k in full]).view(np.int64)
-                for k, row in zip(full, packed, strict=True):
+            for low, high in in_parts([len(sets[k]) for k in full], TOGETHER):
+                packed = sketches([sets[k] for k in full[low:high]]).view(np.int64)
+                for k, row in zip(full[low:high], packed, strict=True):
                     bands[k] = row
             names = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             half = lambda x: x - (1 << 64) if x >> 63 else x
@@ -281,8 +283,11 @@ def _meet(members: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
                     else:
                         sets.setdefault(key, []).append(own)
                 yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in got], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            give_back()
+        hashes, sets = None, {}
+        give_back()
 
-    return checkpointed(met.mapInArrow(run, "u long, v long"))
+    return checkpointed(small_batches(met).mapInArrow(run, "u long, v long"))
 
 
 def stars(edges: DataFrame) -> DataFrame:

@@ -12,22 +12,24 @@ least hashes of their ids, equal rows once, and of these the whole texts that fi
 from the texts of other folds, as it will for new texts. Only the weights (about 4 MB) go to the executors; every window
 of every text is scored there.
 
-A null or empty text, or one without a word, has the score of an empty window. Rows without a label, text or id teach
-nothing. If either label has no rows, all scores are 0. Repeated rows and null ids pass; other columns aren't read.
+A null or empty text, or one without a word, has the score of an empty window; equal texts have equal scores. Rows without a label, text or id teach
+nothing; an id with several rows of labels is toxic if one says so. If either label has no rows, all scores are 0. Repeated rows and null ids pass; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_blocks
+from quarry.llm.common import BLOCK, give_back, in_parts, map_blocks, small_batches
 
 #: Labelled rows that are learned from at most, for each label, and characters of their texts.
 MOST_TRAINING, MOST_CHARACTERS = 2000, 8_000_000
@@ -44,6 +46,8 @@ EPOCHS, BATCH, RATE, FOLDS, SEED = 6, 32, 0.01, 5, 11
 #: Share of the rate by which word and n-gram vectors move; they are many, and few texts would be learned by heart.
 TABLE_RATE = 0.02
 GRAMS = (3, 4, 5, 6)
+#: Characters of the texts that are scored together.
+TOGETHER = 500_000
 THRESHOLD = 0.7
 
 words_of = re.compile(r"\w+").findall
@@ -243,11 +247,12 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
 
 def score_texts(network: Network, texts: list[str | None], evidence: list[np.ndarray] | None = None) -> np.ndarray:
     """The greatest logit of each text's windows."""
-    if not texts:
-        return np.empty(0)
-    names, index, owner = prepare(texts)
-    got = network.logits(network.vectors(names, evidence), index)
-    return np.maximum.reduceat(got, np.flatnonzero(np.diff(owner, prepend=-1)))
+    out = [np.empty(0)]
+    for low, high in in_parts([len(t or "") for t in texts], TOGETHER):
+        names, index, owner = prepare(texts[low:high])
+        got = network.logits(network.vectors(names, evidence), index)
+        out.append(np.maximum.reduceat(got, np.flatnonzero(np.diff(owner, prepend=-1))))
+    return np.concatenate(out)
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
@@ -351,8 +356,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, id_col:
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, most_characters: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
     """The sorted (text, label) that are learned from. Of each label's rows, in the order of their ids' hashes, whole texts are taken
-    while they fit; the shortest one is if none fits."""
-    marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("label")).where(f"label in (0, 1) and {id_col} is not null").dropDuplicates([id_col])
+    up to the first that doesn't fit; the shortest one is if that is the first of all."""
+    marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("label")).where(f"label in (0, 1) and {id_col} is not null").groupBy(id_col).agg(F.max("label").alias("label"))
     chosen = reduce(DataFrame.unionByName, (marked.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y in (0, 1)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     named = rows.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").withColumn("digest", F.md5("text"))
@@ -362,9 +367,10 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, most_characters: int,
         listed = sizes.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id", "digest").limit(most).collect()
         room, fit = most_characters, []
         for x in listed:
-            if x["n"] <= room:
-                room -= x["n"]
-                fit.append(x)
+            room -= x["n"]
+            if room < 0:  # the first that doesn't fit ends it: no choice by length
+                break
+            fit.append(x)
         picked += [(x["id"], x["digest"]) for x in fit or sorted(listed, key=lambda x: x["n"])[:1]]
     if not picked:
         return []
@@ -393,3 +399,26 @@ def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD
         return work
 
     return map_blocks(rows, make, f"{kinds}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows that aren't predicted to be toxic, with all their columns, whatever their names. Each text goes to a worker once, as part of its row."""
+    model = docs.sparkSession.sparkContext.broadcast(network)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(k, BLOCK)
+                if own is None:
+                    yield part
+                    continue
+                slope, offset = own.line
+                score = _sigmoid(slope * score_texts(own, part.column(at).cast(pa.string()).to_pylist()).astype(float) + offset)
+                yield part.filter(pa.array(score < threshold))
+            part = None
+            give_back()
+
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots aren't taken as they are
+    return small_batches(plain).mapInArrow(run, plain.schema).toDF(*docs.columns)
