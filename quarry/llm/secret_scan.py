@@ -19,6 +19,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import as_one, checkpointed, flagged
+from quarry.plans.spec import quoted
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -204,11 +207,17 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     grams = sorted({g for q in indexed.values() for clause in q for g in clause})
     if max(len(rules), len(grams)) > 62:
         raise ValueError("too many rules or trigrams for one mask; split the rules")
-    id_, text = F.col(id_col), F.col(text_col).cast("string")
+    id_, text = quoted(id_col), quoted(text_col).cast("string")
     key = F.xxhash64(id_, text)  # rows that happen to share a key only share candidates, which are verified
-    found = candidates(trigram_index(docs, key, text, grams), indexed, grams) if indexed else None
-    rows = docs.select(F.struct("*").alias("row"), text.alias("text"), key.alias("key"))
-    rows = rows.join(found.hint("shuffle_hash"), "key", "left") if found is not None else rows.withColumn("rules", F.lit(0).cast("long"))
+    rows = docs.select(as_one(docs), text.alias("text"), key.alias("key"))
+    if indexed:
+        found = checkpointed(candidates(trigram_index(docs, key, text, grams), indexed, grams))
+        # A bitmap of the candidates' keys leaves all other texts where they are.
+        rows = flagged(rows, F.col("key"), found.select("key"))
+        tried = rows.where("_maybe").join(found, "key", "left").select("row", "text", F.coalesce("rules", F.lit(0).cast("long")).alias("rules"))
+        rows = rows.where("not _maybe").select("row", "text", F.lit(0).cast("long").alias("rules")).unionByName(tried)
+    else:
+        rows = rows.withColumn("rules", F.lit(0).cast("long"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,part:int>>")
     parts = []
     for i, rule in enumerate(rules):
@@ -232,12 +241,12 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: id, counts of the base kinds, digest of the base spans, and all spans."""
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     counts = [_count_of(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
-    return find_secrets(docs, RULES, id_col, text_col).select(F.col(f"row.{id_col}").alias(id_col), *counts, F.sha2(joined(base, RULES), 256).alias("base_sha256"), joined(F.col("spans"), RULES).alias("spans"))
+    return find_secrets(docs, RULES, id_col, text_col).select(F.col("row").getField(id_col).alias(id_col), *counts, F.sha2(joined(base, RULES), 256).alias("base_sha256"), joined(F.col("spans"), RULES).alias("spans"))
 
 
 def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``find_secrets`` with each run of touching or overlapping spans replaced by ``mark``."""
-    text = F.col(f"row.{text_col}")
+    text = F.col("row").getField(text_col)
     out = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("got")),
