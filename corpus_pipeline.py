@@ -7,9 +7,6 @@ benchmark item go, secrets are masked in the texts that hold them, and what is l
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +17,12 @@ from quarry.llm.decontaminate import without_leaks
 from quarry.llm.near_dedup import one_of_each
 from quarry.llm.packing import pack_documents
 from quarry.llm.queries import toxicity_model
+from quarry.sources.shared import new_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be toxic go. The network learns from labelled documents outside the held-out third."""
-    kept = {f"c{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}
-    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), more=kept)
-    return scored.where("predicted = 0").select(*(F.col(k).alias(c) for k, c in zip(kept, docs.columns, strict=True)))
+    return toxicity.without_toxic(docs, toxicity_model(spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +37,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark; ``n_chars``, where there is one, follows the text."""
-    found = secret_scan.redact(secret_scan.find_secrets(docs))
-    row = found.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), (F.size("spans") > 0).alias("_masked"))
-    if "n_chars" in docs.columns:
-        row = row.withColumn("n_chars", F.when(F.col("_masked"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return row.drop("_masked")
+    found = secret_scan.redact(secret_scan.find_secrets(docs)).select("row", (F.size("spans") > 0).alias("masked"))
+    of = lambda c: F.col("row").getField(c)
+    length = F.when(F.col("masked"), F.length(of("text")).cast("long")).otherwise(of("n_chars")) if "n_chars" in docs.columns else None
+    return found.select(*((length if c == "n_chars" else of(c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between two is kept in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")  # unset only in tests
-    folder = f"{shared}/corpus-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what lies between two is kept in the shared folder until the session ends."""
+    folder = new_folder(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
