@@ -120,10 +120,25 @@ def test_toxicity_sample_is_bounded(spark):
     whole = toxicity.sample(docs, labels, 2000, 10**6)
     assert whole == sorted([("same", 1), *[(f"own {k}", 1) for k in range(50)], (long, 0), ("short", 0), ("clean", 0)])  # equal rows once
     assert sum(y for _, y in toxicity.sample(docs, labels, 20, 10**6)) == 20
-    assert [t for t, y in toxicity.sample(docs, labels, 2000, 100) if not y] == ["clean", "short"]  # whole texts alone
+    assert [t for t, y in toxicity.sample(docs, labels, 2000, 100) if not y] == ["clean"]  # whole texts, up to the first that doesn't fit, so that short ones aren't preferred
     assert [t for t, y in toxicity.sample(docs, labels.where("doc_id in (1, 2)"), 2000, 100) if not y] == [long]
 
 
+def test_toxicity_of_repeated_labels_and_texts(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (0, 1), (0, 1), (1, 0), (1, 0), (2, None), (3, 2), (None, 1), (9, 1)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, labels, 100, 10**6) == [("text 0", 1), ("text 1", 0)]
+    rows = toxic_rows(90)
+    network = toxicity.train([t for _, t, _ in rows], np.array([y for *_, y in rows]), epochs=1)
+    again = spark.createDataFrame([(k, t) for k in range(3) for _, t, _ in rows[:20]] + [(5, None), (6, "")], "doc_id long, text string")
+    scores = {}
+    for r in toxicity.score(again, network, more={"t": F.coalesce("text", F.lit(""))}).collect():
+        scores.setdefault(r["t"], set()).add(round(r["score"], 6))
+    assert all(len(s) == 1 for s in scores.values())
+    left = toxicity.without_toxic(again, network, threshold=2.0).collect()
+    assert len(left) == again.count() and toxicity.without_toxic(again, None).count() == again.count() and toxicity.without_toxic(again.limit(0), network).count() == 0
+
+
 def test_toxicity_gradients_are_right():
     network, r = toxicity.Network(3), np.random.default_rng(0)
     network.w = {k: x.astype(np.float64) for k, x in network.w.items()}
@@ -266,6 +281,39 @@ def test_links_and_short_items_of_an_article_stay():
         assert html_extract.main_text(page).split("\n\n") == [*[paragraph] * 5, *items, *[paragraph] * 5]
 
 
+def test_components_of_any_graph(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MOST_NODES", 30)
+    r = random.Random(3)
+    path = r.sample(range(1000, 3000), 150)
+    edges = list(zip(path, path[1:])) + [(5000, k) for k in range(5001, 5100)] + [(r.randrange(900), r.randrange(900)) for _ in range(300)] + [(7, 7)]
+    own = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(own[a], own[b])
+            changed = changed or (own[a], own[b]) != (low, low)
+            own[a] = own[b] = low
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    got = {(x["node"], x["label"]) for x in near_dedup.components(frame).collect()}
+    assert got == {(x, y) for x, y in own.items() if list(own.values()).count(y) > 1}
+    assert near_dedup.components(frame.limit(0)).count() == 0
+
+
+def test_members_meet_what_shares_a_bucket():
+    r = np.random.default_rng(6)
+    registers = r.integers(0, 4, (60, near_dedup.REGISTERS)).astype(np.uint16)
+    registers[20:40] = registers[:20]
+    registers[20:40, ::9] = 9
+    bands = np.ascontiguousarray(registers).view(np.int64)
+    names, labels, sizes = np.arange(60) + 100, np.arange(60) % 7, r.integers(60, 100, 60)
+    held = near_dedup.Held(names[:35], labels[:35], sizes[:35], bands[:35], percent=55)
+    got = [p for some in held.meet(names, labels, sizes, bands) for p in some]
+    least = near_dedup._least_equal(55)
+    want = {(int(names[i]), int(names[j])) for i in range(60) for j in range(35) if labels[i] != labels[j] and (bands[i] == bands[j]).any() and (registers[i] == registers[j]).sum() >= least and min(sizes[i], sizes[j]) * 100 >= 55 * max(sizes[i], sizes[j])}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+
+
 TEXT = "Some words of the text, and more of them, as they come. "
 
 
@@ -439,5 +487,154 @@ def test_fingerprints_follow_descending_ids(spark, odd, empty, monkeypatch):
     assert lone["near_next"] == 1.0
 
 
+def plain_digest(text):
+    """The digest with plain integers: one window after the other."""
+    data = text.encode()
+    if not data:
+        return "00" * 67
+    padded = data + bytes(max(0, 4 - len(data)))
+    counts = [0] * 256
+    for k in range(len(padded) - 3):
+        a, b, c, d = padded[k : k + 4]
+        first, near, far, last = a * 0x9E3779B1, b * 0x85EBCA77, c * 0xC2B2AE3D, d * 0x27D4EB2F
+        for x in (first + near + far, (first + near + last) % 2**32 ^ 0x5BD1E995, (first + far + last) % 2**32 ^ 0x2545F491):
+            x %= 2**32
+            x ^= x >> 15
+            counts[x * 0x2C1B3C6D % 2**32 >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (63, 127, 191))
+    out = [min(255, 1 + round(12 * np.log(len(data)))), min(255, 255 * q1 // max(1, q3)), min(255, 255 * q2 // max(1, q3))]
+    for k in range(0, 256, 4):
+        out.append(sum(((n > q1) + (n > q2) + (n > q3)) << s for n, s in zip(counts[k : k + 4], (6, 4, 2, 0))))
+    return bytes(out).hex()
+
+
+def plain_likeness(one, other):
+    a, b = bytes.fromhex(one), bytes.fromhex(other)
+    if a == b:
+        return 1.0
+    if not a[0] or not b[0]:
+        return 0.0
+    steps = 0
+    for x, y in zip(a[3:], b[3:]):
+        for s in (0, 2, 4, 6):
+            n = abs((x >> s & 3) - (y >> s & 3))
+            steps += 6 if n == 3 else n
+    far = steps + abs(a[0] - b[0]) + (abs(a[1] - b[1]) + abs(a[2] - b[2])) // 16
+    return max(0.0, 1 - max(far, 1) / 420)
+
+
+def test_digests_are_those_of_plain_counts():
+    r = random.Random(9)
+    texts = ["", "a", "abc", "é日😀", "x" * 999, *(" ".join(prose(k, r.randrange(1, 400), 90)) for k in range(25))]
+    prints = [fingerprint.digest(t) for t in texts]
+    assert prints == [plain_digest(t) for t in texts]
+    for a, b in itertools.product(prints[:12], prints):
+        assert fingerprint.likeness(a, b) == pytest.approx(plain_likeness(a, b))
+
+
+def test_one_ids_rows_are_split_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RUN_ROWS", 5)
+    rows = [(7, f"text {k} of seven") for k in range(40)] + [(None, f"no id {k}") for k in range(30)] + [(k, f"own {k}") for k in range(20) if k != 7] + [(3, "same")] * 25
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    runs = fingerprint.in_runs(docs, "doc_id").where("not more").groupBy("run").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts")).collect()
+    assert max(r["texts"] for r in runs) <= 25 and sum(r["n"] for r in runs) == len(rows)
+    got = fingerprint.fingerprints(docs).collect()
+    assert len(got) == len(rows) and sorted(r["n_chars"] for r in got) == sorted(len(t) for _, t in rows)
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    want = {(i, hashlib.sha256(fingerprint.edited(t, u).encode()).hexdigest()) for i, t in rows for j, u in rows if j == i or (order.index((i, t)) <= order.index((j, u)))} | {(None, hashlib.sha256(fingerprint.edited(t, u).encode()).hexdigest()) for i, t in rows if i is None for _, u in rows}
+    assert {(r["doc_id"], r["edited_sha256"]) for r in got} <= want
+
+
+def test_equal_languages_go_by_the_alphabet(spark):
+    rows = [(k, "bada gado lima nura", lang) for k, lang in enumerate(["zz", "aa", "mm"] * 3)] + [(20, "strek prilt", "bb"), (20, "strek prilt", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, logs = lang_id.learn(docs)
+    got = {(r["doc_id"], r["lang_pred"]) for r in lang_id.predict(docs, names, logs).collect()}
+    assert names == ["aa", "bb", "mm", "zz"] and got == {(k, "aa") for k in range(9)} | {(20, "bb")}
+
+
+def plain_mixture(grams, logs):
+    """Proportions chosen for one document, trigram by trigram."""
+    n, languages = len(grams), logs.shape[1]
+    like = [[float(np.exp(logs[g, k] - logs[g].max())) for k in range(languages)] for g in grams.tolist()]
+
+    def fitted(allowed):
+        share = [1 / len(allowed) if k in allowed else 0.0 for k in range(languages)]
+        for _ in range(lang_id.ROUNDS):
+            new = [0.0] * languages
+            for row in like:
+                total = sum(s * x for s, x in zip(share, row))
+                for k in range(languages):
+                    new[k] += share[k] * row[k] / total / n
+            share = new
+        return share, sum(np.log(sum(s * x for s, x in zip(share, row))) for row in like)
+
+    share, _ = fitted(range(languages))
+    order = sorted(range(languages), key=lambda k: -share[k])
+    alone = [sum(np.log(row[k]) for row in like) for k in range(languages)]
+    best = max(range(languages), key=lambda k: alone[k])
+    chosen, value = [float(k == best) for k in range(languages)], alone[best]
+    for size in range(2, languages + 1):
+        allowed = set(order[:size]) | ({best} if size == 2 else set())
+        share, score = fitted(allowed)
+        score -= lang_id.PRICE * (size - 1) * np.log(n + 1)
+        if score <= value:
+            break
+        chosen, value = share, score
+    return chosen
+
+
+def test_mixtures_are_those_of_plain_em():
+    r = np.random.default_rng(2)
+    logs = np.log(r.dirichlet(np.full(50, 0.3), 4).T + 1e-4).astype(np.float32)
+    table = np.zeros((lang_id.BUCKETS, 4), np.float32)
+    table[:50] = logs
+    docs = [np.concatenate([r.choice(50, n, p=np.exp(logs[:, k]) / np.exp(logs[:, k]).sum()) for k, n in parts]).astype(np.uint32) for parts in ([(0, 200)], [(1, 150), (2, 90)], [(0, 120), (1, 120), (3, 120)], [(2, 5)], [(3, 1)])]
+    got, _ = lang_id.infer(docs, table)
+    for k, doc in enumerate(docs):
+        assert got[k] == pytest.approx(plain_mixture(doc, table), abs=1e-4)
+
+
+def test_contained_items_are_found_whatever_the_sizes(spark):
+    """Recall of the search against plain containment, for items of 1 to 500 shingles in documents that share from little to much with other items; at least 0.99."""
+    r = random.Random(12)
+    items = [(k, " ".join(prose(10_000 + k, r.choice((1, 3, 5, 8, 12, 20, 35, 60, 150, 504)), 10**6))) for k in range(120)]
+    docs, held = [], set()
+    for d in range(150):
+        words = prose(20_000 + d, r.choice((50, 400, 3000)), 10**6)
+        for k in r.sample(range(120), r.choice((0, 1, 1, 2, 10, 40))):
+            item = items[k][1].split()
+            if len(item) > 12 and r.random() < 0.5:  # five shingles go, of those that may
+                at = r.randrange(len(item))
+                item[at] = "edited"
+            words += item if r.random() < 0.7 else item[: len(item) * 6 // 10]
+            words += ["between"]
+        docs.append((d, " ".join(words)))
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    of_doc = {d: t.split() for d, t in docs}
+    for i, text in items:
+        asked = text.split()
+        n = min(5, len(asked))
+        own = grams(asked, n)
+        for d, words in of_doc.items():
+            if 100 * len(own & grams(words, n)) >= 75 * len(own):
+                held.add((d, i))
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= held and len(got) >= 0.99 * len(held) and len(held) > 300
+
+
+def test_sketches_are_least_hashes_of_equal_parts():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 3, 17, 64, 65, 1000):
+        own = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        e = decontaminate.partition(len(own))
+        assert (1 << e) >= len(own) > (1 << e) // 2
+        parts = {}
+        for h in own.tolist():
+            parts[h * 2 * (1 << e) >> 64] = min(h, parts.get(h * 2 * (1 << e) >> 64, h))
+        assert decontaminate.sketch(own, e).tolist() == sorted(parts.values())
+    assert decontaminate.sketch(np.empty(0, np.uint64), 0).tolist() == []
+
+
 def test_words_are_split_at_ascii_white_space():
     assert word_bytes("A\tb\x0bC\u00a0d É") == ["a".encode(), b"b", "c\u00a0d".encode(), "É".encode()] and word_bytes(None) == []
