@@ -6,7 +6,7 @@ digests differ by their buckets (a step of one or two counts so much, the whole
 lengths; the difference, bounded, gives a likeness from 0 to 1.
 
 A null text counts as empty; empty texts share one digest, and equal texts always have equal ones. Rows follow each
-other by descending id, null ids last, rows of one id by the hash of their texts; the last is followed by the first, a
+other by descending id, null ids last, rows of one id by the hash of their texts (equal rows stand together); the last is followed by the first, a
 lone row by itself. Repeated rows each get a row. Other columns aren't read.
 """
 
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text
+from quarry.llm.common import id_and_text, small_batches
 
 BUCKETS = 256
 #: A difference from this on is a likeness of 0: about that of digests drawn at random.
 FAR = 420
-#: Rows of one run of following documents, and runs at most.
+#: Rows of one run of following documents, and runs that the driver plans at most; beyond that runs are longer.
 RUN_ROWS, MOST_RUNS = 8192, 20_000
+#: Runs that one id's rows are numbered for at most.
+WITHIN = 1 << 20
 
 
 def _counts(data: np.ndarray) -> np.ndarray:
@@ -82,25 +84,39 @@ def edited(text: str, following: str) -> str:
 
 def in_runs(rows: DataFrame, id_col: str) -> DataFrame:
     """Rows with ``run``, ``last`` and ``more``: runs follow each other by descending id, and at the end of each run stands a copy
-    (``more``) of the row that follows its last row. Only ids and hashes decide; the driver sees run bounds alone."""
+    (``more``) of the row that follows its last row. An id with more rows than a run holds has runs of its own, by the hashes of its texts.
+    Only ids and hashes decide; the driver sees run bounds alone."""
     order = [F.col(id_col).desc_nulls_last(), F.col("mark")]
     rows = rows.withColumn("mark", F.xxhash64("text"))
     n = rows.count()
     runs = max(1, min(MOST_RUNS, -(-n // RUN_ROWS)))
+    size = -(-n // runs)
+    heavy = rows.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 2 * size).collect()  # fewer than runs
     cuts = []
     if runs > 1:
         found = rows.agg(F.percentile_approx(id_col, [k / runs for k in range(1, runs)], max(10_000, 20 * runs))).first()[0]
-        cuts = sorted(set(found or []))
+        alone = [c for r in heavy if r[id_col] is not None for c in (r[id_col] - 1, r[id_col])]
+        cuts = sorted({*(found or []), *alone})
     # Run 0 has the largest ids; rows without an id stand in the last run of all.
-    run = F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - _cuts_below(F.col(id_col), cuts))
-    rows = rows.withColumn("run", run)
+    run = F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - _cuts_below(F.col(id_col), cuts)).cast("long") * WITHIN
+    if heavy:
+        parts = rows.sparkSession.createDataFrame([(r[id_col], -(-r["n"] // size)) for r in heavy], "heavy long, parts long")
+        rows = rows.join(F.broadcast(parts), rows[id_col].eqNullSafe(parts["heavy"]), "left").drop("heavy")
+        place = F.floor((F.col("mark") / float(1 << 64) + 0.5) * F.least(F.col("parts"), F.lit(WITHIN)))
+        run = run + F.when(F.col("parts").isNull(), 0).otherwise(F.least(place, F.col("parts") - 1, F.lit(WITHIN - 1)))
+    rows = rows.withColumn("run", run).drop("parts")
     heads = rows.groupBy("run").agg(F.max_by(F.struct(id_col, "mark"), F.struct(F.col(id_col).isNotNull(), id_col, -F.col("mark").cast("decimal(20,0)"))).alias("head"))
     heads = sorted((r["run"], r["head"][id_col], r["head"]["mark"]) for r in heads.collect())  # one for each run at most
     before = [(heads[k - 1][0], key, mark) for k, (_, key, mark) in enumerate(heads)]  # the first row follows the last run
-    ends = rows.sparkSession.createDataFrame(before, "to int, head_id long, head_mark long")
+    ends = rows.sparkSession.createDataFrame(before, "to long, head_id long, head_mark long")
     copies = rows.join(F.broadcast(ends), rows[id_col].eqNullSafe(ends["head_id"]) & (rows["mark"] == ends["head_mark"])).select(id_col, "text", "mark", F.col("to").alias("run"), F.lit(True).alias("more")).dropDuplicates([id_col, "mark", "run"])
     whole = rows.select(id_col, "text", "mark", "run", F.lit(False).alias("more")).unionByName(copies)
-    return whole.repartition(max(1, len(heads)), "run").sortWithinPartitions("run", "more", *order)
+    # Each run goes to a partition of its own: by a number that Spark's hash sends there.
+    parts = max(1, len(heads))
+    tried = rows.sparkSession.range(16 * parts + 64)
+    keys = {r["p"]: r["id"] for r in tried.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()}
+    at = rows.sparkSession.createDataFrame([(run, keys.get(k, k)) for k, (run, *_) in enumerate(heads)], "run long, at long")
+    return whole.join(F.broadcast(at), "run").repartition(parts, "at").sortWithinPartitions("run", "more", *order).drop("at")
 
 
 def _cuts_below(col: Column, cuts: list[int]) -> Column:
@@ -140,4 +156,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*got, strict=True), kinds, strict=True)], schema=kinds)
 
-    return in_runs(rows, id_col).mapInArrow(run, out)
+    return small_batches(in_runs(rows, id_col)).mapInArrow(run, out)
