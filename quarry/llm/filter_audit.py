@@ -30,6 +30,8 @@ from quarry.llm.common import checkpointed, map_blocks
 FILTERS = "ABCDE"
 #: Documents of a range: the longest list that a task holds.
 RANGE_BITS = 16
+#: Parts that the rows of one text are dealt into where they meet its smallest id.
+SALTS = 16
 #: Bits of a document's failures, then good, then toxic.
 GOOD, TOXIC = 1 << len(FILTERS), 2 << len(FILTERS)
 
@@ -144,13 +146,14 @@ def checked(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataF
 def postings(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, part_col: str, range_bits: int) -> DataFrame:
     """(part, range, docs, a list of failing numbers per filter, good, toxic), lists sorted; a range has 2 ** range_bits numbers at most."""
     table = checkpointed(checked(docs, id_col, text_col, part_col))
-    first = table.where("id is not null").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first")
+    first = table.where("id is not null").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    first = first.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a text may stand on any share of the rows
     said = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(
         (F.coalesce(F.max((F.col("quality") == 1).cast("int")), F.lit(0)) * GOOD + F.coalesce(F.max((F.col("toxic") == 1).cast("int")), F.lit(0)) * TOXIC).alias("said")
     )
     copy = F.when(F.col("id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)
     bits = F.col("fails").bitwiseOR(copy).bitwiseOR(F.coalesce("said", F.lit(0)))
-    rows = table.join(first, ["h1", "h2"], "left").join(said, "id", "left").select("part", F.shiftright("number", range_bits).alias("range"), "number", bits.alias("bits"))
+    rows = table.withColumn("salt", F.pmod("number", F.lit(SALTS)).cast("int")).join(first, ["h1", "h2", "salt"], "left").join(said, "id", "left").select("part", F.shiftright("number", range_bits).alias("range"), "number", bits.alias("bits"))
     listed = [F.sort_array(F.collect_list(F.when(F.col("bits").bitwiseAND(bit) != 0, F.col("number")))).alias(f"l{k}") for k, bit in enumerate([1 << i for i in range(len(FILTERS))] + [GOOD, TOXIC])]
     return rows.groupBy("part", "range").agg(F.count("*").alias("docs"), *listed)
 
