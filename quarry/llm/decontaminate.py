@@ -118,18 +118,19 @@ def _bitmap(postings: DataFrame) -> np.ndarray:
     found = words.toPandas()  # at most 2**18 rows
     bitmap = np.zeros(1 << (BITS - 6), np.int64)
     bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return np.unpackbits(bitmap.view(np.uint8), bitorder="little").view(bool)
+    return bitmap.view(np.uint8)
 
 
 def document_postings(rows: DataFrame, large: np.ndarray, small: np.ndarray, sizes: list[int]) -> DataFrame:
     """(key, part, hash): the registers of what the bitmap of large items lets pass of every whole text, and all that the small items' one does, for shingles of the given sizes."""
-    shared = rows.sparkSession.sparkContext.broadcast([np.packbits(x) for x in (large, small)])
+    shared = rows.sparkSession.sparkContext.broadcast([large, small])
 
     def make():
-        hashes, (held, held_small) = WordHashes(), (np.unpackbits(x).view(bool) for x in shared.value)
+        hashes, (held, held_small) = WordHashes(), shared.value
 
         def passing(own, bits):
-            return own[bits[(own & np.uint64((1 << BITS) - 1)).astype(np.int64)]]
+            place = (own & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            return own[bits[place >> 3] >> (place & 7).astype(np.uint8) & np.uint8(1) != 0]
 
         def work(columns):
             keys, parts, found = [], [], []
@@ -169,7 +170,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str
     rows = rows.withColumn("key", F.xxhash64(id_col, "doc_text"))  # rows that happen to share a key are told apart by verifying
     posted = checkpointed(document_postings(rows.select("key", "doc_text"), _bitmap(postings.where(F.col("n") >= SMALL)), _bitmap(postings.where(F.col("n") < SMALL)), sizes))
     parts = [r["part"] for r in posted.select("part").distinct().orderBy("part").collect() if r["part"] != WHOLE]  # some thirty at most
-    asked = item_sketches(items, item_id, item_text, parts, percent).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = checkpointed(item_sketches(items, item_id, item_text, parts, percent).distinct().join(posted.select("part", "hash").distinct().hint("merge"), ["part", "hash"]))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     met = posted.distinct().withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(asked, ["part", "hash", "salt"])
     counted = met.groupBy("key", "item", "part").agg(F.count("*").alias("equal"), F.min("least").alias("least"))  # items of one id: the least of them
     pairs = checkpointed(counted.where("equal >= least").select("key", "item").distinct())
