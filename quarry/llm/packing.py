@@ -35,12 +35,14 @@ _LOADED: dict = {}
 
 
 class WordIds(dict):
-    """Packed 32-bit ids of words for a word-end BPE file; texts of plain characters are put together from words."""
+    """Packed 32-bit ids of words for a word-end BPE file; texts of plain characters are put together from words. What is
+    remembered, here and of whole words, is bounded in bytes."""
 
-    def __init__(self, path: str, most: int = 600_000):
-        from tokenizers import Tokenizer
+    #: What an entry takes beside its word and ids: the objects' heads and the place in the table.
+    ENTRY = 200
 
-        self.most, self.library = most, Tokenizer.from_file(path)
+    def __init__(self, library, most_bytes: int = 24 << 20):
+        self.most, self.held, self.library = most_bytes, 0, library
         self.model = self.library.model
         # How the file's byte-level step writes bytes: printable ones as they are, the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,42 +52,49 @@ class WordIds(dict):
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^\s{of('LN')}]+").findall
         # Marked strings and what lower-cases or splits otherwise than here are left to the library.
         self.odd = re.compile(r"[\x1c-\x1f\x85İɐ-\U0010ffff]|<\|").search
-        self.words = Whole(self)
 
     def __missing__(self, part: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))]
         got = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) >= self.most:
-            self.clear()
-        if len(part) <= 48:
-            self[part] = got
+        remember(self, part, got, self.most)
         return got
 
-    def ids(self, text: str) -> bytes:
-        if self.odd(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.words.__getitem__, text.split()))
-
 
 class Whole(dict):
     """Packed ids of what stands between white space."""
 
     def __init__(self, parts: WordIds):
-        self.parts = parts
+        self.parts, self.held = parts, 0
 
     def __missing__(self, word: str) -> bytes:
         got = b"".join(map(self.parts.__getitem__, self.parts.split(word.lower())))
-        if len(self) >= self.parts.most:
-            self.clear()
-        if len(word) <= 48:
-            self[word] = got
+        remember(self, word, got, self.parts.most)
         return got
 
+    def ids(self, text: str) -> bytes:
+        if self.parts.odd(text):
+            return b"".join(i.to_bytes(4, "little") for i in self.parts.library.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def remember(known: WordIds | Whole, word: str, ids: bytes, most: int) -> None:
+    if len(word) > 48:
+        return
+    size = WordIds.ENTRY + len(word) + len(ids)
+    if known.held + size > most:
+        known.clear()
+        known.held = 0
+    known.held += size
+    known[word] = ids
+
+
+def word_ids(path: str, most_bytes: int = 24 << 20) -> Whole:
+    """A task's own; workers outlive their tasks, and keep the file alone."""
+    from tokenizers import Tokenizer
 
-def word_ids(path: str) -> WordIds:
     if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+        _LOADED[path] = Tokenizer.from_file(path)
+    return Whole(WordIds(_LOADED[path], most_bytes))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import os
 import random
 import re
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -394,6 +395,17 @@ def test_packing_holds_every_token_once(spark, odd, empty):
     assert packing.pack_documents(empty, WORDS).count() == 0
 
 
+def test_packing_remembers_words_up_to_a_bound_in_bytes():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, plain = packing.word_ids(path, most_bytes=20_000), packing.word_ids(path)
+    for k in range(2_000):
+        text = f"word{k} some{k}thing the of {k}"
+        assert ids.ids(text) == plain.ids(text)
+    for known in (ids, ids.parts):
+        assert sum(sys.getsizeof(w) + sys.getsizeof(got) for w, got in known.items()) <= 20_000
+    assert packing.word_ids(path) is not packing.word_ids(path)  # what a task remembers goes with it
+
+
 def test_packing_is_tight():
     r = random.Random(5)
     lengths = [min(4095, int(r.expovariate(1 / 900)) + 1) for _ in range(5000)]
