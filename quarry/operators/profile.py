@@ -42,7 +42,8 @@ def value_key(c: Column) -> Column:
 
 def _long(df: DataFrame) -> DataFrame:
     """(position, column, value) of every cell of a column that has one value; long texts as digests."""
-    cells = [F.struct(F.lit(k).alias("position"), F.lit(f.name).alias("column"), value_key(quoted(f.name)).alias("value")) for k, f in enumerate(df.schema) if _atomic(f.dataType)]
+    key = lambda f: value_key(quoted(f.name)) if _kind(f.dataType) == "text" else quoted(f.name).cast("string")  # noqa: E731  others are short
+    cells = [F.struct(F.lit(k).alias("position"), F.lit(f.name).alias("column"), key(f).alias("value")) for k, f in enumerate(df.schema) if _atomic(f.dataType)]
     return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
@@ -58,7 +59,9 @@ def counts(df: DataFrame, approx: bool = False) -> DataFrame:
         from quarry.operators import sketches
 
         return sketches.profile(sketches.sketches(df), ()).select("position", "column", "rows", "missing", F.col("distinct_about").alias("unique"), "missing_pct")
-    out = value_counts_long(df).groupBy("position", "column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0).cast("long")).alias("missing"), F.count("value").alias("unique"))
+    values = _long(df).groupBy("position", "value").agg(F.count("*").alias("n"))  # names aren't part of the many keys
+    named = values.withColumn("column", F.get(F.array(*map(F.lit, df.columns)), F.col("position")))
+    out = named.groupBy("position", "column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0).cast("long")).alias("missing"), F.count("value").alias("unique"))
     return out.withColumn("missing_pct", F.round(F.col("missing") / F.greatest(F.col("rows"), F.lit(1)) * 100, 2))
 
 
@@ -97,6 +100,16 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     return plain.join(quantile_columns(long, "v", {"median": 0.5}, ["column"]), "column")
 
 
+def metric_stats(df: DataFrame) -> DataFrame | None:
+    """``numeric_stats`` of the metrics alone, with their positions; None if there are none. Quantiles of identifiers, which are the most distinct
+    values, aren't worked out."""
+    metrics = {r["column"]: r["position"] for r in roles(df).where("role = 'metric'").select("position", "column").collect()}  # no more than there are columns
+    if not metrics:
+        return None
+    places = F.create_map(*(F.lit(x) for pair in metrics.items() for x in pair))
+    return numeric_stats(df.select(*map(quoted, metrics))).withColumn("position", F.get(F.map_values(F.map_filter(places, lambda c, _: c == F.col("column"))), F.lit(0)))
+
+
 def outliers(df: DataFrame, least: int = 10) -> DataFrame:
     """(column, n, outliers): values beyond one and a half interquartile ranges; none if there are fewer than ``least`` values
     (``too_short``) or the range is 0."""
@@ -128,7 +141,8 @@ def roles(df: DataFrame, approx: bool = False) -> DataFrame:
         if _atomic(f.dataType):
             number, c = is_numeric(f.dataType), quoted(f.name)
             v = c.cast("double") if number else F.lit(None).cast("double")
-            facts += [F.struct(F.lit(f.name).alias("column"), F.coalesce(F.bool_and(v % 1 == 0), F.lit(True)).alias("whole"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(F.length(c.cast("string"))).alias("mean_length"))]
+            length = F.length(c.cast("string")) if _kind(f.dataType) == "text" else F.lit(None).cast("int")
+            facts += [F.struct(F.lit(f.name).alias("column"), F.coalesce(F.bool_and(v % 1 == 0), F.lit(True)).alias("whole"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(length).alias("mean_length"))]
     more = df.agg(F.array(*facts).alias("all")).select(F.explode("all").alias("c")).select("c.*")
     known = counts(df, approx).join(F.broadcast(kinds), "column").join(F.broadcast(more), "column")
     is_id, is_metric = _hinted(ID_HINTS), _hinted(METRIC_HINTS)
@@ -195,15 +209,15 @@ def missing_shares(df: DataFrame) -> DataFrame:
 def derived_metrics(df: DataFrame) -> DataFrame:
     """(name, numerator, denominator, scale): ratios that the metrics allow; the first name word decides, then the column's place."""
     metrics = roles(df).where("role = 'metric'").select("position", "column")
-    found = []
-    for k, (name, top, bottom, scale) in enumerate(DERIVED):
-        sides = []
-        for hints in (top, bottom):
-            hint = _hint_rank(hints)
-            sides.append(metrics.where(hint < len(hints)).agg(F.min(F.struct(hint.alias("hint"), "position", "column"))["column"].alias("column")))
-        row = sides[0].withColumn("k", F.lit(k)).join(sides[1].select(F.col("column").alias("denominator"), F.lit(k).alias("k")), "k")
-        found.append(row.select(F.lit(name).alias("name"), F.col("column").alias("numerator"), "denominator", F.lit(scale).alias("scale")))
-    return reduce(DataFrame.unionByName, found).where("numerator is not null and denominator is not null")
+
+    def first(hints: tuple[str, ...]) -> Column:
+        hint = _hint_rank(hints)
+        return F.min(F.when(hint < len(hints), F.struct(hint.alias("hint"), "position", "column")))["column"]
+
+    # One aggregate finds all sides, so that the roles are worked out once.
+    row = metrics.agg(*(first(hints).alias(f"{side}{k}") for k, (_, top, bottom, _) in enumerate(DERIVED) for side, hints in (("n", top), ("d", bottom))))
+    cells = [F.struct(F.lit(name).alias("name"), F.col(f"n{k}").alias("numerator"), F.col(f"d{k}").alias("denominator"), F.lit(scale).alias("scale")) for k, (name, _, _, scale) in enumerate(DERIVED)]
+    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("numerator is not null and denominator is not null")
 
 
 def kpi_cards(df: DataFrame, metrics: dict[str, str], ratios: list[tuple[str, str, str, float]], dimension: str | None) -> DataFrame:

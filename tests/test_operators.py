@@ -191,3 +191,19 @@ def test_text_functions(spark):
     assert spark.createDataFrame([('say ```json\n{"a": {"b": 1}}\n``` ok',)], "t string").select(extract_json(F.col("t"), "a struct<b:int>")["a"]["b"]).first()[0] == 1
     shown = spark.createDataFrame([(1.5e9,), (2.5e6,), (1234.0,), (1.0,), (None,)], "v double").select(format_number(F.col("v"))).collect()
     assert [r[0] for r in shown] == ["1.50B", "2.50M", "1,234", "1.00", "n/a"]
+
+
+def test_derived_metrics_read_their_rows_twice_at_most(spark, tmp_path):
+    spark.createDataFrame([(1, 5.5, 2.25, "x")] * 3, "order_id long, sales double, profit double, name string").write.parquet(str(tmp_path / "t"))
+    found = P.derived_metrics(spark.read.parquet(str(tmp_path / "t")))
+    assert [tuple(r) for r in found.collect()] == [("Profit Margin %", "profit", "sales", 100.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 2
+
+
+def test_statistics_of_metrics_alone(spark):
+    rows = spark.createDataFrame([(k, k * 1.5, f"n{k}", k * 2) for k in range(20)], "order_id long, sales double, name string, `unit.price` long")
+    both = {r["column"]: r for r in P.numeric_stats(rows).collect()}
+    got = {r["column"]: r for r in P.metric_stats(rows).collect()}
+    assert {c: r["position"] for c, r in got.items()} == {"sales": 1, "unit.price": 3}
+    assert all(got[c][n] == both[c][n] for c in got for n in both[c].__fields__)
+    assert P.metric_stats(rows.select("order_id", "name")) is None
