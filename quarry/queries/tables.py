@@ -336,15 +336,13 @@ _cleaned = "Order Key to Order Key, status to status (1), a blank name to unname
 union all select 'flat::business_rules', 'flat', 'business_rules', '', 'Measures of flat:' || chr(10) || '- Profit Margin %: sum of profit over sum of sales, times 100.' || chr(10) || '- Average Selling Price: sum of sales over sum of quantity.' || chr(10) || '- Return on Cost %: sum of profit over sum of cost, times 100.'
 union all select 'orders::cleaning', 'orders', 'cleaning', '', 'Cleaning of orders: ' || count(*) || ' rows of 7 columns were read, ' || count(*) || ' rows of 6 columns are left. Renamed: {_cleaned}' from orders""")
 def metadata_facts(spark, sf):
-    metrics = []
-    for t in CATALOGUE:
-        rows = source(spark, sf, t)
-        of_metrics = P.roles(rows).where("role = 'metric'").select("position", "column")
-        metrics.append(P.numeric_stats(rows).join(of_metrics, "column").withColumn("dataset", F.lit(t)))
+    found = [(t, P.metric_stats(source(spark, sf, t))) for t in CATALOGUE]
+    metrics = [stats.withColumn("dataset", F.lit(t)) for t, stats in found if stats is not None]
     rules = P.derived_metrics(flat(spark, sf)).withColumn("dataset", F.lit("flat"))
     rules = rules.withColumn("position", F.array_position(F.array(*(F.lit(n) for n, *_ in P.DERIVED)), F.col("name")))
     _, report = C.clean(messy(spark, sf))
-    parts = [R.statistics_documents(reduce(DataFrame.unionByName, metrics)), R.rules_documents(rules), R.cleaning_document(spark, "orders", report)]
+    parts = [R.statistics_documents(reduce(DataFrame.unionByName, metrics))] if metrics else []
+    parts += [R.rules_documents(rules), R.cleaning_document(spark, "orders", report)]
     return reduce(DataFrame.unionByName, parts)
 
 
