@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.clean import Report
 from quarry.plans.spec import quoted
+from quarry.sources.shared import written
 
 #: Parts that rows and queries are dealt into where a vector search meets them.
 BLOCKS = 64
 #: Queries that a task holds at once.
 GROUP = 4096
-#: Parts that the postings of one token are dealt into.
-SALTS = 16
 #: Bits of the bitmap of asked tokens, as a power of two.
 ASKED_BITS = 17
 
@@ -34,6 +37,74 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(0))
 
 
+#: What ``tokens`` finds in a lower-cased text.
+TOKEN = re.compile("[a-z0-9]+")
+#: Postings of an Arrow batch, and bytes of the texts of one, unless the session sets them.
+POSTINGS, BATCH_BYTES = 1 << 16, "8m"
+
+
+def small_batches(texts: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches are bounded in bytes from now on, if it hasn't bounded them itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if texts.sparkSession.conf.get(key, None) is None:
+        texts.sparkSession.conf.set(key, BATCH_BYTES)
+    return texts
+
+
+def postings(docs: DataFrame, text: str, asked: bytes | None = None) -> DataFrame:
+    """The other columns with (token, tf, length): the counts of each row's own tokens, and how many it has. Counted in the row that holds
+    them, so nothing is shuffled. ``asked`` is a bitmap over the tokens' crc32; tokens without a bit are left out."""
+    others = [c for c in docs.columns if c != text]
+    given = docs.select(*map(quoted, others), F.lower(quoted(text)).alias(text))
+    out = given.drop(text).schema.add("token", "string").add("tf", "long").add("length", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        mask = None if asked is None else len(asked) * 8 - 1
+
+        def batch_of(rows: list[int], held: list[int], words: list[str], counts: list[int], lengths: list[int]) -> pa.RecordBatch:
+            at = pa.array(np.repeat(np.array(rows, np.int64), held))
+            length = pa.array(np.repeat(np.array(lengths, np.int64), held))
+            return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), pa.array(words, pa.string()), pa.array(counts, pa.int64()), length], schema=schema)
+
+        for batch in batches:
+            rows, held, words, counts, lengths = [], [], [], [], []
+            for row, value in enumerate(batch.column(batch.num_columns - 1)):
+                found = TOKEN.findall(value.as_py() or "")
+                own = Counter(found)
+                if asked is not None:
+                    own = {w: n for w, n in own.items() if asked[(at := zlib.crc32(w.encode()) & mask) >> 3] >> (at & 7) & 1}
+                rows.append(row)
+                held.append(len(own))
+                lengths.append(len(found))
+                words += own.keys()
+                counts += own.values()
+                if len(words) >= POSTINGS:
+                    yield batch_of(rows, held, words, counts, lengths)
+                    rows, held, words, counts, lengths = [], [], [], [], []
+            if words:
+                yield batch_of(rows, held, words, counts, lengths)
+
+    return small_batches(given).mapInArrow(run, out)
+
+
+def token_counts(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """The other columns with ``name``, how many tokens each row has; 0 for a null."""
+    given = docs.select(*(quoted(c) for c in docs.columns if c != text), F.lower(quoted(text)).alias(text))
+    out = given.drop(text).schema.add(name, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for batch in batches:
+            many = pa.array([len(TOKEN.findall(v.as_py() or "")) for v in batch.column(batch.num_columns - 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], many], schema=to_arrow_schema(out))
+
+    return small_batches(given).mapInArrow(run, out)
+
+
 def term_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tf, length): counts of a document's tokens, and how many it has."""
     rows = docs.select(F.col(key), tokens(F.col(text)).alias("t"))
@@ -41,17 +112,18 @@ def term_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _asked_terms(docs: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
-    """The term index of the asked tokens alone. Tokens whose bit isn't in a bitmap of fixed size are dropped inside the array, before anything is
-    exploded or shuffled; the few that pass by chance go in the join."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ASKED_BITS))
-    words = asked.select(F.shiftright(place("token"), 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place("token").bitwiseAND(F.lit(31)).cast("int")).alias("b"))
-    bits = {r["w"]: r["b"] for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}  # 2 ** (ASKED_BITS - 5) rows at most
-    bitmap = docs.sparkSession.createDataFrame([([bits.get(w, 0) for w in range(1 << ASKED_BITS - 5)],)], "bits array<long>")
-    may = lambda bits, t: F.call_function("shiftright", F.get(bits, F.shiftright(place(t), 5).cast("int")), place(t).bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    rows = docs.select(F.col(key), tokens(F.col(text)).alias("t")).withColumn("bits", bitmap.select("bits").scalar())
-    kept = rows.select(key, F.size("t").alias("length"), F.explode(F.filter("t", lambda t: may(F.col("bits"), t))).alias("token"))
-    counted = kept.groupBy(key, "token", "length").agg(F.count("*").alias("tf"))
-    return counted.join(asked.select("token").distinct(), "token", "left_semi")
+    """The term index (key, token, length, tf) of the asked tokens alone. Tokens whose bit isn't in a bitmap of fixed size are dropped where the
+    text is read, and nothing is shuffled; a few pass by chance. Where keys stand more than once, counts of rows with one key and length are summed."""
+    place = F.crc32(F.col("token").cast("binary")).bitwiseAND(F.lit((1 << ASKED_BITS) - 1))
+    bytes_ = asked.select(F.shiftright(place, 3).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7)).cast("int")).alias("b"))
+    bitmap = bytearray(1 << ASKED_BITS - 3)
+    for r in bytes_.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # 2 ** (ASKED_BITS - 3) rows at most
+        bitmap[r["w"]] = r["b"]
+    rows = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
+    kept = written(postings(rows, "text", bytes(bitmap)), "terms")
+    if rows.groupBy("key").count().where("count > 1").isEmpty():
+        return kept
+    return written(kept.groupBy("key", "token", "length").agg(F.sum("tf").alias("tf")), "terms")
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -60,18 +132,128 @@ def document_frequency(index: DataFrame) -> DataFrame:
 
 def keyword_topk(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 5) -> DataFrame:
     """(query, rank, key, score): per query the documents with the greatest sum of tf / length * ln(1 + N / (1 + df)) over the
-    query's tokens, repeats counted. A token's postings are dealt into parts by document, and the query's side is
-    repeated for each, so that a word in most documents isn't one task's. Scores are summed per part first: a pair of query
-    and document meets only where they share a token."""
+    query's tokens, repeats counted. The postings of the asked tokens are written once; ``best_scores`` sums them up."""
     n = docs.agg(F.count("*").alias("n"))
     asked = queries.select(F.col(query_key).alias("query"), F.explode(tokens(F.col(query_text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
     index = _asked_terms(docs, key, text, asked)
     weight = document_frequency(index).select("token", F.ln(1 + n.scalar() / (1 + F.col("df"))).alias("idf"))
-    asked = asked.join(weight, "token").select("query", "token", (F.col("times") * F.col("idf")).alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    posted = index.select(F.col(key).alias("key"), "token", (F.col("tf") / F.greatest("length", F.lit(1))).alias("share"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"))
-    scores = posted.join(asked, ["token", "salt"]).groupBy("query", "salt", "key").agg(F.sum(F.col("share") * F.col("weight")).alias("score"))
-    rounded = scores.withColumn("score", F.round("score", 4)).where("score > 0")
-    return _best(rounded, k, "salt")
+    weights = asked.join(weight, "token").select("query", "token", (F.col("times") * F.col("idf")).alias("weight"))
+    return best_scores(index.select("key", "token", (F.col("tf") / F.greatest("length", F.lit(1))).alias("share")), weights, k)
+
+
+def best_scores(posted: DataFrame, weights: DataFrame, k: int, blocks: int = BLOCKS) -> DataFrame:
+    """(query, rank, key, score): per query the k keys with the greatest sum of share * weight over their tokens, to four places, above 0; ties by key.
+
+    Postings (key, token, share) are dealt into blocks by key, queries (query, token, weight) into groups of about ``GROUP``, and each group goes to each
+    block, where postings stream past it key by key. A task holds a group, some keys' scores and its best k so far."""
+    many = weights.select(F.count_distinct(F.coalesce(F.col("query").cast("string"), F.lit("")))).first()[0]
+    groups = max(1, -(-many // GROUP))
+    kind, query_kind = posted.schema["key"].dataType, weights.schema["query"].dataType
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    held = posted.select(part("key", blocks).alias("block"), every(groups, "group"), F.lit(True).alias("streams"), "key", F.lit(None).cast(query_kind).alias("query"), "token", F.col("share").alias("x"))
+    asked = weights.select(part("query", groups).alias("group"), "query", "token", F.col("weight").alias("x"))
+    asked = asked.select(every(blocks, "block"), "group", F.lit(False).alias("streams"), F.lit(None).cast(kind).alias("key"), "query", "token", "x")
+    met = held.unionByName(asked).repartition("block", "group").sortWithinPartitions("block", "group", "streams", "key")
+    out = met.select("block", "query", "key", F.lit(0.0).alias("score")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        at, group = None, Asked(k)
+        for batch in batches:
+            block, part, streams = (np.asarray(batch.column(c)) for c in ("block", "group", "streams"))
+            cuts = np.flatnonzero(np.diff(block) | np.diff(part) | (streams[1:] != streams[:-1])) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                if low == high:
+                    continue
+                if at is not None and at != (block[low], part[low]):
+                    yield group.result(int(at[0]), schema)
+                    group = Asked(k)
+                at = (block[low], part[low])
+                rows = batch.slice(low, high - low)
+                (group.meet if streams[low] else group.ask)(rows)
+        if at is not None:
+            yield group.result(int(at[0]), schema)
+
+    return _best(met.mapInArrow(run, out), k, "block")
+
+
+class Asked:
+    """Queries that one block's postings stream past, sorted by key, and the best k of each so far."""
+
+    #: Scores of keys and queries that are summed up at once.
+    CELLS = 1 << 21
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.rest = k, [], None
+        self.names: pa.Array | None = None
+
+    def ask(self, rows: pa.RecordBatch) -> None:
+        self.parts.append(rows.select(["query", "token", "x"]))
+
+    def _built(self) -> None:
+        if self.names is None and self.parts:
+            rows = pa.Table.from_batches(self.parts).combine_chunks()
+            query, token = (rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("query", "token"))
+            self.names, self.tokens = query.dictionary, token.dictionary
+            order = np.argsort(np.asarray(token.indices), kind="stable")
+            self.query, self.weight = np.asarray(query.indices)[order], np.asarray(rows.column("x"))[order]
+            self.ends = np.cumsum(np.bincount(np.asarray(token.indices), minlength=len(self.tokens)))
+            self.scores = np.zeros((0, len(self.names)))
+            self.keys = np.empty((0, len(self.names)), object)
+            self.parts = []
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        self._built()
+        if self.names is None:
+            return
+        rows = rows.select(["key", "token", "x"])
+        table = pa.Table.from_batches([rows] if self.rest is None else [*self.rest.to_batches(), rows]).combine_chunks()
+        keys = table.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+        place = np.asarray(keys.indices)
+        whole = int(np.searchsorted(place, place[-1]))  # the last key may go on in the next batch
+        self.rest = table.slice(whole)
+        self._score(keys.dictionary.to_pylist(), place[:whole], table.slice(0, whole))
+
+    def _score(self, names: list, place: np.ndarray, rows: pa.Table) -> None:
+        token = np.asarray(pc.index_in(rows.column("token").combine_chunks(), value_set=self.tokens).fill_null(-1))
+        share = np.asarray(rows.column("x"))
+        step, n = max(1, self.CELLS // len(self.names)), len(self.names)
+        keys = int(place[-1]) + 1 if len(place) else 0
+        for first in range(0, keys, step):
+            low, high = np.searchsorted(place, [first, first + step])
+            own = low + np.flatnonzero(token[low:high] >= 0)
+            many = np.diff(self.ends, prepend=0)[token[own]]
+            row = np.repeat(own, many)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.ends[token[own]] - many, many)
+            last = min(first + step, keys)
+            sums = np.bincount((place[row] - first) * n + self.query[at], share[row] * self.weight[at], (last - first) * n).reshape(last - first, n)
+            self._keep(np.floor(sums * 10_000 + 0.5) / 10_000, names[first:last])
+
+    def _keep(self, scores: np.ndarray, names: list) -> None:
+        """Those that stand first are kept of equals: keys come in their order."""
+        if len(self.scores) == self.k:
+            better = np.flatnonzero((scores > self.scores[-1]).any(axis=1))
+            scores, names = scores[better], [names[i] for i in better]
+        label = np.empty(len(names), object)
+        label[:] = names
+        scores = np.concatenate([self.scores, scores])
+        keys = np.concatenate([self.keys, np.repeat(label[:, None], scores.shape[1], axis=1)])
+        order = np.argsort(-scores, axis=0, kind="stable")[: self.k]
+        self.scores, self.keys = np.take_along_axis(scores, order, 0), np.take_along_axis(keys, order, 0)
+
+    def result(self, block: int, schema: pa.Schema) -> pa.RecordBatch:
+        self._built()
+        if self.rest is not None:
+            keys = self.rest.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+            self._score(keys.dictionary.to_pylist(), np.asarray(keys.indices), self.rest)
+        place, query = np.nonzero(self.scores > 0) if self.names is not None else (np.empty(0, int), np.empty(0, int))
+        score = [float(self.scores[p, q]) for p, q in zip(place, query, strict=True)]
+        key = [self.keys[p, q] for p, q in zip(place, query, strict=True)]
+        names = self.names.take(pa.array(query)) if self.names is not None else pa.array([], schema.field("query").type)
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(score), pa.int32()), names, pa.array(key, schema.field("key").type), pa.array(score)], schema=schema)
 
 
 def _best(scores: DataFrame, k: int, part: str) -> DataFrame:
