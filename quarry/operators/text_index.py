@@ -1,7 +1,7 @@
 """A keyword index that is kept: postings by token, in batches that merge without the old texts.
 
-Each batch holds its postings (token, block, key, tf, length), sorted by token and block and laid out in shelves of tokens; the
-greatest tf / length of each token in each block; its documents; the keys that it takes out of earlier batches; and what it
+Each batch holds its postings (token, block, key, tf, length), written where the texts are read, in shelves of tokens; the
+greatest tf / length of each token in each block, and how many post it there; its documents; the keys that it takes out of earlier batches; and what it
 adds to document frequencies and sizes, less what it takes out. Blocks are runs of documents of similar length, so
 that long documents, whose shares are small, stand together. A batch counts once its line of sizes is written, last.
 
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieval import tokens
+from quarry.operators.retrieval import best_scores, postings, token_counts, tokens
 from quarry.plans.spec import quoted
 from quarry.sources.shared import written
 
@@ -47,8 +47,9 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str, key: str = "key", key_type: str = "long", block_documents: int = BLOCK_DOCUMENTS):
         self.spark, self.path, self.key_type, self.block_documents = spark, path, key_type, block_documents
         self.key = key
+        self.held: dict[tuple[int, ...], dict[int, tuple[int, int]]] = {}
         self.schemas = {
-            "postings": f"token string, block int, key {key_type}, tf long, length long, shelf int", "blocks": "token string, block int, most double, shelf int",
+            "postings": f"token string, block int, key {key_type}, tf long, length long, shelf int", "blocks": "token string, block int, most double, posted long, shelf int",
             "documents": f"key {key_type}, length long, label string", "gone": f"key {key_type}", "frequencies": "token string, df long, shelf int",
         }
 
@@ -62,15 +63,37 @@ class TextIndex:
             return self.spark.createDataFrame([], SIZES)
         return self.spark.read.schema(SIZES).parquet(f"{self.path}/sizes")
 
-    def _kept(self, name: str) -> DataFrame:
+    def _kept(self, name: str, batches: list[int] | None = None) -> DataFrame:
         """With the number of the batch."""
-        parts = [self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}/batch-{b}").withColumn("batch", F.lit(b)) for b in self.batches()]
+        parts = [self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}/batch-{b}").withColumn("batch", F.lit(b)) for b in (self.batches() if batches is None else batches)]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.schemas[name] + ", batch int")
 
-    def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows (key, batch and more) of documents that no later batch has taken out. Only keys that were taken out are matched."""
-        until = self._kept("gone").groupBy("key").agg(F.max("batch").alias("until"))
-        return rows.join(until, "key", "left").where("until is null or batch >= until").drop("until")
+    def _until(self) -> DataFrame:
+        """(key, until): the last batch that takes the key out."""
+        return self._kept("gone").groupBy("key").agg(F.max("batch").alias("until"))
+
+    def _counts(self) -> dict[int, tuple[int, int]]:
+        """For each batch, its documents and how many of them later batches have taken out."""
+        batches = tuple(self.batches())
+        if batches not in self.held:
+            met = self._kept("documents").select("key", "batch").join(self._until(), "key", "left").groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("until") > F.col("batch")).alias("out"))
+            found = {r["batch"]: (r["n"], r["out"]) for r in met.collect()}  # one row a batch
+            self.held = {batches: {b: found.get(b, (0, 0)) for b in batches}}
+        return self.held[batches]
+
+    def _alive(self) -> list[int]:
+        """Batches that hold a document that no later one has taken out; the others needn't be read."""
+        return [b for b, (n, out) in self._counts().items() if out < n]
+
+    def _live(self, name: str) -> DataFrame:
+        """Rows (key, batch and more) of documents that no later batch has taken out. Only in batches that have lost some documents, not all, are keys matched."""
+        whole = [b for b in self._alive() if not self._counts()[b][1]]
+        some = [b for b in self._alive() if self._counts()[b][1]]
+        rows = self._kept(name, whole)
+        if not some:
+            return rows
+        left = self._kept(name, some).join(self._until(), "key", "left").where("until is null or batch >= until").drop("until")
+        return rows.unionByName(left) if whole else left
 
     def size(self) -> DataFrame:
         """One row: documents and tokens."""
@@ -78,11 +101,11 @@ class TextIndex:
         return self._sizes().agg(F.coalesce(F.sum("documents"), zero).alias("documents"), F.coalesce(F.sum("tokens"), zero).alias("tokens"))
 
     def documents(self) -> DataFrame:
-        return self._live(self._kept("documents")).select("key", "length", "label")
+        return self._live("documents").select("key", "length", "label")
 
     def postings(self) -> DataFrame:
         """(key, token, tf, length) of all live documents."""
-        return self._live(self._kept("postings")).select("key", "token", "tf", "length")
+        return self._live("postings").select("key", "token", "tf", "length")
 
     def frequencies(self) -> DataFrame:
         """(token, df), from the batches' lines of difference."""
@@ -124,10 +147,8 @@ class TextIndex:
         if out is None:
             rows = rows.join(self.documents().select("key"), "key", "left_anti")
         number = max(self.batches(), default=-1) + 1
-        found = rows.select("key", "label", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
-        sized = found.select("key", "label", "t", F.size("t").cast("long").alias("length"))
-        postings = sized.select("key", "length", F.explode("t").alias("token")).groupBy("key", "token", "length").agg(F.count("*").alias("tf"))
-        self._write(number, sized.drop("t"), postings, out)
+        documents = token_counts(rows, "text", "length")
+        self._write(number, documents, postings(rows.select("key", "text"), "text"), out)
         return number
 
     def _write(self, number: int, documents: DataFrame, postings: DataFrame, out: DataFrame | None) -> None:
@@ -140,7 +161,8 @@ class TextIndex:
             df.select(*columns(name)).write.mode("overwrite").partitionBy(*[c for c in ("shelf",) if c in columns(name)]).parquet(to(name))
 
         nothing = self.spark.createDataFrame([], self.schemas["gone"])
-        old = (self.documents(), self.postings()) if out is not None else None
+        before = self._counts()
+        old = {name: self._live(name) for name in ("documents", "postings")}
         save(nothing if out is None else out, "gone")
         save(documents, "documents")
         total = [F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")]
@@ -154,18 +176,20 @@ class TextIndex:
         band = reduce(Column.__add__, (F.when(F.col("length") > e, 1).otherwise(0) for e in ends), F.lit(0))
         within = max(1, -(-many // (len(ends) + 1)))
         block = (band * within + F.pmod(F.xxhash64("key"), F.lit(within))).cast("int")
-        save(postings.withColumn("block", block).withColumn("shelf", shelf(F.col("token"))).repartitionByRange("shelf", "token", "block").sortWithinPartitions("shelf", "token", "block"), "postings")
-        most = read("postings").groupBy("token", "block", "shelf").agg(F.max(F.col("tf") / F.col("length")).alias("most"))
-        save(most.repartitionByRange("shelf", "token").sortWithinPartitions("shelf", "token"), "blocks")
+        save(postings.withColumn("block", block).withColumn("shelf", shelf(F.col("token"))).sortWithinPartitions("shelf"), "postings")
+        most = read("postings").groupBy("token", "block", "shelf").agg(F.max(F.col("tf") / F.col("length")).alias("most"), F.count("*").alias("posted"))
+        save(most.sortWithinPartitions("shelf"), "blocks")
 
-        change = read("postings").select("token", F.lit(1).alias("d"))
+        change = read("blocks").select("token", F.col("posted").alias("d"))
         n_out = t_out = 0
-        if old is not None:
-            known, posted = (x.join(read("gone"), "key", "left_semi") for x in old)
-            change = change.unionByName(posted.select("token", F.lit(-1).alias("d")))
-            n_out, t_out = known.agg(*total).first()
+        if out is not None:
+            for taken in old["documents"].join(read("gone"), "key", "left_semi").groupBy("batch").agg(*total).collect():  # one row a batch
+                n_out, t_out, batch = n_out + taken["n"], t_out + int(taken["t"]), taken["batch"]
+                # A batch that loses all of its documents at once loses all of its postings.
+                lost = self._kept("postings", [batch]) if before[batch] == (taken["n"], 0) else old["postings"].where(F.col("batch") == batch).join(read("gone"), "key", "left_semi")
+                change = change.unionByName(lost.select("token", F.lit(-1).cast("long").alias("d")))
         delta = change.groupBy("token").agg(F.sum("d").cast("long").alias("df")).where("df <> 0").withColumn("shelf", shelf(F.col("token")))
-        save(delta.repartitionByRange("shelf", "token").sortWithinPartitions("shelf", "token"), "frequencies")
+        save(delta.sortWithinPartitions("shelf"), "frequencies")
         self.spark.createDataFrame([(number, size["n"] - n_out, int(size["t"]) - int(t_out))], SIZES).coalesce(1).write.mode("append").parquet(f"{self.path}/sizes")
 
     def search(self, queries: DataFrame, query_key: str, query_text: str, k: int = 5) -> tuple[DataFrame, Searched]:
@@ -180,9 +204,9 @@ class TextIndex:
         on_shelf = F.col("shelf").isin(shelves)
         weights = asked.join(self._kept("frequencies").where(on_shelf).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0"), "token")
         weights = weights.select("query", "token", (F.col("times") * F.ln(1 + F.lit(n) / (1 + F.col("df")))).alias("weight"))
-        bounds = weights.join(self._kept("blocks").where(on_shelf), "token").groupBy("query", "batch", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
+        bounds = weights.join(self._kept("blocks", self._alive()).where(on_shelf), "token").groupBy("query", "batch", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
         bounds = written(bounds.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "batch", "block"))), "bounds")
-        live = self._live(self._kept("postings").where(on_shelf))
+        live = self._live("postings").where(on_shelf)
         needed = lambda pairs: live.join(pairs.select("query", "batch", "block").join(weights, "query"), ["token", "batch", "block"])
 
         def scored(pairs: DataFrame) -> DataFrame:
@@ -192,7 +216,12 @@ class TextIndex:
         first = written(scored(bounds.where(F.col("place") <= FIRST)), "first")
         least = first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
         others = bounds.where(F.col("place") > FIRST).join(least, "query", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
-        best = _best(first.unionByName(scored(others)), k)
+        # What other queries need is scored too: where a query doesn't need a block, what it scores there, in part or whole, is below its k best.
+        wanted = others.select("query", "batch", "block").join(weights, "query").select("token", "batch", "block").distinct()
+        posted = live.join(wanted, ["token", "batch", "block"], "left_semi").select("key", "token", (F.col("tf") / F.col("length")).alias("share"))
+        rest = best_scores(posted, weights, k).select("query", "key", "score")
+        whole = first.select("query", "key", "score").unionByName(rest).groupBy("query", "key").agg(F.max("score").alias("score"))
+        best = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("key")))).where(F.col("rank") <= k)
         read = needed(bounds.where(F.col("place") <= FIRST)).unionByName(needed(others))
         return best.select("query", "rank", "key", "score"), Searched(read, needed(bounds))
 

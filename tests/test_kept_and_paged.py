@@ -250,3 +250,48 @@ def test_vector_blocks(spark, monkeypatch):
     assert [(q, n, s) for q, n, _, s in got] == [(q, n, pytest.approx(s)) for q, n, _, s in sorted(want)]
     assert [(q, k) for q, _, k, _ in got] == [(q, k) for q, _, k, _ in sorted(want)]
     assert V.vector_topk(df.limit(0), asked, "key", "v", "key").count() == 0 and V.vector_topk(df, asked.limit(0), "key", "v", "key").count() == 0
+
+
+def test_batches_that_are_taken_out_whole_are_not_read(spark, tmp_path):
+    index = TextIndex(spark, str(tmp_path / "i"))
+    docs = lambda *rows: spark.createDataFrame(rows, "key long, text string")
+    index.add(docs((1, "a b"), (2, "b b"), (3, None)), "text")
+    index.replace(docs((1, "c"), (2, "b C"), (3, "d")), "text")
+    assert {f.split("/postings/")[1].split("/")[0] for f in index.postings().inputFiles()} == {"batch-1"}
+    assert {tuple(r) for r in index.frequencies().collect()} == {("c", 2), ("b", 1), ("d", 1)}
+    index.remove(docs((2, "")).select("key"))
+    assert {tuple(r) for r in index.postings().collect()} == {(1, "c", 1, 1), (3, "d", 1, 1)}
+    assert {tuple(r) for r in index.frequencies().collect()} == {("c", 1), ("d", 1)}
+    assert tuple(index.size().first()) == (2, 2)
+
+
+def test_keyword_scores_with_repeated_keys_and_small_batches(spark, monkeypatch):
+    random.seed(4)
+    words = ["a", "b", "c", "d", "e", "f"]
+    docs = [(random.choice([None, *range(12)]), " ".join(random.choices(words, k=random.randint(0, 6)))) for _ in range(60)] + [(99, None)]
+    asked = [(q, " ".join(random.choices([*words, "z"], k=3))) for q in [None, *range(5)]]
+    monkeypatch.setattr(V, "GROUP", 2)
+    monkeypatch.setattr(V.Asked, "CELLS", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        frames = [spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(asked, "q long, t string")]
+        got = [tuple(r) for r in V.keyword_topk(*frames, "d", "t", "q", "t", k=4).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tf = {}
+    for key, text in docs:
+        own = (text or "").split()
+        for w in own:
+            tf[key, w, len(own)] = tf.get((key, w, len(own)), 0) + 1
+    df = {w: sum(x[1] == w for x in tf) for w in words}
+    want = []
+    for q, text in asked:
+        scores = {}
+        for (key, w, length), n in tf.items():
+            if text.split().count(w):
+                scores[key] = scores.get(key, 0.0) + n / length * text.split().count(w) * math.log(1 + len(docs) / (1 + df[w]))
+        ranked = sorted(((-round(x, 4), key is not None, key or 0, key) for key, x in scores.items()))[:4]
+        want += [(q, k, r[3], -r[0]) for k, r in enumerate(ranked, 1)]
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r[:3] for r in order(got)] == [r[:3] for r in order(want)]
+    assert all(abs(a[3] - b[3]) < 2e-4 for a, b in zip(order(got), order(want), strict=True))
