@@ -16,6 +16,7 @@ aren't read.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -31,70 +32,91 @@ from quarry.llm.common import id_and_text, map_blocks
 GROUP = 100_000
 #: Code points below this are split here; a text with any other goes to the library whole.
 PLAIN = 0x250
+#: Bytes of the words that a task remembers; of digits and signs an eighth of that.
+MOST_BYTES = 64 << 20
 _LOADED: dict = {}
 
 
-class WordIds(dict):
-    """Packed 32-bit ids of words for a word-end BPE file; texts of plain characters are put together from words. What is
-    remembered, here and of whole words, is bounded in bytes."""
+class Remembered(dict):
+    """Packed 32-bit ids of words as ``find`` gives them, remembered up to a bound in bytes, here and in ``old`` together: when
+    half of it is full of words asked for since the last time, those asked for before go. So rare words don't drive out frequent ones."""
 
     #: What an entry takes beside its word and ids: the objects' heads and the place in the table.
     ENTRY = 200
 
-    def __init__(self, library, most_bytes: int = 24 << 20):
-        self.most, self.held, self.library = most_bytes, 0, library
-        self.model = self.library.model
+    def __init__(self, most_bytes: int):
+        self.half, self.held, self.old = most_bytes // 2, 0, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.find(word)
+        if len(word) <= 48:
+            size = self.ENTRY + len(word) + len(got)
+            self.held += size
+            if self.held > self.half:
+                self.old, self.held = dict(self), size
+                self.clear()
+            self[word] = got
+        return got
+
+
+class WordIds(Remembered):
+    """Parts of words, for a word-end BPE file; texts of plain characters are put together from words."""
+
+    def __init__(self, library, most_bytes: int):
+        super().__init__(most_bytes)
+        self.library, self.tokenize = library, library.model.tokenize
         # How the file's byte-level step writes bytes: printable ones as they are, the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         of = lambda kinds: re.escape("".join(chr(c) for c in range(PLAIN) if unicodedata.category(chr(c))[0] in kinds))
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^\s{of('LN')}]+").findall
-        # Marked strings and what lower-cases or splits otherwise than here are left to the library.
-        self.odd = re.compile(r"[\x1c-\x1f\x85İɐ-\U0010ffff]|<\|").search
+        self.other = re.compile(r"[\x1c-\x1f\x85İɐ-\U0010ffff]|<\|").search
 
-    def __missing__(self, part: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))]
-        got = b"".join(i.to_bytes(4, "little") for i in ids)
-        remember(self, part, got, self.most)
-        return got
+    def odd(self, text: str) -> bool:
+        """Whether the text has marked strings or what lower-cases or splits otherwise than here; it is left to the library."""
+        try:
+            plain = text.encode("latin-1")  # most texts; their bytes are looked through faster
+        except UnicodeEncodeError:
+            return self.other(text) is not None
+        return b"<|" in plain or len(plain.translate(None, b"\x1c\x1d\x1e\x1f\x85")) < len(plain)
 
+    def find(self, part: str) -> bytes:
+        if not (part.isascii() and part.isalpha()):
+            part = part.encode().decode("latin-1").translate(self.bytes)
+        ids = [t.id for t in self.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-class Whole(dict):
-    """Packed ids of what stands between white space."""
 
-    def __init__(self, parts: WordIds):
-        self.parts, self.held = parts, 0
+class Whole(Remembered):
+    """What stands between white space. A run of letters is a word itself; ``parts`` remembers digits and signs alone."""
 
-    def __missing__(self, word: str) -> bytes:
-        got = b"".join(map(self.parts.__getitem__, self.parts.split(word.lower())))
-        remember(self, word, got, self.parts.most)
-        return got
+    def __init__(self, parts: WordIds, most_bytes: int):
+        super().__init__(most_bytes)
+        self.parts = parts
+
+    def find(self, word: str) -> bytes:
+        low = word.lower()
+        if low.isalpha():
+            return self.parts.find(low) if low == word else self[low]
+        return b"".join([self[part] if part.isalpha() else self.parts[part] for part in self.parts.split(low)])
 
     def ids(self, text: str) -> bytes:
         if self.parts.odd(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.parts.library.encode(text, add_special_tokens=False).ids)
+            ids = self.parts.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def remember(known: WordIds | Whole, word: str, ids: bytes, most: int) -> None:
-    if len(word) > 48:
-        return
-    size = WordIds.ENTRY + len(word) + len(ids)
-    if known.held + size > most:
-        known.clear()
-        known.held = 0
-    known.held += size
-    known[word] = ids
-
-
-def word_ids(path: str, most_bytes: int = 24 << 20) -> Whole:
+def word_ids(path: str, most_bytes: int = MOST_BYTES) -> Whole:
     """A task's own; workers outlive their tasks, and keep the file alone."""
     from tokenizers import Tokenizer
 
     if path not in _LOADED:
         _LOADED[path] = Tokenizer.from_file(path)
-    return Whole(WordIds(_LOADED[path], most_bytes))
+    return Whole(WordIds(_LOADED[path], most_bytes // 8), most_bytes)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

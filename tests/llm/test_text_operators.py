@@ -406,6 +406,38 @@ def test_packing_remembers_words_up_to_a_bound_in_bytes():
     assert packing.word_ids(path) is not packing.word_ids(path)  # what a task remembers goes with it
 
 
+def test_packing_keeps_frequent_words_among_rare_ones(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    asked, library = [], packing.word_ids(path).parts.library
+
+    class Model:
+        def tokenize(self, part):
+            asked.append(part)
+            return library.model.tokenize(part)
+
+    class Library:
+        model, encode = Model(), staticmethod(library.encode)
+
+    monkeypatch.setitem(packing._LOADED, path, Library())
+    ids = packing.word_ids(path, most_bytes=60_000)
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:06d}")
+    texts = [f"The quick brown fox, the {name(k)} and {name(k)}." for k in range(2_000)]
+    for text in texts:
+        assert ids.ids(text) == struct.pack(f"<{len(got := library.encode(text, add_special_tokens=False).ids)}I", *got)
+    assert asked.count("quick") == 1  # asked for all the time, so never driven out
+    assert len(asked) <= len(texts) + 10  # a new word is looked up once, as a word and as a part of one
+
+
+def test_packing_leaves_odd_texts_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = packing.word_ids(path)
+    library = ids.parts.library
+    for text in ["Plain, it's 1999", "ª º µ ß ÿ Ŀ ǅ ²½ naïve", "a\x1cb", "a\x85b", "a\x1f", "<|endoftext|> a", "İstanbul", "e\u0301", "ΑΣ 北京", "\x00 \x7f \xa0 \xad"]:
+        got = library.encode(text, add_special_tokens=False).ids
+        assert ids.ids(text) == struct.pack(f"<{len(got)}I", *got), text
+    assert [ids.parts.odd(t) for t in ("naïve", "ǅ", "a\x1c", "\x85", "<|", "é<|", "İ", "ɐ")] == [False, False, True, True, True, True, True, True]
+
+
 def test_packing_is_tight():
     r = random.Random(5)
     lengths = [min(4095, int(r.expovariate(1 / 900)) + 1) for _ in range(5000)]
