@@ -21,8 +21,12 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import attrgetter
+from string import punctuation
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -32,8 +36,11 @@ from quarry.llm.common import id_and_text, map_blocks
 GROUP = 100_000
 #: Code points below this are split here; a text with any other goes to the library whole.
 PLAIN = 0x250
+#: Texts whose words are looked up together.
+BLOCK = 1024
 #: Bytes of the words that a task remembers; of digits and signs an eighth of that.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 48 << 20
+ID = attrgetter("id")
 _LOADED: dict = {}
 
 
@@ -86,28 +93,41 @@ class WordIds(Remembered):
     def find(self, part: str) -> bytes:
         if not (part.isascii() and part.isalpha()):
             part = part.encode().decode("latin-1").translate(self.bytes)
-        ids = [t.id for t in self.tokenize(part)]
+        ids = [*map(ID, self.tokenize(part))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Whole(Remembered):
-    """What stands between white space. A run of letters is a word itself; ``parts`` remembers digits and signs alone."""
+    """Runs of letters; ``parts`` remembers digits and signs. Of texts, each distinct word between white space is looked up
+    once in a call, and Arrow puts the ids together."""
 
     def __init__(self, parts: WordIds, most_bytes: int):
         super().__init__(most_bytes)
-        self.parts = parts
+        self.parts, self.find = parts, parts.find
 
-    def find(self, word: str) -> bytes:
-        low = word.lower()
-        if low.isalpha():
-            return self.parts.find(low) if low == word else self[low]
+    def mixed(self, low: str) -> bytes:
+        core = low.rstrip(punctuation)
+        if core.isalpha():  # most of them: letters, then signs to the end, which are one part
+            return self[core] + self.parts[low[len(core) :]]
         return b"".join([self[part] if part.isalpha() else self.parts[part] for part in self.parts.split(low)])
 
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        odd = [self.parts.odd(text) for text in texts]
+        words = pc.utf8_split_whitespace(pa.array(["" if o else text.lower() for o, text in zip(odd, texts, strict=True)], pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = pa.array([self[word] if word.isalpha() else self.mixed(word) for word in known], pa.large_binary()).take(coded.indices)
+        _, ends, ids = packed.buffers()
+        ends, ids = np.frombuffer(ends, np.int64), memoryview(ids or b"")
+        at = ends[words.offsets.to_numpy()].tolist()
+        return [self.by_library(text) if o else bytes(ids[i:j]) for o, text, i, j in zip(odd, texts, at, at[1:], strict=False)]
+
+    def by_library(self, text: str) -> bytes:
+        ids = self.parts.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
-        if self.parts.odd(text):
-            ids = self.parts.library.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.of_texts([text])[0]
 
 
 def word_ids(path: str, most_bytes: int = MOST_BYTES) -> Whole:
@@ -128,8 +148,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 
         def work(columns):
             out = [[], [], [], [], []]
-            for key, text in zip(*columns, strict=True):
-                packed = (ids.ids(text) if text else b"") + end
+            keys, texts = columns
+            for key, packed in zip(keys, ids.of_texts([text or "" for text in texts]), strict=True):
+                packed += end
                 for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at : at + 4 * capacity]
                     for column, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -138,7 +159,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 
         return work
 
-    return map_blocks(id_and_text(docs, id_col, text_col), make, f"{id_col} long, piece int, start long, length long, ids_crc32 long")
+    return map_blocks(id_and_text(docs, id_col, text_col), make, f"{id_col} long, piece int, start long, length long, ids_crc32 long", BLOCK)
 
 
 def pack(lengths: list[int], capacity: int) -> list[tuple[int, int]]:

@@ -428,6 +428,26 @@ def test_packing_keeps_frequent_words_among_rare_ones(monkeypatch):
     assert len(asked) <= len(texts) + 10  # a new word is looked up once, as a word and as a part of one
 
 
+def test_packing_looks_words_of_many_texts_up_once(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    asked, library = [], packing.word_ids(path).parts.library
+
+    class Model:
+        def tokenize(self, part):
+            asked.append(part)
+            return library.model.tokenize(part)
+
+    class Library:
+        model, encode = Model(), staticmethod(library.encode)
+
+    monkeypatch.setitem(packing._LOADED, path, Library())
+    ids = packing.word_ids(path, most_bytes=0)  # nothing but the last words are remembered
+    texts = ["Quarry stones\tsplit  cleanly", "", "stones split, stones split...", "北京 <|x", " it's\xa0l'été 12 a.b. C#!? ", "split"] * 40
+    assert ids.of_texts(texts) == [struct.pack(f"<{len(got := library.encode(t, add_special_tokens=False).ids)}I", *got) for t in texts]
+    assert {w: asked.count(w) for w in ("quarry", "cleanly")} == {"quarry": 1, "cleanly": 1}
+    assert asked.count("split") <= 3  # alone and with either kind of signs
+
+
 def test_packing_leaves_odd_texts_to_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = packing.word_ids(path)
