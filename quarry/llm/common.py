@@ -32,8 +32,22 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(quoted(id_col).cast("long").alias(id_col), quoted(text_col).cast("string").alias(text_col))
 
 
-#: Bytes of an Arrow batch, unless the session sets them: texts are long, and each task holds some batches on both sides.
-BATCH_BYTES = "8m"
+#: Bytes of an Arrow batch, unless the session sets them: texts are long, and each task holds some batches on both sides,
+#: outside the heap too.
+BATCH_BYTES = "2m"
+#: Bytes of batches after which a worker gives free memory back.
+GIVE_BACK = 8 << 20
+
+
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table. They are sent as Arrow: Spark turns rows of Python objects into its own in
+    Python workers beside those of the operators, which stay in the executors' memory for a while."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = spark.createDataFrame([], schema).schema
+    fields = to_arrow_schema(kinds)
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), kinds)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -74,14 +88,17 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable[[list[list]], list[lis
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(out)
-        work = make()
+        work, seen = make(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
                 got = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(got, kinds, strict=True)], schema=kinds)
             got = part = None
-            give_back()
+            seen += batch.nbytes
+            if seen >= GIVE_BACK:
+                seen = 0
+                give_back()
         work = None  # with all that it remembers
         give_back()
 

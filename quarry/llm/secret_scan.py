@@ -19,7 +19,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_one, checkpointed, flagged
+from quarry.llm.common import as_one, checkpointed, few_rows, flagged
 from quarry.plans.spec import quoted
 
 
@@ -191,7 +191,7 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]], grams
     """(key, rules): a bit for each rule one of whose clauses has all its trigrams posted for the key."""
     place = {g: i for i, g in enumerate(grams)}
     rows = [(rule, n, place[g], len(clause)) for rule, clauses in queries.items() for n, clause in enumerate(clauses) for g in clause]
-    asked = index.sparkSession.createDataFrame(rows, "rule int, clause int, gram int, need int")  # as long as the rules
+    asked = few_rows(index.sparkSession, rows, "rule int, clause int, gram int, need int")  # as long as the rules
     met = index.join(F.broadcast(asked), "gram").groupBy("key", "rule", "clause").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, gram)"))).alias("n"), F.max("need").alias("need"))
     return met.where("n = need").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK, give_back, in_parts, map_blocks, small_batches
+from quarry.llm.common import BLOCK, few_rows, give_back, in_parts, map_blocks, small_batches
 
 #: Labelled rows that are learned from at most, for each label, and characters of their texts.
 MOST_TRAINING, MOST_CHARACTERS = 2000, 8_000_000
@@ -374,7 +374,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, most_characters: int,
         picked += [(x["id"], x["digest"]) for x in fit or sorted(listed, key=lambda x: x["n"])[:1]]
     if not picked:
         return []
-    wanted = docs.sparkSession.createDataFrame(picked, "id long, digest string")
+    wanted = few_rows(docs.sparkSession, picked, "id long, digest string")
     texts = named.join(F.broadcast(wanted), ["id", "digest"]).groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("label").alias("label"))
     return sorted((x["text"], x["label"]) for x in texts.collect())
 

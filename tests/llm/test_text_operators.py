@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, fingerprint, html_extract, lang_id, near_dedup, packing, secret_scan, token_counts, toxicity, url_filter
+from quarry.llm import common, decontaminate, fingerprint, html_extract, lang_id, near_dedup, packing, secret_scan, token_counts, toxicity, url_filter
 from quarry.llm.common import WordHashes, fold_of, shingle_hashes, word_bytes
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -374,6 +374,33 @@ def test_pages_read_alike_without_their_marks(spark):
         assert html_extract.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", page or "")) == html_extract.main_text(page)
 
 
+def test_few_rows_need_no_python_workers(spark):
+    rows = [(1, "a"), (None, None), (3, "é")]
+    got = common.few_rows(spark, rows, "id long, name string")
+    assert [tuple(r) for r in got.collect()] == rows and got.dtypes == [("id", "bigint"), ("name", "string")]
+    assert common.few_rows(spark, [], "id long, name string").count() == 0
+    index = spark.range(1).select(F.lit(1).alias("key"), F.lit(0).alias("gram"))
+    met = secret_scan.candidates(index, {0: [frozenset(["abc"])]}, ["abc"])
+    assert [r["key"] for r in met.collect()] == [1]
+    for df in (got, met):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()  # rows that Python workers turn into Spark's
+
+
+def test_batches_of_texts_are_small(spark):
+    """Each batch is held some times over on both sides, in pieces that a heap of small regions has to grow for."""
+    docs = spark.range(0, 800, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    make = lambda: lambda columns: [[len(columns[0])], [sum(map(len, columns[1]))]]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        got = common.map_blocks(docs, make, "n long, bytes long", block=10**6).collect()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    assert sum(r["n"] for r in got) == 800 and sum(r["bytes"] for r in got) == 8_000_000
+    assert max(r["bytes"] for r in got) <= 3 << 20
+
+
 def test_packing_holds_every_token_once(spark, odd, empty):
     from tokenizers import Tokenizer
 
