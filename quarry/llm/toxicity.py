@@ -46,8 +46,10 @@ EPOCHS, BATCH, RATE, FOLDS, SEED = 6, 32, 0.01, 5, 11
 #: Share of the rate by which word and n-gram vectors move; they are many, and few texts would be learned by heart.
 TABLE_RATE = 0.02
 GRAMS = (3, 4, 5, 6)
-#: Characters of the texts that are scored together.
+#: Characters of the texts that are scored together, and that are prepared together to be learned from.
 TOGETHER = 500_000
+#: Buckets whose evidence is worked out together: whole tables of wide numbers would be most of what the driver's Python holds.
+BUCKETS = 1 << 15
 THRESHOLD = 0.7
 
 words_of = re.compile(r"\w+").findall
@@ -269,18 +271,24 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
                 for part, h in enumerate((grams, whole)):
                     counts[fold[k], labels[k], part, np.unique(_evidence_bucket(h))] += 1
     n = np.array([[((fold == f) & (labels == y)).sum() for y in (0, 1)] for f in range(FOLDS)])
-    sums = counts.sum(0, dtype=np.int64)
-    network.evidence = [_evidence(sums[1, part], sums[0, part], *n.sum(0)[::-1]) for part in (0, 1)]
-    of_fold = []
-    for f in range(FOLDS):
-        rest, m = sums - counts[f], n.sum(0) - n[f]
-        of_fold.append([_evidence(rest[1, part], rest[0, part], *np.maximum(m, 1)[::-1]) for part in (0, 1)])
-    del counts, sums
+    of_fold = [[np.empty(1 << EVIDENCE_BITS, np.int8) for _ in (0, 1)] for _ in range(FOLDS)]
+    network.evidence = [np.empty(1 << EVIDENCE_BITS, np.int8) for _ in (0, 1)]
+    for part in (0, 1):
+        for at in range(0, 1 << EVIDENCE_BITS, BUCKETS):
+            here = slice(at, at + BUCKETS)
+            sums = counts[:, :, part, here].sum(0, dtype=np.int64)
+            network.evidence[part][here] = _evidence(sums[1], sums[0], *n.sum(0)[::-1])
+            for f in range(FOLDS):
+                rest, m = sums - counts[f, :, part, here], n.sum(0) - n[f]
+                of_fold[f][part][here] = _evidence(rest[1], rest[0], *np.maximum(m, 1)[::-1])
+    del counts
+    give_back()
     # Each fold's texts are prepared once: words, windows and whose they are.
     parts = []
     for f in range(FOLDS):
         members = np.flatnonzero(fold == f)
-        parts += [(f, some, *prepare([texts[k] for k in some])) for some in np.array_split(members, max(1, -(-len(members) // 100))) if len(some)]
+        for some in np.array_split(members, max(1, -(-len(members) // 100))):
+            parts += [(f, some[a:b], *prepare([texts[k] for k in some[a:b]])) for a, b in in_parts([len(texts[k]) for k in some], TOGETHER)]
     adam, logits = Adam(network.w), np.zeros(len(texts))
     turns = min(60, max(epochs, -(-4000 // len(texts)) * 2))  # few texts are read more often
     for turn in range(turns):
@@ -351,7 +359,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, id_col:
     marks = np.array([label for _, label in found])
     if len(set(marks.tolist())) < 2:
         return None
-    return train([text for text, _ in found], marks)
+    network = train([text for text, _ in found], marks)
+    del found
+    give_back()  # the driver's Python lives as long as the session
+    return network
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, most_characters: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:

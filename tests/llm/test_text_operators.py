@@ -9,6 +9,7 @@ import random
 import re
 import struct
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -125,6 +126,23 @@ def test_toxicity_sample_is_bounded(spark):
     assert [t for t, y in toxicity.sample(docs, labels.where("doc_id in (1, 2)"), 2000, 100) if not y] == [long]
 
 
+def test_training_holds_no_wide_tables():
+    """The driver trains: its Python holds counts in 16 bits for each fold (40 MB), not whole tables of wider numbers beside them."""
+    texts, labels = zip(*((t, y) for _, t, y in toxic_rows(24)), strict=True)
+    tracemalloc.start()
+    try:
+        network = toxicity.train(list(texts), np.array(labels), epochs=1)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 80e6
+    plain = np.zeros((2, 1 << toxicity.EVIDENCE_BITS), np.int64)
+    for text, y in [*zip(texts, labels, strict=True), ("", 0)]:
+        if text:
+            plain[y, np.unique(toxicity._evidence_bucket(toxicity.features(list(dict.fromkeys(toxicity.words_of(text.lower()))))[0]))] += 1
+    assert (network.evidence[0] == toxicity._evidence(plain[1], plain[0], sum(labels), len(labels) + 1 - sum(labels))).all()
+
+
 def test_toxicity_of_repeated_labels_and_texts(spark):
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 0), (0, 1), (0, 1), (1, 0), (1, 0), (2, None), (3, 2), (None, 1), (9, 1)], "doc_id long, toxic int")
