@@ -10,9 +10,9 @@ as their Jaccard similarity. Bands of four registers are buckets.
    confirmed on full sets. Connected classes form components.
 3. Where buckets still hold several components, new hubs are drawn; each class is paired with the hub of
    another component that the joint maximum-likelihood estimate from registers and sizes finds most similar.
-4. Of each bucket that still holds several components, the classes outside its main one are dealt into blocks of some
-   hundred. All classes of their buckets stream past the blocks, and pairs across components whose registers allow a link
-   are confirmed.
+4. Of each bucket that still holds several components, the classes outside its main one are dealt into blocks, those of
+   one main component together. All classes of their buckets stream past the blocks, and pairs across components whose
+   registers allow a link are confirmed.
 
 So every pair that shares a bucket is either confirmed, excluded, or in one component already: components are those of
 all links, though copies are never expanded into all pairs. A link at the very threshold shares no bucket with
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, as_given, as_one, checkpointed, give_back, id_and_text, in_parts, map_blocks, mix, narrowed, shingle_hashes, small_batches, without, word_bytes
+from quarry.llm.common import as_given, as_one, checkpointed, give_back, id_and_text, in_parts, map_blocks, mix, narrowed, shingle_sets, small_batches, without
 from quarry.plans.spec import quoted
 
 BANDS, ROWS = 32, 4
@@ -45,12 +45,14 @@ BASE, SHIFT = 1.001, 8000
 SLACK = 0.15
 #: Rounds of new hubs, hubs whose sets a task holds, and members that meet one copy of them.
 HUB_ROUNDS, HELD, MEMBERS = 1, 512, 2000
+#: Hubs from which on a member is held against them by the numbers of their hashes.
+ASKED = 8
 #: Classes whose registers, 256 bytes each, a task holds, members that meet them together, pairs that are looked at together, and pairs that are listed together.
-HELD_REGISTERS, MEET, PAIRS, MOST_FOUND = 16_384, 512, 65_536, 1_000_000
-#: Shingles that are sketched together.
-TOGETHER = 100_000
-#: Nodes that a task holds while it replaces links by stars.
-MOST_NODES = 200_000
+HELD_REGISTERS, MEET, PAIRS, MOST_FOUND = 2048, 512, 65_536, 1_000_000
+#: Shingles that are sketched together, their points that are drawn together, and those of one shingle.
+TOGETHER, POINTS, MOST_POINTS = 50_000, 8192, 64
+#: Nodes that a task holds while it replaces links by stars, and edges for which there is a task.
+MOST_NODES, EDGES = 200_000, 50_000
 
 
 def _points(h: np.ndarray, limit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,14 +61,17 @@ def _points(h: np.ndarray, limit: np.ndarray, most: int) -> tuple[np.ndarray, np
     element, value, j = np.arange(len(h)), np.zeros(len(h)), 0
     with np.errstate(over="ignore"):
         while len(element):
-            j += 1
-            x = mix(h[element] + np.uint64(j) * np.uint64(0xD1342543DE82EF95))
-            value = value - np.log(((x >> np.uint64(11)).astype(np.float64) + 1) / 9007199254740993.0) / most
-            stays = value < limit[element]
-            element, value, x = element[stays], value[stays], x[stays]
-            who.append(element)
-            where.append((mix(x) % np.uint64(most)).astype(np.int64))
-            what.append(value)
+            more = max(1, min(MOST_POINTS, POINTS // len(element)))  # the few elements of small sets have many points each
+            x = mix(h[element][:, None] + np.arange(j + 1, j + more + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+            gaps = np.log(((x >> np.uint64(11)).astype(np.float64) + 1) / 9007199254740993.0) / most
+            gaps[:, 0] = value - gaps[:, 0]
+            values = np.subtract.accumulate(gaps, axis=1)
+            stays = values < limit[element][:, None]
+            who.append(np.repeat(element, stays.sum(1)))
+            where.append((mix(x[stays]) % np.uint64(most)).astype(np.int64))
+            what.append(values[stays])
+            on = stays[:, -1]
+            element, value, j = element[on], values[on, -1], j + more
     return np.concatenate(who), np.concatenate(where), np.concatenate(what)
 
 
@@ -108,11 +113,9 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, h1, h2, bands): size, 128-bit name and packed registers of each row's set."""
 
     def make():
-        hashes = WordHashes()
-
         def work(columns):
             ids, texts = columns
-            sets = [shingle_hashes(word_bytes(t), hashes) for t in texts]
+            sets = shingle_sets(texts)
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             for low, high in in_parts([len(sets[k]) for k in full], TOGETHER):
@@ -160,7 +163,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
     """The pairs (u, v) whose full sets have the similarity."""
     pairs = pairs.select("u", "v").distinct()
     blocks = max(1, -(-pairs.select("v").distinct().count() // HELD))
-    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)))
     members = dealt.groupBy("block", F.col("u").alias("id")).agg(F.collect_list("v").alias("hubs"))  # of one block, so some hundred
     members = members.unionByName(dealt.select("block", F.col("v").alias("id"), F.lit(None).cast("array<long>").alias("hubs")))
     return _meet(members, docs, percent, id_col, text_col)
@@ -168,33 +171,32 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
 
 def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The links (u, v) across components among classes that share a bucket. The classes outside their bucket's main component
-    are dealt into blocks; the registers of every class of a bucket go to the (large) blocks that have one of its bucket, and
-    meet those that they share a bucket with there. So rows grow with classes times blocks, and only texts that may have a link move."""
+    are dealt into blocks with those of the same main component, so that what shares buckets meets in few blocks; the registers of every class
+    of a bucket go to the blocks that have one of its bucket, and meet those that they share a bucket with there. Only texts that may have a link
+    move, to the parts of blocks that hold what they may link with: rows grow with classes, not with the pairs that look alike."""
     rows = _labelled(mixed, labels)
     main = rows.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main")
     rows = checkpointed(rows.join(main, "bucket"))
     outside = rows.where("label <> main")
-    n = outside.select("rep").distinct().count()
-    blocks, text_blocks = max(1, -(-n // HELD_REGISTERS)), max(1, -(-n // HELD))
-    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block")
-    members = rows.select("bucket", "rep", "label").join(outside.select("bucket", block).distinct(), "bucket").select("block", "rep", "label").distinct()
-    held = outside.select(block, "rep", "label").distinct()
+    placed = checkpointed(_placed(outside))
+    outside = outside.select("rep", "bucket").join(placed.select("rep", "block"), "rep")
+    members = rows.select("bucket", "rep", "label").join(outside.select("bucket", "block").distinct(), "bucket").select("block", "rep", "label").distinct()
     copies = members.groupBy("block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
-    members = members.join(copies, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "rep", "label")
-    held = held.join(copies, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), "rep", "label")
+    members = members.join(copies, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("member"), "rep", "label", F.lit(0).cast("long").alias("part"))
+    held = placed.join(copies, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("member"), "rep", "label", "part")
     met = members.unionByName(held).join(classes.select("rep", "n", "bands"), "rep").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
-    out = pa.schema([("block", pa.int32()), ("id", pa.int64()), ("hubs", pa.list_(pa.int64()))])
+    out = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("hubs", pa.list_(pa.int64()))])
 
-    def listed(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        """(member, hub) as rows: each member with its hubs of a text block, and each hub by itself."""
-        got = [{"block": v % text_blocks, "id": v, "hubs": None} for v in {v for _, v in pairs}]
+    def listed(pairs: list[tuple[int, int]], part: dict[int, int]) -> pa.RecordBatch:
+        """(member, hub) as rows: each member with its hubs of a part, and each hub by itself."""
+        got = [{"block": part[v], "id": v, "hubs": None} for v in {v for _, v in pairs}]
         of: dict[tuple[int, int], list[int]] = {}
         for u, v in pairs:
-            of.setdefault((v % text_blocks, u), []).append(v)
+            of.setdefault((part[v], u), []).append(v)
         return pa.RecordBatch.from_pylist(got + [{"block": k, "id": u, "hubs": hubs} for (k, u), hubs in of.items()], out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, held = None, [], None
+        at, parts, held, part = None, [], None, {}
         for batch in batches:
             names = [np.asarray(batch.column(c)) for c in ("block", "salt", "member", "rep", "label", "n")]
             bands = np.asarray(batch.column("bands").flatten()).reshape(-1, BANDS)
@@ -205,9 +207,10 @@ def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs:
                 block, salt, member = (c[low] for c in names[:3])
                 some = [c[low:high] for c in (*names[3:], bands)]
                 if at != (block, salt):
-                    at, parts, held = (block, salt), [], None
+                    at, parts, held, part = (block, salt), [], None, {}
                 if not member:
                     parts.append(some)
+                    part.update(zip(some[0].tolist(), batch.column("part").slice(low, high - low).to_pylist(), strict=True))
                     continue
                 if held is None:
                     held = Held(*(np.concatenate(x) for x in zip(*parts, strict=True)), percent=percent)
@@ -216,12 +219,25 @@ def confirm_rest(mixed: DataFrame, labels: DataFrame, classes: DataFrame, docs:
                     for more in held.meet(*(c[k : k + MEET] for c in some)):
                         found += more
                         if len(found) > MOST_FOUND:
-                            yield listed(found)
+                            yield listed(found, part)
                             found = []
                     if found:
-                        yield listed(found)
+                        yield listed(found, part)
+
+    return _meet(met.mapInArrow(run, "block long, id long, hubs array<long>"), docs, percent, id_col, text_col)
+
 
-    return _meet(met.mapInArrow(run, "block int, id long, hubs array<long>"), docs, percent, id_col, text_col)
+def _placed(outside: DataFrame) -> DataFrame:
+    """(rep, label, block, part): each class that is outside the main component of buckets (rep, label, main), with the block and the part of it where it is held.
+    A class goes with the main component that it shares most buckets with. The classes of a main component are one group, or some where a block or part
+    can't hold them all; a block holds some groups, and each part belongs to one block."""
+    homes = outside.groupBy("rep", "label").agg(F.mode("main", deterministic=True).alias("home"))
+    blocks = 1 + outside.agg(F.approx_count_distinct("rep").alias("n")).first()["n"] // HELD_REGISTERS
+    sizes = homes.groupBy("home").count()
+    group = lambda most: F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / most))
+    block = F.xxhash64(F.pmod(F.xxhash64("home"), F.lit(blocks)), group(HELD_REGISTERS))
+    part = F.xxhash64("block", F.pmod(F.xxhash64("home", F.lit(1)), F.lit(-(-HELD_REGISTERS // HELD))), group(HELD))
+    return homes.join(sizes, "home").withColumn("block", block).select("rep", "label", "block", part.alias("part"))
 
 
 class Held:
@@ -270,26 +286,63 @@ def _meet(members: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
     met = asked.join(texts, "id").repartition("block", "salt").sortWithinPartitions("block", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, sets = WordHashes(), None, {}
+        at, sets = None, HubSets(percent)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 got = []
-                for block, salt, member, key, wanted, text in zip(*(batch.column(c).slice(k, 512).to_pylist() for c in ("block", "salt", "member", "id", "hubs", "text")), strict=True):
+                *some, texts = (batch.column(c).slice(k, 512).to_pylist() for c in ("block", "salt", "member", "id", "hubs", "text"))
+                for block, salt, member, key, wanted, own in zip(*some, shingle_sets(texts), strict=True):
                     if at != (block, salt):
-                        at, sets = (block, salt), {}
-                    own = shingle_hashes(word_bytes(text), hashes)
+                        at, sets = (block, salt), HubSets(percent)
                     if member:
-                        got += [(key, v) for v in wanted if any(similar(own, x, percent) for x in sets.get(v, ()))]
+                        got += [(key, v) for v in sets.similar_to(own, wanted)]
                     else:
-                        sets.setdefault(key, []).append(own)
+                        sets.add(key, own)
                 yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in got], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
             give_back()
-        hashes, sets = None, {}
+        sets = None
         give_back()
 
     return checkpointed(small_batches(met).mapInArrow(run, "u long, v long"))
 
 
+class HubSets:
+    """The sets of a block's hubs, all added before the first member comes; a hub has several sets if its id stands on several texts."""
+
+    def __init__(self, percent: int):
+        self.percent, self.sets = percent, {}
+        self.known: np.ndarray | None = None
+
+    def add(self, hub: int, own: np.ndarray) -> None:
+        self.sets.setdefault(hub, []).append(own)
+
+    def similar_to(self, own: np.ndarray, wanted: list[int]) -> list[int]:
+        """The wanted hubs that have a set similar to this one."""
+        if self.known is None and len(wanted) < ASKED:
+            return [v for v in wanted if any(similar(own, x, self.percent) for x in self.sets.get(v, ()))]
+        if self.known is None:
+            self._number()
+        hubs, sets = zip(*([(v, x) for v in wanted for x in self.sets.get(v, ()) if len(x)] or [(None, None)]), strict=True)
+        if not len(own) or sets[0] is None:
+            return []
+        places = np.searchsorted(self.known, own)
+        places[places == len(self.known)] = 0
+        places = places[self.known[places] == own]
+        sizes = np.array([len(x) for x in sets])
+        self.mark[places] = 1
+        both = np.add.reduceat(self.mark[np.concatenate(sets)], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self.mark[places] = 0
+        near = 100 * both >= self.percent * (len(own) + sizes - both)
+        return list(dict.fromkeys(v for v, yes in zip(hubs, near.tolist(), strict=True) if yes))
+
+    def _number(self) -> None:
+        """From now on a set holds its hashes' numbers among those of all sets: a member's are marked, and the marks of each hub counted."""
+        self.known = np.unique(np.concatenate([x for own in self.sets.values() for x in own] or [np.empty(0, np.uint64)]))
+        self.mark = np.zeros(len(self.known), np.uint8)
+        for own in self.sets.values():
+            own[:] = [np.searchsorted(self.known, x).astype(np.int32) for x in own]
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """Fewer edges (u, v) that join the same nodes: each task replaces what it has read by stars around the least nodes, some hundred thousand nodes at a time."""
 
@@ -332,17 +385,19 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): every node of the edges (u, v) with the least node that it reaches, by alternating large and small stars."""
     # Nodes that are their own label come back as those of the edges.
-    edges = checkpointed(stars(edges))
+    in_tasks = lambda df, n: df.coalesce(1 + n // EDGES)  # noqa: E731  few edges don't need Python tasks for every partition of a shuffle
+    edges = checkpointed(stars(in_tasks(edges, edges.count())))
     while not _are_stars(edges):
+        n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = checkpointed(stars(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")))
-    edges = edges.distinct()
+        edges = checkpointed(stars(in_tasks(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v"), 2 * n)))
+    n, edges = edges.count(), edges.distinct()
     roots = edges.select("v").distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
+    return checkpointed(in_tasks(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label"))), n))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:

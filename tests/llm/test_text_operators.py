@@ -246,6 +246,70 @@ def test_an_id_on_different_texts(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, copied), (5, own), (9, one), (2, other), (None, own)], key=str)
 
 
+def test_texts_move_with_classes_not_with_pairs(spark, monkeypatch):
+    """Small groups of texts that look alike without a link: each text meets those of its group in few places, not each of them in a place of its own."""
+    rows, key = [], 0
+    for group in range(8):
+        base = prose(900 + group, 120, 10**6)
+        for k in range(9):
+            words = list(base)
+            for at in (12 * k + 5, 12 * k + 11):  # two words of its own: 0.7 of the shingles of any two are the same
+                words[at] = f"own{group}-{k}-{at}"
+            rows, key = [*rows, (key, " ".join(words))], key + 1
+    monkeypatch.setattr(near_dedup, "HELD", 8)
+    moved, meet = [], near_dedup._meet
+
+    def counted(members, *more):
+        moved.append(members.where("hubs is not null").groupBy("id").agg(F.count("*").alias("rows"), F.sum(F.size("hubs")).alias("hubs")).collect())
+        return meet(members, *more)
+
+    monkeypatch.setattr(near_dedup, "_meet", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    last = moved[-1]
+    assert sum(r["hubs"] for r in last) > 4 * len(last) and sum(r["rows"] for r in last) < 2 * len(last)
+
+
+def test_hubs_are_similar_as_one_by_one(monkeypatch):
+    r = np.random.default_rng(4)
+    pool = np.unique(r.integers(0, 2**63, 200).astype(np.uint64))
+    some = lambda: pool[r.random(len(pool)) < r.choice([0.0, 0.02, 0.5, 0.85, 0.95])]
+    for asked, percent in ((1, 75), (8, 75), (8, 50), (1000, 75)):
+        monkeypatch.setattr(near_dedup, "ASKED", asked)
+        sets, hubs = near_dedup.HubSets(percent), {}
+        for k in range(60):  # ten hubs with two sets
+            hubs.setdefault(k % 50, []).append(some())
+            sets.add(k % 50, hubs[k % 50][-1])
+        for _ in range(40):
+            own, wanted = some(), r.choice(60, r.integers(1, 40), replace=False).tolist()
+            assert sets.similar_to(own, wanted) == [v for v in wanted if any(near_dedup.similar(own, x, percent) for x in hubs.get(v, []))]
+    nothing = near_dedup.HubSets(75)
+    nothing.add(1, np.empty(0, np.uint64))
+    assert nothing.similar_to(pool, [1] * 20) == [] and nothing.similar_to(np.empty(0, np.uint64), list(range(20))) == []
+
+
+def test_shingles_of_many_texts_are_those_of_each(monkeypatch):
+    texts = [*ODD, " ".join(prose(1, 4)), " ".join(prose(2, 5)), " ".join(prose(3, 6)), "same " * 50, *(" ".join(prose(k, 90, 40)) for k in range(30)), "\ud800 lone surrogate of five words"]
+    for together in (1, 100, 30_000):
+        monkeypatch.setattr(common, "WORDS_TOGETHER", together)
+        for size in (1, 3, 5):
+            got = common.shingle_sets(texts, size)
+            assert len(got) == len(texts) and all((a == shingle_hashes(word_bytes(t), WordHashes(), size)).all() and len(a) == len(shingle_hashes(word_bytes(t), WordHashes(), size)) for a, t in zip(got, texts, strict=True))
+    assert common.shingle_sets([]) == []
+
+
+def test_points_drawn_together_are_those_drawn_one_by_one(monkeypatch):
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 5, 40, 700, 1, 3000)]
+    want = None
+    for points, most in ((1, 1), (100, 7), (8192, 64), (10**6, 1000)):
+        monkeypatch.setattr(near_dedup, "POINTS", points)
+        monkeypatch.setattr(near_dedup, "MOST_POINTS", most)
+        got = near_dedup.sketches(sets)
+        assert want is None or (got == want).all()
+        want = got
+
+
 def test_sketches_merge_and_estimate():
     hashes = WordHashes()
     a, b = (shingle_hashes([w.encode() for w in x], hashes) for x in (prose(1, 900, 10**6), prose(1, 900, 10**6)[:800] + prose(2, 100, 10**6)))
