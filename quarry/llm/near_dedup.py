@@ -382,11 +382,12 @@ def _are_stars(edges: DataFrame) -> bool:
     return nodes.agg(F.bool_and(F.col("a").isNull() | ((F.col("a") == F.col("b")) & (F.col("label") == 0))).alias("all")).first()["all"] is not False
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): every node of the edges (u, v) with the least node that it reaches, by alternating large and small stars."""
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """(node, label): every node of the edges (u, v) with the least node that it reaches, by alternating large and small stars.
+    Edges whose number is given go to as many tasks as they need; others, which may still have to be found, are read once by the tasks that find them."""
     # Nodes that are their own label come back as those of the edges.
     in_tasks = lambda df, n: df.coalesce(1 + n // EDGES)  # noqa: E731  few edges don't need Python tasks for every partition of a shuffle
-    edges = checkpointed(stars(in_tasks(edges, edges.count())))
+    edges = checkpointed(stars(edges if n is None else in_tasks(edges, n)))
     while not _are_stars(edges):
         n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -437,7 +438,8 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     shared = several.where("rep <> hub").groupBy("rep", "hub").count()
     first = shared.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("u"), (-F.col("best.hub")).alias("v"))
     first = checkpointed(_weighed(first, classes, percent).select("u", "v"))
-    labels = components(confirm(first, docs, percent, id_col, text_col))
+    links = confirm(first, docs, percent, id_col, text_col)
+    labels = components(links, links.count())
 
     # Only buckets with several components go on.
     named = _labelled(several.select("rep", "bucket"), labels)
@@ -486,10 +488,10 @@ def _equal_registers(x: Column, y: Column) -> Column:
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """The labels after further links between classes (written rows), and whether there were any."""
+    """The labels after further links between classes (both written rows), and whether there were any."""
     if links.isEmpty():
         return labels, False
-    return components(labels.toDF("u", "v").unionByName(links)), True
+    return components(labels.toDF("u", "v").unionByName(links), labels.count() + links.count()), True
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

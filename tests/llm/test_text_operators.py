@@ -383,6 +383,20 @@ def test_components_of_any_graph(spark, monkeypatch):
     assert near_dedup.components(frame.limit(0)).count() == 0
 
 
+def test_edges_are_found_once_by_all_tasks(spark):
+    tasks = spark.sparkContext.accumulator(0)
+
+    def found(batches):
+        tasks.add(1)
+        yield from batches
+
+    edges = spark.range(0, 40, 1, 7).selectExpr("id u", "id + 1 v").mapInArrow(found, "u long, v long")
+    assert {x["label"] for x in near_dedup.components(edges).collect()} == {0} and tasks.value == 7
+    written = common.checkpointed(edges)
+    for n in (40, 10**7):
+        assert {(x["node"], x["label"]) for x in near_dedup.components(written, n).collect()} == {(k, 0) for k in range(41)}
+
+
 def test_members_meet_what_shares_a_bucket():
     r = np.random.default_rng(6)
     registers = r.integers(0, 4, (60, near_dedup.REGISTERS)).astype(np.uint16)
