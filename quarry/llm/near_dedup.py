@@ -384,21 +384,23 @@ def _are_stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, n: int | None = None) -> DataFrame:
     """(node, label): every node of the edges (u, v) with the least node that it reaches, by alternating large and small stars.
-    Edges whose number is given go to as many tasks as they need; others, which may still have to be found, are read once by the tasks that find them."""
+    Edges whose number is given are written rows; they and the labels go to as many tasks as they need. Others, which may still have to be found, are read once by the tasks that find them."""
     # Nodes that are their own label come back as those of the edges.
-    in_tasks = lambda df, n: df.coalesce(1 + n // EDGES)  # noqa: E731  few edges don't need Python tasks for every partition of a shuffle
-    edges = checkpointed(stars(edges if n is None else in_tasks(edges, n)))
+    known = n is not None
+    in_tasks = lambda df, most: df.coalesce(1 + most // EDGES) if known else df  # noqa: E731  few edges don't need Python tasks for every partition of a shuffle
+    edges = checkpointed(stars(in_tasks(edges, n)))
     while not _are_stars(edges):
-        n = edges.count()
+        n = edges.count() if known else None
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = checkpointed(stars(in_tasks(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v"), 2 * n)))
-    n, edges = edges.count(), edges.distinct()
+        edges = checkpointed(stars(in_tasks(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v"), 2 * n if known else None)))
+    n, edges = edges.count() if known else None, edges.distinct()
     roots = edges.select("v").distinct()
-    return checkpointed(in_tasks(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label"))), n))
+    labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
+    return checkpointed(in_tasks(labels, n)) if known else labels
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
